@@ -1,0 +1,23 @@
+"""Size checks before a broadcast.
+
+A side is broadcast only when its row count was measured and found under a
+bound; otherwise the frame is returned as is and the planner keeps its
+shuffle join (AQE may still switch to a broadcast at run time when the
+measured shuffle output is small).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` when it has at most ``max_rows`` rows.
+
+    The count stops early: it reads at most ``max_rows + 1`` rows.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
