@@ -266,24 +266,30 @@ def a10(spark, d):
     return A.raw_value_counts(encounters_raw(spark, d))
 
 
-PROFILE_CTES = (
-    "prow AS (SELECT trim(coalesce(diagnosis, '')) AS diagnosis, "
-    + O.integer_value("coalesce(age_raw, '')") + " AS age, coalesce(gender, '') AS gender_raw, "
-    + O.split_items("lower(coalesce(symptoms, ''))") + " AS items FROM encounters_raw), "
-    "pbase AS (SELECT diagnosis, count(*) AS n, coalesce(CAST(round_even(avg(age), 0) AS INTEGER), 0) AS avg_age "
-    "FROM prow WHERE diagnosis <> '' GROUP BY diagnosis), "
-    "psym AS (SELECT diagnosis, symptom, count(*) AS c FROM (SELECT diagnosis, unnest(items) AS symptom FROM prow "
-    "WHERE diagnosis <> '') GROUP BY ALL), "
-    "ptop AS (SELECT diagnosis, array_to_string(list(symptom ORDER BY c DESC, symptom), ', ') AS common_symptoms "
-    "FROM (SELECT *, row_number() OVER (PARTITION BY diagnosis ORDER BY c DESC, symptom) AS rk FROM psym) "
-    "WHERE rk <= 8 GROUP BY diagnosis), "
-    "pgen AS (SELECT diagnosis, array_to_string(list(gender_raw || ':' || c ORDER BY gender_raw), ';') AS genders "
-    "FROM (SELECT diagnosis, gender_raw, count(*) AS c FROM prow WHERE diagnosis <> '' GROUP BY ALL) GROUP BY diagnosis), "
-    "profiles AS (SELECT b.diagnosis, b.n, b.avg_age, coalesce(t.common_symptoms, '') AS common_symptoms, g.genders "
-    "FROM pbase b LEFT JOIN ptop t USING (diagnosis) LEFT JOIN pgen g USING (diagnosis))")
-
-
-@register("a11_disease_profiles", O.with_fixture("SELECT * FROM profiles", PROFILE_CTES))
+def profile_ctes(src: str = "encounters_raw", x: str = "") -> str:
+    """CTEs ending in ``{x}profiles``: A11 for the rows of ``src``."""
+    return (
+        f"{x}prow AS (SELECT trim(coalesce(diagnosis, '')) AS diagnosis, "
+        + O.integer_value("coalesce(age_raw, '')") + " AS age, coalesce(gender, '') AS gender_raw, "
+        + O.split_items("lower(coalesce(symptoms, ''))") + f" AS items FROM {src}), "
+        f"{x}pbase AS (SELECT diagnosis, count(*) AS n, coalesce(CAST(round_even(avg(age), 0) AS INTEGER), 0) AS avg_age "
+        f"FROM {x}prow WHERE diagnosis <> '' GROUP BY diagnosis), "
+        f"{x}psym AS (SELECT diagnosis, symptom, count(*) AS c FROM (SELECT diagnosis, unnest(items) AS symptom FROM {x}prow "
+        "WHERE diagnosis <> '') GROUP BY ALL), "
+        f"{x}ptop AS (SELECT diagnosis, list(symptom ORDER BY c DESC, symptom) AS syms "
+        f"FROM (SELECT *, row_number() OVER (PARTITION BY diagnosis ORDER BY c DESC, symptom) AS rk FROM {x}psym) "
+        "WHERE rk <= 8 GROUP BY diagnosis), "
+        f"{x}pgen AS (SELECT diagnosis, array_to_string(list(gender_raw || ':' || c ORDER BY gender_raw), ';') AS genders "
+        f"FROM (SELECT diagnosis, gender_raw, count(*) AS c FROM {x}prow WHERE diagnosis <> '' GROUP BY ALL) GROUP BY diagnosis), "
+        f"{x}profiles AS (SELECT b.diagnosis, b.n, b.avg_age, coalesce(t.syms, []) AS syms, g.genders "
+        f"FROM {x}pbase b LEFT JOIN {x}ptop t USING (diagnosis) LEFT JOIN {x}pgen g USING (diagnosis))")
+
+
+PROFILE_CTES = profile_ctes()
+
+
+@register("a11_disease_profiles", O.with_fixture(
+    "SELECT diagnosis, n, avg_age, array_to_string(syms, ', ') AS common_symptoms, genders FROM profiles", PROFILE_CTES))
 def a11(spark, d):
     return A.flat_profiles(A.disease_profiles(encounters_raw(spark, d)))
 
