@@ -236,7 +236,7 @@ def leaf_name(path) -> Column:
 def extension(name) -> Column:
     """Lower-case suffix with the dot, as ``Path(name).suffix``; '' if none."""
     n = _c(name)
-    return F.lower(F.regexp_extract(n, r"[^.](\.[^./]*)$", 1))
+    return F.lower(F.regexp_extract(n, r"[^.](\.[^./]+)$", 1))
 
 
 def study_category(raw) -> Column:

@@ -44,8 +44,10 @@ def model_rows(raw: DataFrame) -> DataFrame:
     )
     days = T.stay_days("date_of_admission", "discharge_date")
     age = T.numeric_value("age_raw").cast("int")
+    key = (F.col("encounter_id") * 8 + F.col("copy_no")) if "copy_no" in raw.columns else F.col("encounter_id")
     return d.select(
         "encounter_id",
+        key.alias("row_key"),
         age.alias("age"),
         F.col("gender"),
         F.col("diagnosis"),

@@ -50,7 +50,9 @@ def _lit_array(values) -> F.Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def encounters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def encounters_raw(spark: SparkSession, sf_dir: str, with_copy: bool = False) -> DataFrame:
+    """The encounter table; ``with_copy`` adds ``copy_no`` (1 or 2), the row's
+    position among identical copies, which stands in for a file row number."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     slots = (
         table(spark, sf_dir, "lineitem")
@@ -97,9 +99,8 @@ def encounters_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_add(adm, (k % 30).cast("int")).alias("discharge_date"),
             F.explode(F.sequence(F.lit(1), F.when(k % DUPLICATE_EVERY == 0, 2).otherwise(1))).alias("_copy"),
         )
-        .drop("_copy")
     )
-    return base
+    return base.withColumnRenamed("_copy", "copy_no") if with_copy else base.drop("_copy")
 
 
 def fixture_sql() -> str:
