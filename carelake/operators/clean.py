@@ -20,8 +20,12 @@ REASONS = ["missing_critical", "invalid_age", "age_outliers", "empty_symptoms",
 
 def stage_rows(raw: DataFrame) -> DataFrame:
     """Distinct input rows with ``copies``, cleaned columns and ``reject_reason``."""
-    cols = raw.columns
-    d = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"))
+    d = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return annotate(d, raw.columns)
+
+
+def annotate(d: DataFrame, cols: list[str]) -> DataFrame:
+    """Cleaned columns and the first reject reason for rows already deduplicated."""
     age_d = T.numeric_value("age_raw")
     sym = T.normalize_symptoms("symptoms")
     diag = T.py_strip("diagnosis")

@@ -77,9 +77,11 @@ def tfidf_array(df: DataFrame, text_col: str, model: CountVectorizerModel, idf:
     arr = F.transform(vector_to_array("_tf"),
                       lambda x, i: F.when(x > 0, (1.0 + F.log(x)) * F.get(idf_lit, i)).otherwise(F.lit(0.0)))
     v = v.withColumn("_w", arr)
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x * x))
-    return v.withColumn(out, F.transform("_w", lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))) \
-        .drop("_terms", "_tf", "_w")
+    # The norm is its own column so the element lambda reads it, not recomputes it.
+    v = v.withColumn("_norm", F.sqrt(F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x * x)))
+    return v.withColumn(out, F.transform("_w", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm"))
+                                         .otherwise(F.lit(0.0)))) \
+        .drop("_terms", "_tf", "_w", "_norm")
 
 
 def features(df: DataFrame, tfidf_col: str, age_col: str, gender_col: str, out: str = "features") -> DataFrame:

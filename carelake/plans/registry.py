@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
-QUERY_MODULES = ["q_etl", "q_catalog", "q_records", "q_models"]
+QUERY_MODULES = ["q_etl", "q_catalog", "q_records", "q_models", "q_jobs", "q_files"]
 
 
 def register(name: str, sql: str | None = None):
