@@ -83,6 +83,14 @@ def split_items(x) -> Column:
     return F.filter(F.transform(F.split(_c(x), ","), lambda t: py_strip(t)), lambda t: t != "")
 
 
+def parse_symptom_list(x) -> Column:
+    """Split on commas, collapse blanks, drop blanks; first spelling of a lower-case key wins."""
+    items = F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), ","),
+                                 lambda t: py_strip(collapse_blanks(t))), lambda t: t != "")
+    lows = F.transform(items, lambda t: F.lower(t))
+    return F.filter(items, lambda t, i: F.array_position(lows, F.lower(t)) == i + 1)
+
+
 # ------------------------------------------------------------ translation
 def _symptom_map_literal() -> Column:
     return F.create_map(*[F.lit(v) for kv in K.symptom_map_unique() for v in kv])

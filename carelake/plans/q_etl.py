@@ -295,10 +295,10 @@ def a11(spark, d):
 
 
 @register("a20_removed_counts", O.with_clean(
-    "SELECT sum(copies) AS rows_before, count_if(reject_reason IS NULL) AS rows_after, "
-    "sum(copies - 1) AS duplicates, "
+    "SELECT CAST(sum(copies) AS BIGINT) AS rows_before, count_if(reject_reason IS NULL) AS rows_after, "
+    "CAST(sum(copies - 1) AS BIGINT) AS duplicates, "
     + ", ".join(f"count_if(reject_reason = '{r}') AS {r}" for r in C.REASONS)
-    + ", round_even((sum(copies) - count_if(reject_reason IS NULL)) * 100.0 / greatest(1, sum(copies)), 2) AS dropout_pct "
+    + ", round_even(CAST((sum(copies) - count_if(reject_reason IS NULL)) * 100.0 / greatest(1, sum(copies)) AS DOUBLE), 2) AS dropout_pct "
     "FROM staged"))
 def a20(spark, d):
     return C.removed_counts(staged(spark, d))

@@ -39,7 +39,7 @@ def _csv_copy(spark, d) -> str:
     "SELECT true AS ingest_ok, r.rows_final > 0 AS clean_ok, r.rows_final > 0 AS transform_ok, "
     "r.rows_final > 0 AS analyze_ok, CASE WHEN r.rows_final > 0 THEN NULL ELSE 'clean' END AS failed_stage, "
     "r.rows_final > 0 AS ok, r.rows_raw, r.rows_final, t.distinct_diagnoses FROM "
-    "(SELECT sum(copies) AS rows_raw, count_if(reject_reason IS NULL) AS rows_final FROM staged) r, "
+    "(SELECT CAST(sum(copies) AS BIGINT) AS rows_raw, count_if(reject_reason IS NULL) AS rows_final FROM staged) r, "
     "(SELECT count(DISTINCT diagnosis) AS distinct_diagnoses FROM xf) t"))
 def a35(spark, d):
     return ETL.report_row(encounters_raw(spark, d))

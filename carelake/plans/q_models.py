@@ -72,7 +72,7 @@ def report_sql(pairs: str) -> str:
         "CASE WHEN support <> 0 THEN tp / support ELSE 0.0 END AS recall, support FROM cc), "
         "pcf AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) "
         "ELSE 0.0 END AS f1 FROM pc), "
-        "tot AS (SELECT sum(support) AS n, sum(recall * support) AS correct, avg(precision) AS mp, avg(recall) AS mr, "
+        "tot AS (SELECT CAST(sum(support) AS BIGINT) AS n, sum(recall * support) AS correct, avg(precision) AS mp, avg(recall) AS mr, "
         "avg(f1) AS mf, sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf FROM pcf), "
         "rep0 AS (SELECT cls, precision, recall, f1, support FROM pcf "
         "UNION ALL SELECT 'accuracy', correct / n, correct / n, correct / n, n FROM tot "
@@ -121,7 +121,7 @@ def a27x(spark, d):
 
 
 @register("a25_class_weights", O.with_fixture(
-    "SELECT diagnosis, count(*) AS n_class, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight "
+    "SELECT diagnosis, count(*) AS n_class, CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight "
     "FROM mrows GROUP BY diagnosis", MODEL_ROWS_CTE))
 def a25(spark, d):
     return EV.balanced_weights(model_rows(spark, d), "diagnosis")
@@ -248,7 +248,7 @@ def a24(spark, d):
 
 
 @register("a25_image_class_weights", O.with_fixture(
-    "SELECT class, count(*) AS n_class, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight "
+    "SELECT class, count(*) AS n_class, CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight "
     "FROM man WHERE target_split = 'train' GROUP BY class", MANIFEST_CTES))
 def a25i(spark, d):
     return EV.balanced_weights(IM.manifest(_files(spark, d)).filter(F.col("target_split") == "train"), "class")

@@ -21,8 +21,8 @@ DAYS = "coalesce(datediff('day', date_of_admission, discharge_date), 0)"
 PATIENT_CTES = ",\n".join([
     ROSTER_CTE, FIRST_DOC_CTE,
     "pat0 AS (SELECT encounter_id AS id, 'Paciente DS-' || encounter_id AS patient_name, age, gender, "
-    "symptoms_raw AS symptoms, symptoms_en AS symptoms_translated, diagnosis, 1.0 AS diagnosis_confidence, "
-    + O.assign_risk("diagnosis", "age", DAYS) + " AS risk_level, 1.0 AS risk_confidence, "
+    "symptoms_raw AS symptoms, symptoms_en AS symptoms_translated, diagnosis, CAST(1.0 AS DOUBLE) AS diagnosis_confidence, "
+    + O.assign_risk("diagnosis", "age", DAYS) + " AS risk_level, CAST(1.0 AS DOUBLE) AS risk_confidence, "
     "CASE WHEN encounter_id % 3 = 0 THEN 'active' ELSE 'main' END AS source_dataset, 'import' AS created_by, "
     "CAST(date_of_admission AS TIMESTAMP) AS created_at FROM xf)",
     "patients AS (SELECT * FROM " + sql_assign("pat0") + " t)",
@@ -33,8 +33,8 @@ NOTIF_CTE = ("notifications AS (SELECT event_id AS id, CASE event_type WHEN 'err
              "ts AS created_at FROM events)")
 _CLS = ", ".join(O.q(c) for c in K.XRAY_CLASSES)
 PRED_CTES = (
-    "pz AS (SELECT vec_id, label, exp(CAST(embedding[1] AS DOUBLE)) AS z0, exp(CAST(embedding[2] AS DOUBLE)) AS z1, "
-    "exp(CAST(embedding[3] AS DOUBLE)) AS z2 FROM embeddings), "
+    "pz AS (SELECT vec_id, label, exp(CAST(embedding[1] AS DOUBLE) * 10.0) AS z0, exp(CAST(embedding[2] AS DOUBLE) * 10.0) AS z1, "
+    "exp(CAST(embedding[3] AS DOUBLE) * 10.0) AS z2 FROM embeddings), "
     "pp AS (SELECT vec_id AS pred_id, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(vec_id AS INTEGER)) AS timestamp, "
     "'rx_' || vec_id || '.png' AS filename, [z0 / (z0 + z1 + z2), z1 / (z0 + z1 + z2), z2 / (z0 + z1 + z2)] AS probs, "
     "label AS true_label FROM pz), "
@@ -82,8 +82,8 @@ def l01(spark, d):
 
 
 @register("a13_patient_age_summary", O.with_clean(
-    "SELECT count(*) AS total_patients, CASE WHEN count(age) > 0 THEN ((20 * sum(age) + count(age)) // "
-    "(2 * count(age))) / 10.0 END AS avg_age, min(age) AS min_age, max(age) AS max_age FROM patients", PATIENT_CTES))
+    "SELECT count(*) AS total_patients, CASE WHEN count(age) > 0 THEN CAST(((20 * sum(age) + count(age)) // "
+    "(2 * count(age))) / 10.0 AS DOUBLE) END AS avg_age, min(age) AS min_age, max(age) AS max_age FROM patients", PATIENT_CTES))
 def a13(spark, d):
     return PT.age_summary(_pats(spark, d))
 
@@ -117,8 +117,8 @@ def a23(spark, d):
     return PT.age_histogram(spark, _pats(spark, d))
 
 
-_FIG_SQL = ("SELECT count(*) AS total_patients, CASE WHEN count(age) > 0 THEN ((20 * sum(age) + count(age)) // "
-            "(2 * count(age))) / 10.0 END AS avg_age, min(age) AS min_age, max(age) AS max_age, "
+_FIG_SQL = ("SELECT count(*) AS total_patients, CASE WHEN count(age) > 0 THEN CAST(((20 * sum(age) + count(age)) // "
+            "(2 * count(age))) / 10.0 AS DOUBLE) END AS avg_age, min(age) AS min_age, max(age) AS max_age, "
             "(SELECT diagnosis FROM patients GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_diagnosis, "
             "(SELECT hospital_zone FROM patients GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS top_zone "
             "FROM patients")

@@ -26,6 +26,7 @@ from carelake.plans.sizing import broadcast_if_small
 from carelake.sources.fixture import encounters_raw, table
 
 PREDICTION_EPOCH = "2024-01-01 00:00:00"
+LOGIT_SCALE = 10.0         # the first 3 embedding elements times 10 are the class logits
 MANUAL_EVERY = 11          # encounters whose id % 11 = 0 seed the manual catalogue
 MANUAL_EXTRA = "Rare Syndrome"   # FIXED VALUE: one manual disease without symptoms
 ACTIVE_EVERY = 3           # second dataset: encounter_id % 3 = 0
@@ -71,14 +72,14 @@ def notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"), level.alias("level"), t.alias("source"), t.alias("title"),
         F.col("props").alias("message"), F.lit("").alias("meta"),
-        (F.col("user_id") % 2).cast("int").alias("is_read"), F.col("ts").alias("created_at"),
+        (F.col("user_id") % 2).cast("int").alias("is_read"), F.col("ts").cast("timestamp").alias("created_at"),
     )
 
 
 def xray_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction log: class probabilities as an array (order of XRAY_CLASSES) and a map."""
     e = table(spark, sf_dir, "embeddings")
-    z = [F.exp(F.get("embedding", i).cast("double")) for i in range(3)]
+    z = [F.exp(F.get("embedding", i).cast("double") * LOGIT_SCALE) for i in range(3)]
     total = z[0] + z[1] + z[2]
     probs = F.array(*[zi / total for zi in z])
     base = e.select(
@@ -147,3 +148,24 @@ def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("encounter_id", F.col("diagnosis").alias("y_true"),
                     F.when(F.col("encounter_id") % MISPREDICT_EVERY == 0, F.col("next_class"))
                     .otherwise(F.col("diagnosis")).alias("y_pred"))
+
+
+def image_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image store metadata (files collection) from ``pages``: nested, nullable metadata."""
+    p = table(spark, sf_dir, "pages").select("page_id")
+    pid = F.col("page_id")
+    leaf = F.concat(F.lit("img_"), pid.cast("string"), F.lit(".png"))
+    meta = F.struct(
+        F.concat(F.lit("user"), (pid % 3).cast("string")).alias("uploaded_by"),
+        F.lit("2024-01-01T00:00:00+00:00").alias("uploaded_at"),
+        F.when(pid % 5 != 0, leaf).alias("original_filename"),
+        F.lit("image/png").alias("content_type"),
+        F.when(pid % 2 == 0, "general").otherwise("dental").alias("category"),
+        F.when(pid % 4 == 0, F.concat(F.lit("note "), pid.cast("string"))).alias("notes"),
+    )
+    return p.select(
+        pid.alias("file_id"), F.concat(pid.cast("string"), F.lit("_"), leaf).alias("filename"),
+        (pid * 37 % 5000 + 100).alias("length"),
+        (F.to_timestamp(F.lit(PREDICTION_EPOCH)) + F.make_interval(hours=(pid * 7 % 1000).cast("int"))).alias("upload_date"),
+        F.when(pid % 2 == 0, "general").otherwise("dental").alias("category"),
+        meta.alias("metadata"))
