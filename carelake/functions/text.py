@@ -60,17 +60,17 @@ def renormalize_translated(x) -> Column:
 
 
 def title_case(x) -> Column:
-    """``str.title()``: a letter after a non-letter is upper case, other letters lower."""
-    chars = F.split(F.lower(_c(x)), "")
-    return F.array_join(
-        F.transform(
-            chars,
-            lambda ch, i: F.when(
-                (i == 0) | ~F.regexp_like(F.get(chars, i - 1), F.lit(r"\p{L}")), F.upper(ch)
-            ).otherwise(ch),
-        ),
-        "",
-    )
+    """``str.title()``: a letter after a non-letter is upper case, other letters lower.
+
+    Each character is paired with the one before it (a shifted copy of the
+    character list), so the list is built once per value.
+    """
+    def pairs(chars):
+        prev = F.concat(F.array(F.lit("")), F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))))
+        return F.arrays_zip(chars.alias("c"), prev.alias("p"))
+    body = lambda chars: F.array_join(F.transform(
+        pairs(chars), lambda e: F.when(~F.regexp_like(e["p"], F.lit(r"\p{L}")), F.upper(e["c"])).otherwise(e["c"])), "")
+    return let(F.split(F.lower(_c(x)), ""), body)
 
 
 def symptom_count(x) -> Column:
@@ -102,15 +102,22 @@ def _symptom_keys_by_length() -> Column:
     ])
 
 
+def _any_key_regex() -> str:
+    import re
+    return "|".join(re.escape(k) for k, _ in K.symptom_map_by_length())
+
+
 def translate_item(item: Column) -> Column:
     """P13 for one stripped item: longest dictionary key contained in it wins.
 
     An exact key match is the longest possible hit, so the map lookup answers
-    most items; only the rest scan the length-ordered key list.
+    most items; an item no key occurs in is rejected by one compiled regex;
+    only the rest scan the length-ordered key list.
     """
     low = F.lower(item)
     keys = _symptom_keys_by_length()
-    scanned = F.get(F.filter(keys, lambda e: F.contains(low, e["k"])), 0)["v"]
+    scanned = F.when(F.regexp_like(low, F.lit(_any_key_regex())),
+                     F.get(F.filter(keys, lambda e: F.contains(low, e["k"])), 0)["v"])
     return F.coalesce(F.try_element_at(_symptom_map_literal(), low), scanned, item)
 
 
@@ -125,9 +132,13 @@ def is_numeric_text(x) -> Column:
 
 
 def numeric_value(x) -> Column:
-    """Number or null (finite only); pandas ``to_numeric(errors='coerce')``."""
+    """Number or null (finite only); pandas ``to_numeric(errors='coerce')``.
+
+    The grammar check already excludes nan and inf spellings; only overflow
+    to infinity (e.g. 1e400) remains, which the cast-back test rejects.
+    """
     d = F.when(is_numeric_text(x), py_strip(x).try_cast("double"))
-    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
+    return let(d, lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
 
 
 def is_integer_text(x) -> Column:
@@ -156,10 +167,20 @@ def age_bin(age) -> Column:
 
 # --------------------------------------------------------------- gender
 def normalize_gender(x) -> Column:
-    """Strip, title case, replace whole spellings."""
+    """Strip, title case, replace whole spellings (one lookup in a map of
+    spellings to themselves plus the replacements)."""
     t = title_case(py_strip(x))
     m = F.create_map(*[F.lit(v) for kv in K.GENDER_REPLACE.items() for v in kv])
-    return F.coalesce(F.try_element_at(m, t), t)
+    return let(t, lambda v: F.coalesce(F.try_element_at(m, v), v))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Python builds expression trees, so a sub-expression used twice would be
+    computed twice; binding it through a one-element array avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def gender_code_etl(x) -> Column:

@@ -25,10 +25,15 @@ def stage_rows(raw: DataFrame) -> DataFrame:
 
 
 def annotate(d: DataFrame, cols: list[str]) -> DataFrame:
-    """Cleaned columns and the first reject reason for rows already deduplicated."""
-    age_d = T.numeric_value("age_raw")
-    sym = T.normalize_symptoms("symptoms")
-    diag = T.py_strip("diagnosis")
+    """Cleaned columns and the first reject reason for rows already deduplicated.
+
+    Parsed age, normalised symptoms and stripped diagnosis are columns of
+    their own, so each is computed once per row and then only referenced.
+    """
+    d = (d.withColumn("_age_d", T.numeric_value("age_raw"))
+          .withColumn("_sym", T.normalize_symptoms("symptoms"))
+          .withColumn("_diag", T.py_strip("diagnosis")))
+    age_d, sym, diag = F.col("_age_d"), F.col("_sym"), F.col("_diag")
     any_null = None
     for c in CRITICAL:
         any_null = F.col(c).isNull() if any_null is None else (any_null | F.col(c).isNull())
@@ -39,16 +44,17 @@ def annotate(d: DataFrame, cols: list[str]) -> DataFrame:
         .when(sym == "", "empty_symptoms")
         .when(diag == "", "empty_text")
     )
+    d = d.withColumn("_reason", reason)
     passthrough = [c for c in cols if c not in ("age_raw", "gender", "symptoms", "diagnosis")]
     return d.select(
         *passthrough,
         "age_raw",
-        F.when(reason.isNull(), age_d.cast("int")).alias("age"),
+        F.when(F.col("_reason").isNull(), age_d.cast("int")).alias("age"),
         T.normalize_gender("gender").alias("gender"),
         sym.alias("symptoms"),
         diag.alias("diagnosis"),
         "copies",
-        reason.alias("reject_reason"),
+        F.col("_reason").alias("reject_reason"),
         F.col("symptoms").alias("symptoms_raw"),
     )
 

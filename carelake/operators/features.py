@@ -36,14 +36,14 @@ def model_rows(raw: DataFrame) -> DataFrame:
     Rows need the four critical fields; the age must convert like ``int()`` on
     the parsed number. Stay length feeds only the risk label (K22).
     """
-    age_d = T.numeric_value("age_raw")
     d = raw.filter(
         F.col("age_raw").isNotNull() & F.col("gender").isNotNull()
         & F.col("symptoms").isNotNull() & F.col("diagnosis").isNotNull()
-        & age_d.isNotNull() & (F.abs(age_d) < 2.0 ** 31)
-    )
-    days = T.stay_days("date_of_admission", "discharge_date")
-    age = T.numeric_value("age_raw").cast("int")
+    ).withColumn("_age_d", T.numeric_value("age_raw"))
+    d = d.filter(F.col("_age_d").isNotNull() & (F.abs(F.col("_age_d")) < 2.0 ** 31))
+    d = d.withColumn("_days", T.stay_days("date_of_admission", "discharge_date")) \
+        .withColumn("_age", F.col("_age_d").cast("int"))
+    days, age = F.col("_days"), F.col("_age")
     key = (F.col("encounter_id") * 8 + F.col("copy_no")) if "copy_no" in raw.columns else F.col("encounter_id")
     return d.select(
         "encounter_id",

@@ -1,8 +1,10 @@
 """Zone and doctor assignment, label translation, roster seed.
 
-Lookup tables are tiny constant frames or literal maps. A frame is broadcast
-only after its row count was checked against a bound (``sizing``); above it
-the planner's shuffle join is used.
+Lookup tables are tiny constant frames or literal maps. Joins carry no
+broadcast hint: the planner broadcasts a side whose estimated size is under
+``spark.sql.autoBroadcastJoinThreshold`` (exact for driver-built frames), and
+AQE switches a shuffle join to a broadcast only after measuring the shuffled
+side; above the bound the shuffle join stays.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from pyspark.sql import types as TT
 
 from carelake.functions import constants as K
 from carelake.functions import text as T
-from carelake.plans.sizing import broadcast_if_small
 
 DOCTOR_SCHEMA = TT.StructType([
     TT.StructField("id", TT.LongType()), TT.StructField("name", TT.StringType()),
@@ -59,7 +60,7 @@ def assign(df: DataFrame, doctors: DataFrame, diagnosis_col: str = "diagnosis",
     d = F.col(diagnosis_col)
     with_zone = (df.withColumn(zone_col, zone_for(d))
                  .withColumn("_mapped_doc", F.coalesce(T.mapped_doctor(d), F.lit(K.DUTY_DOCTOR))))
-    roster = broadcast_if_small(first_doctor_per_zone(doctors), max_rows=100_000)
+    roster = first_doctor_per_zone(doctors)
     j = with_zone.join(roster, F.lower(F.col(zone_col)) == roster["_zone_key"], "left")
     doc_text = F.when(F.col("_doc_name").isNotNull(),
                       F.format_string("%s (%s)", F.col("_doc_name"),

@@ -22,7 +22,6 @@ from carelake.functions import text as T
 from carelake.operators import evaluate as EV
 from carelake.operators import sampling as SM
 from carelake.operators import tfidf as TF
-from carelake.plans.sizing import broadcast_if_small
 
 
 @dataclass
@@ -66,9 +65,9 @@ def featurize(rows: DataFrame, text: TextModel, text_col: str, age: str = "age",
 
 
 def with_weights(df: DataFrame, label: str) -> DataFrame:
-    """A25 weights joined on the label (one row per class, size-checked broadcast)."""
+    """A25 weights joined on the label (one row per class; the planner broadcasts it by measured size)."""
     w = EV.balanced_weights(df, label).select(label, "weight")
-    return df.join(broadcast_if_small(w, 100_000), label)
+    return df.join(w, label)
 
 
 def fit_classifier(train: DataFrame, label: str, text: TextModel, text_col: str, n_trees: int,

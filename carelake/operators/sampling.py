@@ -36,13 +36,19 @@ def hash01(*parts) -> Column:
 # ---------------------------------------------------------------- M01
 def symptom_dropout(text: Column, row_id: Column, keep: float = K.SYMPTOM_KEEP_PROB,
                     seed: int = K.SEED) -> Column:
-    """Keep each stripped non-blank item when its hash is below ``keep``; at least one kept."""
+    """Keep each stripped non-blank item when its hash is below ``keep``; at least one kept.
+
+    The scored list is bound once (``let``) and then filtered and searched.
+    """
     items = T.split_items(text)
-    scored = F.transform(items, lambda s, i: F.struct(s.alias("s"), hash01(seed, row_id, i).alias("h")))
-    kept = F.filter(scored, lambda e: e["h"] < keep)
-    lowest = F.array(F.array_min(F.transform(scored, lambda e: F.struct(e["h"].alias("h"), e["s"].alias("s"))))["s"])
-    out = F.when(F.size(kept) > 0, F.transform(kept, lambda e: e["s"])).otherwise(lowest)
-    return F.when(F.size(items) == 0, F.lit("")).otherwise(F.array_join(out, ", "))
+    scored = F.transform(items, lambda s, i: F.struct(hash01(seed, row_id, i).alias("h"), s.alias("s")))
+
+    def pick(sc):
+        kept = F.filter(sc, lambda e: e["h"] < keep)
+        return F.when(F.size(sc) == 0, F.lit("")).otherwise(F.array_join(
+            F.when(F.exists(sc, lambda e: e["h"] < keep), F.transform(kept, lambda e: e["s"]))
+            .otherwise(F.array(F.array_min(sc)["s"])), ", "))
+    return T.let(scored, pick)
 
 
 # ------------------------------------------------------- k smallest rows
@@ -71,18 +77,28 @@ def k_smallest(df: DataFrame, h: str, tie: str, k, keys: list[str] | None = None
                flag: str = "selected") -> DataFrame:
     """Flag, per key, the ``k`` rows with the smallest (h, tie); h in [0, 2^32).
 
-    ``k`` is an int (the same for every key) or a dict {key tuple: k}. The
-    counts per (key, 2^16 bucket) and per (key, sub-bucket) are small tables
-    read by the driver; rows are ranked only inside the final sub-bucket.
+    ``k`` is an int (the same for every key), a dict {key tuple: k}, or a
+    function of the key's row count. The input is checkpointed once (to the
+    shared checkpoint folder) so the few passes below read it instead of
+    recomputing its lineage. The counts per (key, 2^16 bucket) and per
+    (key, sub-bucket) are small tables read by the driver; rows are ranked
+    only inside the final sub-bucket.
     """
     spark = df.sparkSession
     keys = list(keys or [])
     kcols = keys or ["_one"]
     work = df.withColumn("_one", F.lit(1)) if not keys else df
     work = work.withColumn("_b1", (F.col(h) / 65536).cast("long")).withColumn("_b2", (F.col(h) % 65536).cast("long"))
+    work = work.checkpoint(eager=True)
     c1 = work.groupBy(*kcols, "_b1").agg(F.count(F.lit(1)).alias("_n")).collect()
     present = {tuple(r[:-2]) for r in c1}
-    need = {key: (k if isinstance(k, int) else int(k.get(key if keys else (), 0))) for key in present}
+    totals: dict = {}
+    for r in c1:
+        totals[tuple(r[:-2])] = totals.get(tuple(r[:-2]), 0) + r[-1]
+    if callable(k):
+        need = {key: int(k(totals[key])) for key in present}
+    else:
+        need = {key: (k if isinstance(k, int) else int(k.get(key if keys else (), 0))) for key in present}
     b1 = _boundary([tuple(r) for r in c1], need)
     t1 = spark.createDataFrame([(*key, b, n) for key, (b, n) in b1.items()],
                                work.select(*kcols).schema.add("_b1s", "long").add("_n1", "long"))
@@ -116,10 +132,8 @@ def label_noise(df: DataFrame, label: str, id_col: str, classes: list[str],
 
     ``tie_col`` must be unique per row (defaults to ``id_col``).
     """
-    n = df.count()
-    k = int(math.floor(n * pct))
     h = df.withColumn("_h", hash32(seed, F.col(id_col)))
-    flagged = k_smallest(h, "_h", tie_col or id_col, k, flag="_noisy")
+    flagged = k_smallest(h, "_h", tie_col or id_col, lambda n: math.floor(n * pct), flag="_noisy")
     others = F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c != F.col(label))
     pick = F.get(others, (hash32(seed, "alt", F.col(id_col)) % F.greatest(F.size(others), F.lit(1))).cast("int"))
     return flagged.withColumn(out, F.when(F.col("_noisy"), pick).otherwise(F.col(label))).drop("_h", "_noisy")
@@ -134,10 +148,9 @@ def split_hash(id_col: str, test_size: float = 0.2, seed: int = K.SEED) -> Colum
 def split_exact(df: DataFrame, label: str, id_col: str, test_size: float = 0.2, seed: int = K.SEED,
                 tie_col: str | None = None) -> DataFrame:
     """W03 exact: per class, the floor(test_size * n_c + 0.5) rows of smallest hash are test."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    need = {(r[label],): int(math.floor(r["n"] * test_size + 0.5)) for r in counts}
     h = df.withColumn("_h", hash32(seed, "split", F.col(id_col)))
-    return k_smallest(h, "_h", tie_col or id_col, need, keys=[label], flag="is_test").drop("_h")
+    return k_smallest(h, "_h", tie_col or id_col, lambda n: math.floor(n * test_size + 0.5),
+                      keys=[label], flag="is_test").drop("_h")
 
 
 def fold_hash(id_col: str, folds: int = 3, seed: int = K.SEED) -> Column:

@@ -14,6 +14,9 @@ vocabulary and array higher-order functions, all JVM-side.
 
 from __future__ import annotations
 
+import math
+
+from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,40 +27,80 @@ MAX_FEATURES = 400
 MIN_DF = 2
 
 
-def terms(text: Column) -> Column:
-    """Unigrams then bigrams of the lower-cased token list."""
-    toks = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RE), 0)
+def with_terms(df: DataFrame, text_col: str, out: str = "_terms") -> DataFrame:
+    """Add ``out``: unigrams then bigrams of the lower-cased token list.
+
+    Tokens are a column of their own, so the bigram lambda reads the list
+    instead of re-extracting it per element (the optimizer keeps a non-cheap
+    column referenced several times as one computed value).
+    """
+    d = df.withColumn("_toks", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TOKEN_RE), 0))
+    toks = F.col("_toks")
     bigrams = F.transform(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
                           lambda t, i: F.concat_ws(" ", F.get(toks, i), t))
-    return F.concat(toks, bigrams)
+    return d.withColumn(out, F.concat(toks, bigrams)).drop("_toks")
+
+
+def with_term_counts(df: DataFrame, text_col: str, out: str = "_tc") -> DataFrame:
+    """Add ``out``: array<struct<term, tf>> of the row's document (no shuffle).
+
+    Symptom texts hold a few dozen terms, so counting each distinct term in
+    the row's own list is cheap.
+    """
+    d = with_terms(df, text_col, "_terms")
+    t = F.col("_terms")
+    return d.withColumn(out, F.transform(F.array_distinct(t), lambda x: F.struct(
+        x.alias("term"), F.size(F.filter(t, lambda y: y == x)).alias("tf")))).drop("_terms")
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, tf)."""
-    return (docs.select(id_col, F.explode(terms(F.col(text_col))).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(doc, term, tf): one row per document term (each input row is a document)."""
+    return (with_term_counts(docs.select(id_col, text_col), text_col)
+            .select(id_col, F.explode("_tc").alias("e")).select(id_col, "e.term", "e.tf"))
 
 
 def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str,
                    max_features: int = MAX_FEATURES, min_df: int = MIN_DF) -> DataFrame:
-    """(term, idx, df, idf): the fitted vocabulary, alphabetical index order."""
-    n_docs = docs.select(id_col).distinct().count()
-    tc = term_counts(docs, id_col, text_col)
-    stats = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    top = stats.filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
-    vocab = top.select("term", "df", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    rows = vocab.orderBy("term").collect()          # at most max_features rows
+    """(term, idx, df, idf): the fitted vocabulary, alphabetical index order.
+
+    One grouped aggregation over (term) with map-side combine gives df and the
+    total count. Every document also emits one marker term "" (real terms have
+    at least two characters), whose df is the document count: one pass.
+    """
+    marker = F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf")))
+    tc = (with_term_counts(docs.select(text_col), text_col)
+          .select(F.explode(F.concat(F.col("_tc"), marker)).alias("e")).select("e.*"))
+    stats = (tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+             .persist(StorageLevel.MEMORY_AND_DISK))          # one row per distinct term
+    try:
+        first = stats.filter(F.col("term") == "").select("df").first()
+        n_docs = int(first[0]) if first else 0
+        top = (stats.filter((F.col("term") != "") & (F.col("df") >= min_df))
+               .orderBy(F.desc("total"), "term").limit(max_features).collect())   # <= max_features rows
+    finally:
+        stats.unpersist()
     spark = docs.sparkSession
-    return spark.createDataFrame([(r["term"], i, r["df"], r["idf"]) for i, r in enumerate(rows)],
-                                 "term string, idx int, df long, idf double")
+    rows = sorted(top, key=lambda r: r["term"])
+    return spark.createDataFrame(
+        [(r["term"], i, r["df"], math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0) for i, r in enumerate(rows)],
+        "term string, idx int, df long, idf double")
 
 
 def weights_long(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, term, weight): sublinear tf x idf, L2-normalised per document."""
-    tc = term_counts(docs, id_col, text_col).join(F.broadcast(vocab.select("term", "idf")), "term")
-    raw = tc.withColumn("w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    norm = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    """(doc, term, weight): sublinear tf x idf, L2-normalised per document.
+
+    The vocabulary (at most ``max_features`` rows, collected) becomes a literal
+    map, so weights and the norm are computed inside each row: no shuffle.
+    """
+    idf = {r["term"]: float(r["idf"]) for r in vocab.select("term", "idf").collect()}
+    m = F.create_map(*[F.lit(v) for kv in idf.items() for v in kv]) if idf else F.create_map().cast("map<string,double>")
+    kept = F.filter(F.transform(F.col("_tc"), lambda e: F.struct(
+        e["term"].alias("term"), ((1.0 + F.log(e["tf"].cast("double"))) * F.try_element_at(m, e["term"])).alias("w"))),
+        lambda e: e["w"].isNotNull())
+    d = with_term_counts(docs.select(id_col, text_col), text_col).select(id_col, kept.alias("_k"))
+    d = d.withColumn("_norm", F.sqrt(F.aggregate("_k", F.lit(0.0), lambda a, e: a + e["w"] * e["w"])))
+    return d.select(id_col, "_norm", F.explode("_k").alias("e")).select(
+        id_col, "e.term", (F.col("e.w") / F.col("_norm")).alias("weight"))
 
 
 def vectorizer(spark: SparkSession, vocab: DataFrame, input_col: str = "terms",
@@ -70,9 +113,8 @@ def vectorizer(spark: SparkSession, vocab: DataFrame, input_col: str = "terms",
 def tfidf_array(df: DataFrame, text_col: str, model: CountVectorizerModel, idf: list[float],
                 out: str = "tfidf") -> DataFrame:
     """Add ``out`` as array<double> (vocabulary order) with the exact weights."""
-    with_terms = df.withColumn("_terms", terms(F.col(text_col)))
     model = model.copy().setInputCol("_terms").setOutputCol("_tf")
-    v = model.transform(with_terms)
+    v = model.transform(with_terms(df, text_col, "_terms"))
     idf_lit = F.array(*[F.lit(x) for x in idf])
     arr = F.transform(vector_to_array("_tf"),
                       lambda x, i: F.when(x > 0, (1.0 + F.log(x)) * F.get(idf_lit, i)).otherwise(F.lit(0.0)))

@@ -179,22 +179,24 @@ def w04(spark, d):
 
 # -------------------------------------------------------------------- TF-IDF
 TFIDF_CTES = (
-    "tftok AS (SELECT encounter_id, regexp_extract_all(lower(symptoms_train), '\\b\\w\\w+\\b') AS t FROM mdocs), "
-    "trm AS (SELECT encounter_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) "
+    "tftok AS (SELECT row_number() OVER () AS doc, encounter_id, regexp_extract_all(lower(symptoms_train), "
+    "'\\b\\w\\w+\\b') AS t FROM mdocs), "
+    "trm AS (SELECT doc, encounter_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) "
     "AS term FROM tftok), "
-    "tfc AS (SELECT encounter_id, term, count(*) AS tf FROM trm GROUP BY ALL), "
-    "ndocs AS (SELECT count(DISTINCT encounter_id) AS n FROM mdocs), "
+    "tfc AS (SELECT doc, encounter_id, term, count(*) AS tf FROM trm GROUP BY ALL), "
+    "ndocs AS (SELECT count(*) AS n FROM mdocs), "
     "voc AS (SELECT term, ln((1.0 + (SELECT n FROM ndocs)) / (1.0 + df)) + 1.0 AS idf FROM (SELECT term, count(*) AS df, "
     "sum(tf) AS total FROM tfc GROUP BY term) WHERE df >= 2 ORDER BY total DESC, term LIMIT 400), "
-    "wr AS (SELECT encounter_id, term, (1.0 + ln(tf)) * idf AS w FROM tfc JOIN voc USING (term)), "
-    "wn AS (SELECT encounter_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY encounter_id)) AS weight FROM wr)")
+    "wr AS (SELECT doc, encounter_id, term, (1.0 + ln(tf)) * idf AS w FROM tfc JOIN voc USING (term)), "
+    "wn AS (SELECT encounter_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc)) AS weight FROM wr)")
 
 
 @register("m03_tfidf_weights", O.with_fixture(
     "SELECT encounter_id, term, round_even(weight, 6) AS weight FROM wn",
     MODEL_ROWS_CTE + ", " + DROPOUT_CTE + ", " + TFIDF_CTES))
 def m03(spark, d):
-    docs = train_docs(spark, d)
+    # Two passes (vocabulary, weights) read the documents: checkpoint them once.
+    docs = train_docs(spark, d).select("encounter_id", "symptoms_train").checkpoint()
     vocab = TF.fit_vocabulary(docs, "encounter_id", "symptoms_train")
     return TF.weights_long(docs, vocab, "encounter_id", "symptoms_train") \
         .select("encounter_id", "term", F.bround("weight", 6).alias("weight"))
@@ -203,7 +205,7 @@ def m03(spark, d):
 @register("m03_tfidf_vocabulary", O.with_fixture(
     "SELECT term, round_even(idf, 6) AS idf FROM voc", MODEL_ROWS_CTE + ", " + DROPOUT_CTE + ", " + TFIDF_CTES))
 def m03v(spark, d):
-    docs = train_docs(spark, d)
+    docs = train_docs(spark, d).select("encounter_id", "symptoms_train")
     return TF.fit_vocabulary(docs, "encounter_id", "symptoms_train").select("term", F.bround("idf", 6).alias("idf"))
 
 

@@ -22,7 +22,6 @@ from carelake.functions import constants as K
 from carelake.functions import text as T
 from carelake.operators import clean as C
 from carelake.operators import lookup as L
-from carelake.plans.sizing import broadcast_if_small
 from carelake.sources.fixture import encounters_raw, table
 
 PREDICTION_EPOCH = "2024-01-01 00:00:00"
@@ -136,7 +135,8 @@ def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored (y_true, y_pred) pairs: prediction is the next class every 7th id.
 
     The class table has one row per distinct diagnosis; it is numbered by a
-    single-partition window and broadcast only after its size was checked.
+    single-partition window. Its join is left to the planner and AQE, which
+    broadcast it only after measuring its size.
     """
     c = C.clean(encounters_raw(spark, sf_dir)).select("encounter_id", "diagnosis")
     w = Window.orderBy("diagnosis")
@@ -144,7 +144,7 @@ def split_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = (c.select("diagnosis").distinct()
            .select("diagnosis", F.coalesce(F.lead("diagnosis", 1).over(w),
                                            F.first("diagnosis").over(whole)).alias("next_class")))
-    j = c.join(broadcast_if_small(nxt, 100_000), "diagnosis")
+    j = c.join(nxt, "diagnosis")
     return j.select("encounter_id", F.col("diagnosis").alias("y_true"),
                     F.when(F.col("encounter_id") % MISPREDICT_EVERY == 0, F.col("next_class"))
                     .otherwise(F.col("diagnosis")).alias("y_pred"))
