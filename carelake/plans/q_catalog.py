@@ -122,14 +122,17 @@ def s15(spark, d):
 _LOW_KNOWN = ", ".join(O.q(k.lower()) for k in K.KNOWN_DISEASE_CLASSES)
 
 
-@register("j04_catalogue_with_manual", O.with_fixture(
+REGISTRY_SQL_J04 = O.with_fixture(
     "SELECT coalesce(d.name, m.name) AS name, coalesce(d.n, 0) AS n, coalesce(d.avg_age, 0) AS avg_age, "
     "array_to_string(CASE WHEN d.key IS NULL THEN m.syms WHEN m.name IS NULL THEN d.syms ELSE "
     + _union_ci_sql("d.syms", "m.syms") + " END, ', ') AS common_symptoms, coalesce(g.genders, '') AS genders, "
     "coalesce(d.sources, '') AS sources, m.name IS NOT NULL AS manual, "
     f"lower(trim(coalesce(d.name, m.name))) NOT IN ({_LOW_KNOWN}) AS new_for_model "
     "FROM merged d FULL OUTER JOIN manual m ON d.key = lower(trim(m.name)) LEFT JOIN mgen g ON g.key = d.key",
-    MERGE_CTES + ",\n" + MANUAL_CTES))
+    MERGE_CTES + ",\n" + MANUAL_CTES)
+
+
+@register("j04_catalogue_with_manual", REGISTRY_SQL_J04)
 def j04(spark, d):
     cat = CT.flag_new_for_model(CT.with_manual(merged(spark, d), manual(spark, d)))
     out = CT.flat_catalogue(CT.catalogue(cat))

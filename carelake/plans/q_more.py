@@ -137,3 +137,78 @@ def s14(spark, d):
     a = CO.anomaly(pats, t.disease, t.forest, "symptoms_translated").select("id", F.col("anomaly_score").alias("a"))
     b = CO.anomaly(pats, disease, forest, "symptoms_translated").select("id", F.col("anomaly_score").alias("b"))
     return a.join(b, "id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") == F.col("b")).alias("equal"))
+
+
+# ------------------------------------------------- explicit inventory entries
+from carelake.plans import q_catalog as QC  # noqa: E402
+from carelake.plans import q_models as QM  # noqa: E402
+from carelake.plans import q_records as QR  # noqa: E402
+
+
+@register("p20_clinical_alert", O.with_fixture(
+    "SELECT pred_id, predicted_class, clinical_alert, CASE WHEN clinical_alert AND predicted_class = 'covid' "
+    "THEN 'covid' WHEN clinical_alert THEN 'pneumonia' ELSE '' END AS alert_kind FROM preds", QR.PRED_CTES))
+def p20(spark, d):
+    p = R.xray_predictions(spark, d)
+    kind = F.when(F.col("clinical_alert") & (F.col("predicted_class") == "covid"), "covid") \
+        .when(F.col("clinical_alert"), "pneumonia").otherwise("")
+    return p.select("pred_id", "predicted_class", "clinical_alert", kind.alias("alert_kind"))
+
+
+@register("p21_argmax_class", O.with_fixture(
+    "SELECT pred_id, predicted_class, CASE predicted_class WHEN 'normal' THEN 'Sana' WHEN 'pneumonia' THEN 'Neumonía' "
+    "ELSE 'COVID-19' END AS predicted_label, confidence, confidence_pct FROM preds", QR.PRED_CTES))
+def p21(spark, d):
+    return R.xray_predictions(spark, d).select("pred_id", "predicted_class", "predicted_label", "confidence",
+                                               "confidence_pct")
+
+
+@register("w02_first_doctor_per_zone", O.with_clean(
+    "SELECT DISTINCT p.hospital_zone, fd.dname AS doctor FROM patients p JOIN first_doc fd "
+    "ON fd.zkey = lower(p.hospital_zone)", QR.PATIENT_CTES))
+def w02(spark, d):
+    first = L.first_doctor_per_zone(L.default_doctors(spark))
+    zones = R.patients(spark, d).select("hospital_zone").distinct()
+    return zones.join(first, F.lower("hospital_zone") == first["_zone_key"]).select(
+        "hospital_zone", F.col("_doc_name").alias("doctor"))
+
+
+register("l05_doctors_by_name", O.with_clean(
+    "SELECT r.id, r.name, r.specialty, r.zone, count(p.id) AS assigned_patients FROM roster r "
+    "LEFT JOIN patients p ON p.specialist_doctor = r.name || ' (' || r.specialty || ')' "
+    "WHERE r.is_active = 1 GROUP BY ALL", QR.PATIENT_CTES))(QR.p24)
+register("l06_disease_catalogue_order", QC.REGISTRY_SQL_J04)(QC.j04)
+
+
+@register("l07_top5_predictions")
+def l07(spark, d):
+    from carelake.plans.q_jobs import trained
+    return trained(spark, d).disease_test.select("encounter_id", "top_predictions")
+
+
+register("l08_newest_metrics")(__import__("carelake.plans.q_files", fromlist=["s12"]).s12)
+
+
+@register("u02_image_manifest", O.with_fixture(
+    "SELECT page_id, dataset, class, target_split FROM lmc", QM.MANIFEST_CTES))
+def u02(spark, d):
+    return IM.label_map(R.image_manifest(spark, d)).select("page_id", "dataset", "class", "target_split")
+
+
+@register("m04_feature_vectors")
+def m04(spark, d):
+    from carelake.operators import models as M
+    from carelake.plans.q_jobs import trained
+    t = trained(spark, d)
+    f = M.featurize(t.rows, t.disease.text, "symptoms_train")
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return f.select("row_key", F.size(arr).alias("n_features"), F.get(arr, F.size(arr) - 2).alias("age"),
+                    F.get(arr, F.size(arr) - 1).alias("gender_enc"))
+
+
+@register("m18_training_run")
+def m18(spark, d):
+    from carelake.plans.q_jobs import trained
+    from carelake.plans.training import metrics_frame
+    return metrics_frame(spark, trained(spark, d).metrics)
