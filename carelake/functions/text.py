@@ -102,9 +102,32 @@ def _symptom_keys_by_length() -> Column:
     ])
 
 
-def _any_key_regex() -> str:
+def trie_regex(words: list[str]) -> str:
+    """One regex matching any of ``words``, with shared prefixes factored.
+
+    A flat alternation tries every word at every position; the factored form
+    follows one branch per character, so the scan is close to linear.
+    """
     import re
-    return "|".join(re.escape(k) for k, _ in K.symptom_map_by_length())
+    trie: dict = {}
+    for w in words:
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        alts = [re.escape(ch) + emit(sub) for ch, sub in sorted(node.items()) if ch != ""]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        return ("(?:" + body + ")?") if end else body
+    return emit(trie)
+
+
+def _any_key_regex() -> str:
+    return trie_regex([k for k, _ in K.symptom_map_by_length()])
 
 
 def translate_item(item: Column) -> Column:
@@ -138,7 +161,8 @@ def numeric_value(x) -> Column:
     to infinity (e.g. 1e400) remains, which the cast-back test rejects.
     """
     d = F.when(is_numeric_text(x), py_strip(x).try_cast("double"))
-    return let(d, lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
+    # Plain expressions: whole-stage codegen evaluates the repeated ``d`` once.
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
 def is_integer_text(x) -> Column:
