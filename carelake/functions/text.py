@@ -24,6 +24,21 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# ------------------------------------------------------------ constant tables
+def const_frame(spark, rows: list[tuple], schema: str):
+    """A small constant table as ``inline(array(struct...))`` over one row.
+
+    Unlike a frame built from a Python list (an RDD scan of unknown size), its
+    size is known to the planner, which then broadcasts it by its own check.
+    """
+    from pyspark.sql import types as TT
+    st = TT._parse_datatype_string(schema) if not isinstance(schema, TT.StructType) else schema
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    if not structs:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 # ---------------------------------------------------------------- strings
 def py_strip(x) -> Column:
     """``str.strip()``: remove Unicode blanks at both ends."""

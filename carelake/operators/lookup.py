@@ -28,7 +28,7 @@ DOCTOR_SCHEMA = TT.StructType([
 def default_doctors(spark: SparkSession) -> DataFrame:
     """The seeded roster: id = position from 1, all active."""
     rows = [(i + 1, n, s, z, e, p, sh, "", 1) for i, (n, s, z, e, p, sh) in enumerate(K.DEFAULT_DOCTOR_ROSTER)]
-    return spark.createDataFrame(rows, DOCTOR_SCHEMA)
+    return T.const_frame(spark, rows, DOCTOR_SCHEMA)
 
 
 def active_doctors(doctors: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def assign(df: DataFrame, doctors: DataFrame, diagnosis_col: str = "diagnosis",
 
 def zone_catalogue(spark: SparkSession) -> DataFrame:
     """One row per mapped diagnosis with its zone and doctor."""
-    return spark.createDataFrame(K.DIAGNOSIS_ASSIGNMENTS, "diagnosis string, zone string, doctor string")
+    return T.const_frame(spark, K.DIAGNOSIS_ASSIGNMENTS, "diagnosis string, zone string, doctor string")
 
 
 def label_map(kind: str, lang: Column | str) -> Column:

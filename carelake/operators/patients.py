@@ -73,7 +73,7 @@ def age_histogram(spark: SparkSession, p: DataFrame, newest_n: int = 1000) -> Da
     """Age bins of the newest patients; every bin present; missing age counts as 0."""
     recent = newest(p, newest_n).select(T.age_bin(F.coalesce(F.col("age"), F.lit(0))).alias("name"))
     counts = recent.groupBy("name").agg(F.count(F.lit(1)).alias("count"))
-    bins = spark.createDataFrame([(b, i) for i, (b, _u) in enumerate(K.AGE_BINS)], "name string, ord int")
+    bins = T.const_frame(spark, [(b, i) for i, (b, _u) in enumerate(K.AGE_BINS)], "name string, ord int")
     return (bins.join(counts, "name", "left")
             .select("name", F.coalesce("count", F.lit(0)).alias("count"), "ord").orderBy("ord").drop("ord"))
 

@@ -100,7 +100,7 @@ def manual_catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
                     F.posexplode(T.split_items(F.coalesce("symptoms", F.lit("")))).alias("pos", "spelling"))
             .filter(F.col("disease") != ""))
     seed = seed.withColumn("spelling", T.collapse_blanks("spelling"))
-    extra = spark.createDataFrame([(MANUAL_EXTRA,)], "name string")
+    extra = T.const_frame(spark, [(MANUAL_EXTRA,)], "name string")
     dnames = seed.select(F.col("disease").alias("name")).distinct().unionByName(extra)
     diseases = dnames.select(
         hash_id(F.lower("name")).alias("id"), "name", F.lit("staff").alias("created_by"),
