@@ -72,7 +72,9 @@ def age_by_diagnosis(xf: DataFrame, n: int = 15) -> DataFrame:
 
 def symptom_mentions(xf: DataFrame, col: str = "symptoms_en") -> DataFrame:
     """Every mention (bag) of a lower-cased, stripped, non-blank item."""
-    return xf.select(F.explode(T.split_items(F.lower(col))).alias("symptom"))
+    # explode_outer + null filter: a plain explode makes the optimizer add a
+    # size() > 0 filter that recomputes the item list (and any translation).
+    return xf.select(F.explode_outer(T.split_items(F.lower(col))).alias("symptom")).filter(F.col("symptom").isNotNull())
 
 
 def top_symptoms(xf: DataFrame, n: int = 20, col: str = "symptoms_en") -> DataFrame:
@@ -102,11 +104,11 @@ def symptom_pairs(raw: DataFrame, n: int = 10) -> DataFrame:
     Pairs are generated inside the row from its sorted set, then counted with
     partial aggregation; no join or grouping of rows is needed.
     """
-    s = symptom_set()
-    pairs = F.flatten(F.transform(
+    # The sorted set is bound once (``let``) so the inner lambda reads it.
+    pairs = T.let(symptom_set(), lambda s: F.flatten(F.transform(
         s, lambda a, i: F.transform(F.slice(s, i + 2, F.greatest(F.size(s), F.lit(1))),
-                                    lambda b: F.concat_ws(" + ", a, b))))
-    return _top(raw.select(F.explode(pairs).alias("pair")), "pair", n)
+                                    lambda b: F.concat_ws(" + ", a, b)))))
+    return _top(raw.select(F.explode_outer(pairs).alias("pair")).filter(F.col("pair").isNotNull()), "pair", n)
 
 
 def age_by_diagnosis_raw(raw: DataFrame) -> DataFrame:
@@ -155,7 +157,7 @@ def disease_profiles(raw: DataFrame, top_k: int = 8) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.bround(F.avg("age"), 0).cast("int").alias("avg_age"),
     )
-    sym = (rows.select("diagnosis", F.explode("items").alias("symptom"))
+    sym = (rows.select("diagnosis", F.explode_outer("items").alias("symptom")).filter(F.col("symptom").isNotNull())
            .groupBy("diagnosis", "symptom").agg(F.count(F.lit(1)).alias("c")))
     w = Window.partitionBy("diagnosis").orderBy(F.desc("c"), F.asc("symptom"))
     top = (sym.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_k)

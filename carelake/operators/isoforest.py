@@ -78,8 +78,12 @@ def fit(df: DataFrame, features: str, id_col: str, n_trees: int = 120, max_sampl
     p = min(1.0, 4.0 * max_samples / max(n, 1))
     limit = int(math.ceil(math.log2(max(sample, 2))))
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    # explode_outer + null filter (a plain explode would make the optimizer
+    # re-evaluate the 120 hashes in an inferred size() > 0 filter).
     cand = (df.select(id_col, features,
-                      F.explode(F.filter(trees, lambda t: hash01(seed, "iso-pick", t, F.col(id_col)) < p)).alias("tree"))
+                      F.explode_outer(F.filter(trees, lambda t: hash01(seed, "iso-pick", t, F.col(id_col)) < p))
+                      .alias("tree"))
+            .filter(F.col("tree").isNotNull())
             .withColumn("_h", hash01(seed, "iso-rank", F.col("tree"), F.col(id_col))))
     w = Window.partitionBy("tree").orderBy("_h", id_col)
     picked = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).select("tree", features)

@@ -55,8 +55,10 @@ def with_term_counts(df: DataFrame, text_col: str, out: str = "_tc") -> DataFram
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, term, tf): one row per document term (each input row is a document)."""
+    # Outer generator plus an explicit null filter: a plain one makes the
+    # optimizer add size(array) > 0, recomputing the whole term chain.
     return (with_term_counts(docs.select(id_col, text_col), text_col)
-            .select(id_col, F.explode("_tc").alias("e")).select(id_col, "e.term", "e.tf"))
+            .select(id_col, F.inline_outer("_tc")).filter(F.col("term").isNotNull()))
 
 
 def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str,
@@ -69,7 +71,7 @@ def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str,
     """
     marker = F.array(F.struct(F.lit("").alias("term"), F.lit(1).alias("tf")))
     tc = (with_term_counts(docs.select(text_col), text_col)
-          .select(F.explode(F.concat(F.col("_tc"), marker)).alias("e")).select("e.*"))
+          .select(F.inline_outer(F.concat(F.col("_tc"), marker))))
     stats = (tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
              .persist(StorageLevel.MEMORY_AND_DISK))          # one row per distinct term
     try:
@@ -99,8 +101,8 @@ def weights_long(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str)
         lambda e: e["w"].isNotNull())
     d = with_term_counts(docs.select(id_col, text_col), text_col).select(id_col, kept.alias("_k"))
     d = d.withColumn("_norm", F.sqrt(F.aggregate("_k", F.lit(0.0), lambda a, e: a + e["w"] * e["w"])))
-    return d.select(id_col, "_norm", F.explode("_k").alias("e")).select(
-        id_col, "e.term", (F.col("e.w") / F.col("_norm")).alias("weight"))
+    return d.select(id_col, "_norm", F.inline_outer("_k")).filter(F.col("term").isNotNull()).select(
+        id_col, "term", (F.col("w") / F.col("_norm")).alias("weight"))
 
 
 def vectorizer(spark: SparkSession, vocab: DataFrame, input_col: str = "terms",
