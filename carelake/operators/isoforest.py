@@ -145,7 +145,10 @@ def score_column(forest: Forest, features: str):
         x = np.vstack(col.to_numpy()).astype(np.float64) if len(col) else np.zeros((0, 1))
         return pd.Series(forest.score_samples(x))
 
-    return _score(F.col(features))
+    # Marked nondeterministic only to keep the optimizer from copying the call
+    # into pushed-down filters (which would score every row twice, with the
+    # feature chain inlined); the scores themselves are deterministic.
+    return _score.asNondeterministic()(F.col(features))
 
 
 def fit_offset(scored: DataFrame, score_col: str, contamination: float = 0.02) -> float:
