@@ -56,7 +56,8 @@ def p33(spark, d):
     + O.split_items("coalesce(symptoms, '')") + " AS items FROM encounters_raw)) GROUP BY key"))
 def w06(spark, d):
     items = encounters_raw(spark, d).select(
-        "encounter_id", F.posexplode(T.split_items(F.coalesce("symptoms", F.lit("")))).alias("pos", "sp"))
+        "encounter_id", F.posexplode_outer(T.split_items(F.coalesce("symptoms", F.lit("")))).alias("pos", "sp")) \
+        .filter(F.col("sp").isNotNull())
     return items.groupBy(F.lower("sp").alias("key")).agg(
         F.min_by("sp", F.struct("encounter_id", "pos")).alias("spelling"))
 
@@ -67,8 +68,8 @@ def w06(spark, d):
 def w01(spark, d):
     raw = encounters_raw(spark, d)
     rows = raw.select(T.py_strip(A.raw_text("diagnosis")).alias("diagnosis"),
-                      F.explode(T.split_items(F.lower(A.raw_text("symptoms")))).alias("symptom")) \
-        .filter(F.col("diagnosis") != "")
+                      F.explode_outer(T.split_items(F.lower(A.raw_text("symptoms")))).alias("symptom")) \
+        .filter((F.col("diagnosis") != "") & F.col("symptom").isNotNull())
     c = rows.groupBy("diagnosis", "symptom").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("diagnosis").orderBy(F.desc("n"), "symptom")
     return c.withColumn("rk", F.row_number().over(w)).filter("rk <= 8")

@@ -97,8 +97,8 @@ def manual_catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     raw = encounters_raw(spark, sf_dir)
     seed = (raw.filter((F.col("encounter_id") % MANUAL_EVERY == 0) & F.col("diagnosis").isNotNull())
             .select("encounter_id", F.upper(T.normalize_term("diagnosis")).alias("disease"),
-                    F.posexplode(T.split_items(F.coalesce("symptoms", F.lit("")))).alias("pos", "spelling"))
-            .filter(F.col("disease") != ""))
+                    F.posexplode_outer(T.split_items(F.coalesce("symptoms", F.lit("")))).alias("pos", "spelling"))
+            .filter((F.col("disease") != "") & F.col("spelling").isNotNull()))
     seed = seed.withColumn("spelling", T.collapse_blanks("spelling"))
     extra = T.const_frame(spark, [(MANUAL_EXTRA,)], "name string")
     dnames = seed.select(F.col("disease").alias("name")).distinct().unionByName(extra)
