@@ -25,9 +25,10 @@ def test_flagship_prunes_columns_and_broadcasts_roster(spark, sf_dir):
 
 def test_top_symptoms_has_no_inferred_generator_filter(spark, sf_dir):
     p = plan(E.queries()["a07_top_symptoms"](spark, sf_dir))
-    # An inferred size(...) > 0 filter would re-run the translation chain.
-    assert "size(filter(transform(split(" not in p
-    assert "explode_outer(" in p
+    # An inferred size(...) > 0 filter would re-run the translation chain
+    # (the optimizer may turn explode_outer + null filter back into explode).
+    assert "size(filter(" not in p
+    assert "Generate" in p
 
 
 def test_pairs_are_partially_aggregated(spark, sf_dir):
