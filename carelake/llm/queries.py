@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from carelake.llm import chat, mixing, sharding, simhash, toxicity
+from carelake.llm import chat, langid, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, mixing.OP1_SQL),
+    "op2_language": (langid.op2_language, None),
     "op5_fingerprints": (simhash.op5_fingerprints, None),
     "op6_format_chats": (chat.op6_format_chats, chat.OP6_SQL),
     "op7_toxicity": (toxicity.op7_toxicity, None),
