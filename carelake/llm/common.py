@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int) -> DataFrame:
+    """A written table with a broadcast hint if it has at most so many rows; else as it is, for a shuffled join."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """True where crc32 of the id as text has the given remainder (null id: as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus == remainder
@@ -45,6 +50,61 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class GramCache:
+    """Numbers for 64-bit gram keys, with the values that were computed for each.
+
+    A table of slots by hash finds most keys at once; the rest (slots that another key
+    took, new keys) are found by search. Beyond ``limit`` keys it starts anew.
+    """
+
+    SLOT_BITS = 20
+
+    def __init__(self, width: int, limit: int = 2_000_000) -> None:
+        self.width, self.limit = width, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(1, np.uint64)               # by number; number 0 is no key's
+        self.values = np.zeros((self.width, 1))
+        self.sorted, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.slots = np.zeros(1 << self.SLOT_BITS, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+
+    def numbers(self, keys: np.ndarray, values_of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The number of each key. ``values_of(places)`` gives the values (width x n) of the keys at those places."""
+        if len(self.keys) > self.limit:
+            self.forget()
+        ids = self.slots[self._slot(keys)]
+        missed = np.flatnonzero((self.keys[ids] != keys) | (ids == 0))
+        if len(missed):
+            distinct, first, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
+            at, known = find(self.sorted, distinct)
+            numbers = np.zeros(len(distinct), np.int64)
+            numbers[known] = self.order[at[known]]
+            new = distinct[~known]
+            if len(new):
+                got = values_of(missed[first[~known]])
+                numbers[~known] = fresh = np.arange(len(self.keys), len(self.keys) + len(new))
+                self.keys = np.concatenate([self.keys, new])
+                self.values = np.concatenate([self.values, got], 1)
+                self.slots[self._slot(new)] = fresh
+                both = np.concatenate([self.sorted, new])
+                rank = np.argsort(both, kind="stable")
+                self.sorted, self.order = both[rank], np.concatenate([self.order, fresh])[rank]
+            ids[missed] = numbers[inverse]
+        return ids
+
+
 class WordIds(dict):
     """Word -> 64-bit id, the same in every process; memory is bounded by ``limit`` words."""
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import held_out, read_table
+from carelake.llm.common import GramCache, find, held_out, read_table
 
 SEP = 1          # between texts; never predicted
 PIECE = 1 << 20  # characters of one text that are read at a time
@@ -110,12 +110,6 @@ def train(texts: list[str], order: int) -> list[dict[str, np.ndarray]]:
     return model
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each wanted key in sorted ``keys``, and whether it is there."""
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
-
-
 def log_probs(model: list[dict[str, np.ndarray]], hashes: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
     """log2 P(last symbol | the ones before) of the grams of full order that begin at ``starts``."""
     order = len(model)
@@ -130,50 +124,12 @@ def log_probs(model: list[dict[str, np.ndarray]], hashes: list[np.ndarray], star
 
 
 class Scorer:
-    """Cross-entropies of texts under all models.
-
-    Grams met before keep their values in a cache; a table of slots by hash finds most
-    of them at once, and the rest (slots taken by another gram, new grams) by search.
-    """
-
-    SLOT_BITS = 20
+    """Cross-entropies of texts under all models; grams met before keep their values."""
 
-    def __init__(self, models: dict[str, list[dict[str, np.ndarray]]], order: int, cache: int = 2_000_000) -> None:
-        self.langs, self.order, self.limit = sorted(models), order, cache
+    def __init__(self, models: dict[str, list[dict[str, np.ndarray]]], order: int) -> None:
+        self.langs, self.order = sorted(models), order
         self.models = [models[x] for x in self.langs]
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(1, np.uint64)               # by number; number 0 is no gram's
-        self.values = np.zeros((len(self.langs), 1))
-        self.sorted, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.slots = np.zeros(1 << self.SLOT_BITS, np.int32)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
-
-    def _numbers(self, keys: np.ndarray, hashes: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
-        """The cache number of each gram; grams not yet cached are scored."""
-        ids = self.slots[self._slot(keys)]
-        missed = np.flatnonzero((self.keys[ids] != keys) | (ids == 0))
-        if len(missed):
-            distinct, first, inverse = np.unique(keys[missed], return_index=True, return_inverse=True)
-            numbers, known = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
-            if len(self.sorted):
-                at, known = find(self.sorted, distinct)
-                numbers[known] = self.numbers[at[known]]
-            new = distinct[~known]
-            if len(new):
-                got = np.stack([-log_probs(m, hashes, starts[missed[first[~known]]]) for m in self.models])
-                numbers[~known] = fresh = np.arange(len(self.keys), len(self.keys) + len(new))
-                self.keys = np.concatenate([self.keys, new])
-                self.values = np.concatenate([self.values, got], 1)
-                self.slots[self._slot(new)] = fresh
-                both = np.concatenate([self.sorted, new])
-                rank = np.argsort(both, kind="stable")
-                self.sorted, self.numbers = both[rank], np.concatenate([self.numbers, fresh])[rank]
-            ids[missed] = numbers[inverse]
-        return ids
+        self.cache = GramCache(len(self.langs))
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) sum of bits, and the number of symbols of each text."""
@@ -181,10 +137,9 @@ class Scorer:
         hashes = gram_hashes(sym, self.order)
         starts = np.flatnonzero(doc[self.order - 1:] >= 0)
         owner = doc[self.order - 1:][starts]
-        if len(self.keys) > self.limit:
-            self.forget()
-        ids = self._numbers(hashes[self.order][starts], hashes, starts)
-        sums = np.stack([np.bincount(owner, v[ids], len(texts)) for v in self.values], 1)
+        ids = self.cache.numbers(hashes[self.order][starts], lambda new: np.stack(
+            [-log_probs(m, hashes, starts[new]) for m in self.models]))
+        sums = np.stack([np.bincount(owner, v[ids], len(texts)) for v in self.cache.values], 1)
         return sums, np.bincount(owner, minlength=len(texts))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carelake.llm.common import WORD_RE, read_table, written
+from carelake.llm.common import WORD_RE, read_table, small, written
+
+
+MAX_SOURCES = 100_000  # thresholds that are broadcast; beyond, the join shuffles
 
 
 @dataclass(frozen=True)
@@ -105,7 +108,8 @@ def thresholds(rows: DataFrame, targets: DataFrame, params: MixParams) -> DataFr
 def mix(rows: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """rows (source, size, h, ...) -> + source_size, target, times (passes over the row), taken (words)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = thresholds(rows, source_targets(sizes, params), params).withColumnRenamed("source", "p_source")
+    plan = written(thresholds(rows, source_targets(sizes, params), params), "mix-plan")
+    plan = small(plan, MAX_SOURCES).withColumnRenamed("source", "p_source")
     below = F.shiftright("h", 60 - params.bits * params.levels) < F.col("cut")
     return (rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
             .withColumn("times", F.col("epochs") + F.when(below, 1).otherwise(0))
@@ -138,8 +142,8 @@ def mix_documents(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame
                        unit_hash(F.col("doc_id"), F.lit(1), params.seed).alias("h"))
     narrow = written(rows.select("source", "size", "h"), "mix-rows")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = written(thresholds(narrow, source_targets(sizes, params), params), "mix-plan").select(
-        F.col("source").alias("p_source"), "epochs", "cut")
+    plan = written(thresholds(narrow, source_targets(sizes, params), params), "mix-plan")
+    plan = small(plan, MAX_SOURCES).select(F.col("source").alias("p_source"), "epochs", "cut")
     below = F.shiftright("h", 60 - params.bits * params.levels) < F.col("cut")
     times = (F.col("epochs") + F.when(below, 1).otherwise(0)).cast("int")
     return (rows.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).where(times > 0)
