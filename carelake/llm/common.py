@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,32 @@ class GramCache:
         return ids
 
 
+def sample_texts(docs: DataFrame, group: DataFrame | None, by: str, rows: int, chars: int) -> DataFrame:
+    """(by, text): for each value of ``by`` whole texts in hash order, at most ``rows``, until ``chars`` are reached.
+
+    ``docs`` has doc_id, text (and ``by``, else ``group`` gives it by doc_id). Only ids,
+    hashes and lengths are ranked, and of those only a share by hash that is sure to
+    hold the sample; the chosen ids, at most ``rows`` a group, fetch their texts.
+    """
+    docs = docs.where("doc_id is not null and text is not null")
+    narrow = docs.select("doc_id", *([by] if group is None else []), F.xxhash64("text").alias("__h"),
+                         F.length("text").cast("long").alias("__n"))
+    if group is not None:
+        narrow = narrow.join(group, "doc_id")
+    narrow = narrow.where(F.col(by).isNotNull())
+    whole = narrow.groupBy(by).agg(F.count("*").alias("__rows"), F.sum("__n").alias("__chars"))
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "__h"), 11) / F.lit(float(1 << 53))
+    share = F.least(F.lit(float(rows)) / F.col("__rows"), F.lit(float(chars)) / F.greatest("__chars", F.lit(1)))
+    first = Window.partitionBy(by).orderBy("__u", "doc_id", "__h")
+    ranked = (narrow.withColumn("__u", unit).join(whole, by).where(F.col("__u") < share * 1.5 + 1e-9)
+              .withColumn("__rank", F.row_number().over(first))
+              .withColumn("__upto", F.sum("__n").over(first.rowsBetween(Window.unboundedPreceding, -1)))
+              .where((F.col("__rank") <= rows) & (F.coalesce("__upto", F.lit(0)) < chars)))
+    keys = F.broadcast(ranked.select("doc_id", "__h", F.col(by).alias("__by")).distinct())
+    full = docs.withColumn("__h", F.xxhash64("text")).join(keys, ["doc_id", "__h"])
+    return full.select(F.col("__by").alias(by), "text")
+
+
 class WordIds(dict):
     """Word -> 64-bit id, the same in every process; memory is bounded by ``limit`` words."""
 

@@ -22,10 +22,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm.common import GramCache, find, held_out, read_table
+from carelake.llm.common import GramCache, find, held_out, read_table, sample_texts
 
 SEP = 1          # between texts; never predicted
 PIECE = 1 << 20  # characters of one text that are read at a time
@@ -174,14 +174,9 @@ PACKED = "lang string, k int, keys binary, p binary, ctx binary, g binary, thres
 
 def fit(docs: DataFrame, train_rows: Column, params: LangParams = LangParams()) -> dict:
     """{"models": by language, "thresholds": by language} from a bounded sample; one task a language."""
-    some = docs.where(train_rows & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n_langs = max(1, some.select("lang").distinct().count())
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("lang")), F.xxhash64("text"))
-    # The rank alone bounds the rows that reach the task before the characters are summed.
-    some = (some.select("lang", "text", "doc_id").withColumn("rank", F.row_number().over(by))
-            .where(F.col("rank") <= max(1, params.sample_chars // n_langs // 50))
-            .withColumn("upto", F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-            .where(F.coalesce("upto", F.lit(0)) < params.sample_chars // n_langs).select("lang", "text"))
+    some = docs.where(train_rows & F.col("lang").isNotNull())
+    each = params.sample_chars // max(1, some.select("lang").distinct().count())
+    some = sample_texts(some, None, "lang", max(1, each // 50), each)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(set(pdf["text"]))

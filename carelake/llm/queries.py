@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from carelake.llm import chat, langid, mixing, ppm, sharding, simhash, toxicity
+from carelake.llm import chat, langid, mixing, ngram_join, ppm, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, mixing.OP1_SQL),
@@ -12,4 +12,5 @@ QUERIES = {
     "op6_format_chats": (chat.op6_format_chats, chat.OP6_SQL),
     "op7_toxicity": (toxicity.op7_toxicity, None),
     "op8_shard_rows": (sharding.op8_shard_rows, None),
+    "op9_ngram_join": (ngram_join.op9_ngram_join, None),
 }

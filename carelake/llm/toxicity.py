@@ -28,10 +28,10 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm.common import held_out, read_table, words_of
+from carelake.llm.common import held_out, read_table, sample_texts, words_of
 
 
 @dataclass(frozen=True)
@@ -219,13 +219,8 @@ def fit(toxic: list[str], clean: list[str], params: ToxicityParams = ToxicityPar
 def fit_grammar(docs: DataFrame, labels: DataFrame, train: Column, params: ToxicityParams = ToxicityParams()) -> Grammar:
     """Fit on the first labelled training texts in hash order, bounded in number and characters for each label."""
     marks = (labels.where("toxic is not null and doc_id is not null").groupBy("doc_id")
-             .agg(F.max("toxic").alias("__toxic")))
-    some = (docs.where(train & F.col("text").isNotNull()).select("doc_id", "text")
-            .join(marks, "doc_id").select("__toxic", "text", F.xxhash64("doc_id").alias("__h")))
-    first = Window.partitionBy("__toxic").orderBy("__h", F.length("text"))
-    some = (some.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= params.sample_docs)
-            .withColumn("__chars", F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)))
-            .where(F.coalesce("__chars", F.lit(0)) <= params.sample_chars))
+             .agg((F.max("toxic") > 0).cast("int").alias("__toxic")))
+    some = sample_texts(docs.where(train), marks, "__toxic", params.sample_docs, params.sample_chars)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf["__toxic"] > 0
