@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from carelake.llm import chat, langid, mixing, ngram_join, ppm, sharding, simhash, toxicity
+from carelake.llm import chat, decontam, langid, mixing, ngram_join, ppm, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, mixing.OP1_SQL),
     "op2_language": (langid.op2_language, None),
+    "op3_decontaminate": (decontam.op3_decontaminate, None),
     "op4_ppm_score": (ppm.op4_ppm_score, None),
     "op5_fingerprints": (simhash.op5_fingerprints, None),
     "op6_format_chats": (chat.op6_format_chats, chat.OP6_SQL),
