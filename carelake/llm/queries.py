@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from carelake.llm import chat, decontam, langid, mixing, ngram_join, ppm, sharding, simhash, toxicity
+from carelake.llm import chat, decontam, langid, mixing, ngram_join, ppm, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_mix_sources": (mixing.op1_mix_sources, mixing.OP1_SQL),
@@ -14,4 +14,5 @@ QUERIES = {
     "op7_toxicity": (toxicity.op7_toxicity, None),
     "op8_shard_rows": (sharding.op8_shard_rows, None),
     "op9_ngram_join": (ngram_join.op9_ngram_join, None),
+    "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, None),
 }

@@ -93,23 +93,31 @@ def numbered(docs: DataFrame, order: list[Column], n: int, params: ShardParams)
             .withColumn("__row", F.col("__start") + F.col("__inner")).drop("__bucket", "__inner", "__start"))
 
 
-def shard(docs: DataFrame, params: ShardParams = ShardParams(), order: list[Column] | None = None) -> DataFrame:
-    """docs (with doc_id, text or size and text_crc32) + size, text_crc32, shard, slot."""
-    if "text" in docs.columns:
-        docs = docs.withColumns({
-            "size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
-            "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))})
-    n = docs.count()
-    order = order or [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
-    placed = numbered(docs, order, n, params).withColumn("__place", permute(F.col("__row"), n, params))
+def shard(rows: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
+    """rows (doc_id, size, text_crc32, ...) + shard, slot. The order of the numbers: doc_id, size, text_crc32."""
+    n = rows.count()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("size"), F.col("text_crc32")]
+    placed = numbered(rows, order, n, params).withColumn("__place", permute(F.col("__row"), n, params))
     return (placed.withColumn("shard", (F.col("__place") % params.shards).cast("int"))
             .withColumn("slot", div(F.col("__place"), params.shards))
             .drop("__row", "__place"))
 
 
+def sized() -> list[Column]:
+    """size and text_crc32 of a document."""
+    return [(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
+            F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")]
+
+
+def shard_documents(docs: DataFrame, params: ShardParams = ShardParams()) -> DataFrame:
+    """The columns of ``docs`` + shard, slot (which replace columns of these names)."""
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    rows = docs.select("doc_id", *sized(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
+    return shard(rows, params).select(*[F.col("doc").getField(c).alias(c) for c in names], "shard", "slot")
+
+
 def op8_shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    return shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                              F.lit(None).cast("int").alias("grown_shard"))
+    docs = read_table(spark, sf_dir, "documents")
+    return shard(docs.select("doc_id", *sized())).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
