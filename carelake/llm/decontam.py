@@ -22,13 +22,14 @@ empty tables give an empty result.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.llm.common import find, read_table, shingle_hashes, words_of
@@ -298,17 +299,18 @@ def leaks(docs: DataFrame, items: DataFrame, params: DecontamParams = DecontamPa
     return out
 
 
+def _holds_none(shared: Broadcast) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        hit = {d for d, *_ in shared.value.matches([t if isinstance(t, str) else None for t in texts])}
+        return pd.Series([i not in hit for i in range(len(texts))], dtype=bool)
+    return clean
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, params: DecontamParams = DecontamParams()) -> DataFrame:
     """Documents that hold no item, with the columns of ``docs``."""
     for index in blocks(items, params):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            hit = {d for d, *_ in shared.value.matches([t if isinstance(t, str) else None for t in texts])}
-            return pd.Series([i not in hit for i in range(len(texts))], dtype=bool)
-
-        docs = docs.where(clean(F.col("text")))
+        docs = docs.where(_holds_none(docs.sparkSession.sparkContext.broadcast(index))(F.col("text")))
     return docs
 
 
