@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelake.llm.common import held_out, read_table, sample_texts, words_of
+from carelake.llm.common import WordIds, held_out, read_table, sample_texts, words_of
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,7 @@ class ToxicityParams:
     sample_docs: int = 4_000          # labelled texts of each label
     sample_chars: int = 16_000_000    # and their characters, of each label
     min_support: int = 6              # toxic texts that a stem must newly explain
+    min_kinds: int = 5                # words that a beginning must have
     max_impurity: float = 0.02        # clean texts with the stem, by toxic ones
     max_stems: int = 2_000
     stem_chars: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
@@ -154,6 +155,25 @@ class Grammar:
         return json.dumps({"exact": self.exact, "prefixes": self.prefixes, "weights": self.weights, "intercept": self.intercept})
 
 
+def unlike(texts: list[str], values: int = 16, alike: int = 11) -> list[str]:
+    """The texts without those whose word set is nearly that of an earlier one (by MinHash)."""
+    if not texts:
+        return texts
+    ids, mult = WordIds(), np.random.default_rng(3).integers(1, 2**63, values, dtype=np.uint64) * 2 + 1
+    sig = np.zeros((len(texts), values), np.uint64)
+    for i, t in enumerate(texts):
+        words = ids.of(list(set(words_of(t.lower()))))
+        if len(words):
+            sig[i] = (words[:, None] * mult >> np.uint64(16)).min(0)
+    kept: list[int] = []
+    gone = np.zeros(len(texts), bool)
+    for i in range(len(texts)):
+        if not gone[i]:
+            kept.append(i)
+            gone[i:] |= (sig[i:] == sig[i]).sum(1) >= alike
+    return [texts[i] for i in kept]
+
+
 def learn_stems(toxic: list[str], clean: list[str], params: ToxicityParams) -> tuple[list[str], list[str]]:
     """Whole words and word beginnings that mark toxic texts."""
     def terms(text: str) -> set[str]:
@@ -166,7 +186,16 @@ def learn_stems(toxic: list[str], clean: list[str], params: ToxicityParams) -> t
     pos, neg = Counter(), Counter()
     for t in toxic:
         pos.update(terms(t))
-    pos = Counter({t: n for t, n in pos.items() if n >= params.min_support})
+    # A beginning stands for many words; one that a single word makes up is left to that word.
+    kinds, most = Counter(), Counter()
+    for t, count in pos.items():
+        if t.endswith("$"):
+            for n in params.stem_chars:
+                if len(t) - 1 > n:
+                    kinds[t[:n]] += 1
+                    most[t[:n]] = max(most[t[:n]], count)
+    pos = Counter({t: n for t, n in pos.items() if n >= params.min_support and (
+        t.endswith("$") or (kinds[t] >= params.min_kinds and most[t] <= n / 2))})
     for t in clean:
         neg.update(pos.keys() & terms(t))
     # Clean texts may be fewer or more than toxic ones: compare shares.
@@ -201,6 +230,7 @@ def learn_stems(toxic: list[str], clean: list[str], params: ToxicityParams) -> t
 def fit(toxic: list[str], clean: list[str], params: ToxicityParams = ToxicityParams()) -> Grammar:
     if not toxic:
         return Grammar(intercept=-1000.0)
+    toxic = unlike(toxic)  # copies are no further evidence
     grammar = Grammar(*learn_stems(toxic, clean, params))
     rows = [grammar.features(t) for t in toxic + clean]
     x = np.array([[1.0] + [np.log1p(r.get(k, 0.0)) for k in KINDS] for r in rows])
