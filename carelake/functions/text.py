@@ -243,15 +243,16 @@ def gender_code_score(x) -> Column:
 # --------------------------------------------------------------- zones
 def keyword_zone(diagnosis) -> Column:
     """P25: first ordered keyword group with a substring hit; null if none or blank."""
-    name = F.lower(py_strip(diagnosis))
-    expr = None
-    for words, zone in K.KEYWORD_ZONES:
-        hit = None
-        for w in words:
-            h = F.contains(name, F.lit(w))
-            hit = h if hit is None else (hit | h)
-        expr = F.when(hit, F.lit(zone)) if expr is None else expr.when(hit, F.lit(zone))
-    return F.when(name != "", expr)
+    def zone_of(name: Column) -> Column:
+        expr = None
+        for words, zone in K.KEYWORD_ZONES:
+            hit = None
+            for w in words:
+                h = F.contains(name, F.lit(w))
+                hit = h if hit is None else (hit | h)
+            expr = F.when(hit, F.lit(zone)) if expr is None else expr.when(hit, F.lit(zone))
+        return F.when(name != "", expr)
+    return let(F.lower(py_strip(diagnosis)), zone_of)
 
 
 def mapped_zone(diagnosis) -> Column:

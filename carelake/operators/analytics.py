@@ -139,40 +139,35 @@ def raw_value_counts(raw: DataFrame) -> DataFrame:
     return counts("diagnosis", "diagnosis").unionByName(counts("gender", "gender")).unionByName(total)
 
 
-def disease_profiles(raw: DataFrame, top_k: int = 8) -> DataFrame:
-    """A11 + W01: per stripped diagnosis, count, top symptoms, whole mean age, genders.
+def disease_profiles(raw: DataFrame, top_k: int = 8, by: tuple[str, ...] = ()) -> DataFrame:
+    """A11 + W01: per stripped diagnosis (and ``by``), count, top symptoms, whole mean age, genders.
 
-    Three grouped results keyed by diagnosis, each already reduced to a few
-    rows per diagnosis, joined at the end.
+    One pass: each row gives (kind, value) rows for itself, its gender and its
+    symptoms; one partial aggregation counts them, and everything after works on
+    a row per distinct value.
     """
-    d = T.py_strip(raw_text("diagnosis"))
-    rows = raw.select(
-        d.alias("diagnosis"),
-        T.integer_value(raw_text("age_raw")).alias("age"),
-        F.coalesce(F.col("gender"), F.lit("")).alias("gender_raw"),
-        T.split_items(F.lower(raw_text("symptoms"))).alias("items"),
-    ).filter(F.col("diagnosis") != "")
-
-    base = rows.groupBy("diagnosis").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bround(F.avg("age"), 0).cast("int").alias("avg_age"),
-    )
-    sym = (rows.select("diagnosis", F.explode_outer("items").alias("symptom")).filter(F.col("symptom").isNotNull())
-           .groupBy("diagnosis", "symptom").agg(F.count(F.lit(1)).alias("c")))
-    w = Window.partitionBy("diagnosis").orderBy(F.desc("c"), F.asc("symptom"))
-    top = (sym.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= top_k)
-           .groupBy("diagnosis")
-           .agg(F.array_sort(F.collect_list(F.struct("rk", "symptom"))).alias("t"))
-           .select("diagnosis", F.transform("t", lambda x: x["symptom"]).alias("common_symptoms")))
-    gen = (rows.groupBy("diagnosis", "gender_raw").agg(F.count(F.lit(1)).alias("c"))
-           .groupBy("diagnosis")
-           .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("gender_raw", "c"))))
-                .alias("gender_distribution")))
-    return (base.join(top, "diagnosis", "left").join(gen, "diagnosis", "left")
-            .select("diagnosis", "n",
-                    F.coalesce("common_symptoms", F.array().cast("array<string>")).alias("common_symptoms"),
-                    F.coalesce("avg_age", F.lit(0)).alias("avg_age"),
-                    "gender_distribution"))
+    keys = [*by, "diagnosis"]
+    values = F.concat(
+        F.array(F.struct(F.lit("row").alias("kind"), F.lit("").alias("value")),
+                F.struct(F.lit("gender").alias("kind"), F.coalesce(F.col("gender"), F.lit("")).alias("value"))),
+        F.transform(T.split_items(F.lower(raw_text("symptoms"))),
+                    lambda s: F.struct(F.lit("symptom").alias("kind"), s.alias("value"))))
+    rows = raw.select(*by, T.py_strip(raw_text("diagnosis")).alias("diagnosis"),
+                      T.integer_value(raw_text("age_raw")).alias("age"), values.alias("vs")).filter(F.col("diagnosis") != "")
+    counts = (rows.select(*keys, "age", F.explode_outer("vs").alias("v"))
+              .groupBy(*keys, "v.kind", "v.value")
+              .agg(F.count(F.lit(1)).alias("c"), F.sum("age").alias("age_sum"), F.count("age").alias("ages")))
+    rank = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(F.desc("c"), F.asc("value")))
+    counts = counts.withColumn("rk", rank).filter((F.col("kind") != "symptom") | (F.col("rk") <= top_k))
+    row = F.col("kind") == "row"
+    return (counts.groupBy(*keys).agg(
+                F.max(F.when(row, F.col("c"))).alias("n"),
+                F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "symptom", F.struct("rk", "value")))),
+                            lambda x: x["value"]).alias("common_symptoms"),
+                F.bround(F.max(F.when(row & (F.col("ages") > 0), F.col("age_sum") / F.col("ages"))), 0).cast("int").alias("avg"),
+                F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == "gender", F.struct("value", "c")))))
+                .alias("gender_distribution"))
+            .select(*keys, "n", "common_symptoms", F.coalesce("avg", F.lit(0)).alias("avg_age"), "gender_distribution"))
 
 
 def flat_profiles(profiles: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ the heavy work is the grouped aggregation that built them.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,46 +28,39 @@ def _union_ci(first: Column, second: Column, cap: int = SYMPTOM_CAP) -> Column:
     return F.slice(both, 1, cap)
 
 
-def merge_profiles(named: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Merge profiles of several datasets on lower(name), in dataset order.
+def merge_profiles(profiles: DataFrame, datasets: list[str]) -> DataFrame:
+    """Merge the profiles of any number of datasets on lower(name), in dataset order.
 
-    Counts add up, the first name is kept, symptoms are united (cap 12), the
-    mean age is the plain mean of the two rounded means or the non-zero one
-    (K18), gender maps add up, and the source list grows.
+    ``profiles`` has a ``dataset`` column. Spellings of one name fold too, within a
+    dataset in name order: counts add up, the first name is kept, symptoms are united
+    (cap 12), the mean age is the plain mean of the two rounded means or the non-zero
+    one (K18), gender maps add up, and the source list grows by one entry a profile.
     """
-    def prep(src: str, p: DataFrame) -> DataFrame:
-        return p.select(F.lower(T.py_strip("diagnosis")).alias("key"),
-                        F.col("diagnosis").alias("name"), "n", "common_symptoms", "avg_age",
-                        "gender_distribution", F.array(F.lit(src)).alias("sources")) \
-            .filter(F.col("key") != "")
-
-    def merge(acc: DataFrame, nxt: DataFrame) -> DataFrame:
-        a, b = acc.alias("a"), nxt.alias("b")
-        j = a.join(b, F.col("a.key") == F.col("b.key"), "full_outer")
-        a1, a2 = F.coalesce(F.col("a.avg_age"), F.lit(0)), F.coalesce(F.col("b.avg_age"), F.lit(0))
-        avg = F.when((a1 != 0) & (a2 != 0), F.bround((a1 + a2) / 2.0, 0).cast("int")) \
-            .when(a1 != 0, a1).otherwise(a2)
-        empty_s = F.array().cast("array<string>")
-        empty_m = F.create_map().cast("map<string,bigint>")
-        return j.select(
-            F.coalesce("a.key", "b.key").alias("key"),
-            F.coalesce("a.name", "b.name").alias("name"),
-            (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"),
-            F.when(F.col("a.key").isNull(), F.col("b.common_symptoms"))
-             .when(F.col("b.key").isNull(), F.col("a.common_symptoms"))
-             .otherwise(_union_ci(F.col("a.common_symptoms"), F.col("b.common_symptoms"))).alias("common_symptoms"),
-            avg.alias("avg_age"),
-            F.map_zip_with(F.coalesce("a.gender_distribution", empty_m), F.coalesce("b.gender_distribution", empty_m),
-                           lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0))).alias("gender_distribution"),
-            F.concat(F.coalesce("a.sources", empty_s), F.coalesce("b.sources", empty_s)).alias("sources"),
-        )
-
-    return reduce(merge, [prep(src, p) for src, p in named])
-
-
-def dataset_profiles(raw: DataFrame, tag_col: str = "dataset") -> list[tuple[str, DataFrame]]:
-    """S04 + A11: profiles of each tagged dataset, main first."""
-    return [(t, disease_profiles(raw.filter(F.col(tag_col) == t))) for t in ("main", "active")]
+    order = F.array_position(F.array(*map(F.lit, datasets)), F.col("dataset"))
+    item = F.struct(order.alias("o"), F.col("diagnosis").alias("name"), "n", F.col("common_symptoms").alias("syms"),
+                    "avg_age", F.map_entries("gender_distribution").alias("genders"), F.col("dataset").alias("src"))
+    groups = (profiles.withColumn("key", F.lower(T.py_strip("diagnosis"))).filter((F.col("key") != "") & (order > 0))
+              .groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("items")))
+    head, tail = F.get("items", F.lit(0)), F.slice("items", 2, F.greatest(F.size("items"), F.lit(1)))
+
+    def mean(a: Column, b: Column) -> Column:
+        return F.when((a != 0) & (b != 0), F.bround((a + b) / 2.0, 0).cast("int")).when(a != 0, a).otherwise(b)
+
+    empty = F.create_map().cast("map<string,bigint>")
+    return groups.select(
+        "key", head["name"].alias("name"),
+        F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("n"),
+        F.aggregate(tail, head["syms"], lambda acc, x: _union_ci(acc, x["syms"])).alias("common_symptoms"),
+        F.aggregate(tail, head["avg_age"], lambda acc, x: mean(acc, x["avg_age"])).alias("avg_age"),
+        F.aggregate("items", empty, lambda acc, x: F.map_zip_with(
+            acc, F.map_from_entries(x["genders"]),
+            lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))).alias("gender_distribution"),
+        F.transform("items", lambda x: x["src"]).alias("sources"))
+
+
+def dataset_profiles(raw: DataFrame, tag_col: str = "dataset") -> DataFrame:
+    """S04 + A11: profiles of every tagged dataset in one pass."""
+    return disease_profiles(raw.withColumn("dataset", F.col(tag_col)), by=("dataset",))
 
 
 def manual_diseases(diseases: DataFrame, symptoms: DataFrame, links: DataFrame) -> DataFrame:
@@ -83,7 +74,8 @@ def manual_diseases(diseases: DataFrame, symptoms: DataFrame, links: DataFrame)
                F.col("symptom_id") == F.col("sid"), "left"))
     return (j.groupBy("id", "name", "created_by")
             .agg(F.count("symptom_id").alias("symptoms_count"),
-                 F.transform(F.array_sort(F.collect_list(F.struct(F.lower("sname").alias("k"), F.col("sname").alias("s")))),
+                 F.transform(F.array_sort(F.collect_list(F.when(  # no entry for a disease without symptoms
+                     F.col("sname").isNotNull(), F.struct(F.lower("sname").alias("k"), F.col("sname").alias("s"))))),
                              lambda e: e["s"]).alias("common_symptoms"))
             .select("id", "name", "created_by", "symptoms_count", "common_symptoms",
                     F.lit(0).cast("bigint").alias("count"), F.lit(0).alias("avg_age"))
@@ -173,21 +165,30 @@ def upserts_from(raw: DataFrame, every: int = UPSERT_EVERY) -> DataFrame:
             .filter(F.col("name") != ""))
 
 
-def upsert_manual(diseases: DataFrame, symptoms: DataFrame, links: DataFrame, ups: DataFrame):
+def upsert_manual(diseases: DataFrame, symptoms: DataFrame, links: DataFrame, ups: DataFrame, editor: str = "staff"):
     """J11 as one batch merge; returns new (diseases, symptoms, links) versions.
 
     Edits apply in ``seq`` order: per lower name the last edit sets the name and
     replaces the symptom set; every edit adds its new terms once (first spelling).
+    A stored disease keeps its id, creator and creation time, a stored symptom its
+    id; new ones get a hash id, and new diseases ``editor`` as their creator.
     """
     from carelake.sources.records import hash_id
+    now = F.current_timestamp()
     last = (ups.groupBy(F.lower("name").alias("key"))
             .agg(F.max_by(F.struct("name", "symptoms"), F.col("seq")).alias("e"))
-            .select("key", "e.name", "e.symptoms"))
-    keep_d = diseases.join(last.select("key"), F.lower(diseases["name"]) == last["key"], "left_anti")
-    new_d = keep_d.unionByName(last.select(
-        hash_id("key").alias("id"), "name", F.lit("staff").alias("created_by"),
-        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at")),
-        allowMissingColumns=True)
+            .select("key", F.col("e.name").alias("new_name"), F.col("e.symptoms").alias("items")))
+    for c in ("created_at", "updated_at"):
+        if c not in diseases.columns:
+            diseases = diseases.withColumn(c, F.lit(None).cast("timestamp"))
+    both = diseases.withColumn("key", F.lower("name")).join(last, "key", "full_outer")
+    edited = F.col("new_name").isNotNull()
+    new = F.col("id").isNull()
+    both = both.select(
+        F.when(new, hash_id("key")).otherwise(F.col("id")).alias("id"), F.coalesce("new_name", "name").alias("name"),
+        F.when(new, F.lit(editor)).otherwise(F.col("created_by")).alias("created_by"),
+        F.when(new, now).otherwise(F.col("created_at")).alias("created_at"),
+        F.when(edited, now).otherwise(F.col("updated_at")).alias("updated_at"), edited.alias("edited"), "items")
     items = (ups.select("seq", F.posexplode("symptoms").alias("pos", "item"))
              .select("seq", "pos", T.normalize_term("item").alias("normalized"),
                      T.collapse_blanks(T.py_strip("item")).alias("spelling"))
@@ -196,9 +197,10 @@ def upsert_manual(diseases: DataFrame, symptoms: DataFrame, links: DataFrame, up
              .join(symptoms.select("normalized"), "normalized", "left_anti")
              .select(hash_id("normalized").alias("id"), "name", "normalized"))
     new_s = symptoms.select("id", "name", "normalized").unionByName(fresh)
-    gone = last.select(hash_id("key").alias("disease_id"))
-    kept_l = links.join(gone, "disease_id", "left_anti")
-    new_l = kept_l.unionByName(
-        last.select(hash_id("key").alias("disease_id"), F.explode("symptoms").alias("item"))
-        .select("disease_id", hash_id(T.normalize_term("item")).alias("symptom_id"))).distinct()
-    return new_d, new_s, new_l
+    gone = both.filter("edited").select(F.col("id").alias("disease_id"))
+    terms = both.filter("edited").select(F.col("id").alias("disease_id"), F.explode("items").alias("item")) \
+        .select("disease_id", T.normalize_term("item").alias("normalized"))
+    new_l = links.select("disease_id", "symptom_id").join(gone, "disease_id", "left_anti").unionByName(
+        terms.join(new_s.select("normalized", F.col("id").alias("symptom_id")), "normalized")
+        .select("disease_id", "symptom_id")).distinct()
+    return both.drop("edited", "items"), new_s, new_l

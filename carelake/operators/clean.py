@@ -20,8 +20,11 @@ REASONS = ["missing_critical", "invalid_age", "age_outliers", "empty_symptoms",
 
 def stage_rows(raw: DataFrame) -> DataFrame:
     """Distinct input rows with ``copies``, cleaned columns and ``reject_reason``."""
-    d = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies"))
-    return annotate(d, raw.columns)
+    # The rule inputs leave the grouping as aggregate results: a filter on the reject
+    # reason then stays above it, and the cleaned text is built once a distinct row.
+    d = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies"),
+                                      *[F.first(c).alias(f"_in_{c}") for c in CRITICAL])
+    return annotate(d.drop(*CRITICAL).withColumnsRenamed({f"_in_{c}": c for c in CRITICAL}), raw.columns)
 
 
 def annotate(d: DataFrame, cols: list[str]) -> DataFrame:

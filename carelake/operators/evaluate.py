@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carelake.functions import text as T
+
 DIGITS = 6
 
 
@@ -76,9 +78,12 @@ def accuracy_f1(pairs: DataFrame, **kw) -> DataFrame:
 
 
 def confusion_matrix(pairs: DataFrame, classes: list[str], y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:
-    """rows = true class, one column per predicted class in fixed order, zeros filled."""
-    return (pairs.groupBy(F.col(y_true).alias("true_class"))
-            .agg(*[F.count_if(F.col(y_pred) == c).alias(c) for c in classes]))
+    """A row for each class, one column per predicted class in fixed order, zeros filled."""
+    found = (pairs.groupBy(F.col(y_true).alias("true_class"))
+             .agg(*[F.count_if(F.col(y_pred) == c).alias(c) for c in classes]))
+    rows = T.const_frame(pairs.sparkSession, [(c,) for c in classes], "true_class string")
+    return rows.join(found, "true_class", "left").select(
+        "true_class", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in classes])
 
 
 def clinical_misses(pairs: DataFrame, y_true: str = "y_true", y_pred: str = "y_pred") -> DataFrame:

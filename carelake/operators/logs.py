@@ -150,12 +150,12 @@ def newest_metrics(logs: DataFrame) -> DataFrame:
 def event_new_diagnoses(new_dx: DataFrame, dataset: str, kind: str = "activate") -> DataFrame:
     """Warning row for new diagnoses (first 8 names, then ``(+ mas)``).
 
-    ``new_dx`` holds one distinct ``diagnosis`` per row. The stored meta is cut
-    at 2,000 characters (P31), which no more than 1,000 names can fill, so the
-    one report row collects only the first 1,000 names (a per-partition top-k),
-    while the count ``k`` is summed over every row.
+    ``new_dx`` holds one distinct ``diagnosis`` per row. The stored meta is cut at
+    its character limit (P31): a name takes three characters of it at least, so the
+    row gathers as many first names as the limit can show and counts all of them.
     """
-    first = new_dx.orderBy("diagnosis").limit(1000).select(F.col("diagnosis").alias("name"), F.lit(0).alias("one"))
+    shown = K.NOTIF_META_MAX // 3 + 1
+    first = new_dx.orderBy("diagnosis").limit(shown).select(F.col("diagnosis").alias("name"), F.lit(0).alias("one"))
     every = new_dx.select(F.lit(None).cast("string").alias("name"), F.lit(1).alias("one"))
     agg = first.unionByName(every).agg(F.array_sort(F.collect_list("name")).alias("names"),
                                        F.sum("one").alias("k"))

@@ -89,7 +89,7 @@ def translate_label(kind: str, value: Column, lang: Column | str) -> Column:
     """Missing key keeps the value; blank shows a dash (blank symptom stays blank)."""
     m = label_map(kind, lang)
     if kind == "symptom":
-        key = F.lower(F.trim(value))
+        key = F.lower(T.py_strip(value))
         out = F.coalesce(F.try_element_at(m, key), value)
         return F.when(F.coalesce(value, F.lit("")) == "", F.lit("")).otherwise(out)
     out = F.coalesce(F.try_element_at(m, value), value)
@@ -99,14 +99,14 @@ def translate_label(kind: str, value: Column, lang: Column | str) -> Column:
 def translate_symptom_list(value: Column, lang: Column | str) -> Column:
     """J08 list form: split on ',', translate each stripped item, drop blanks, join ', '."""
     items = F.transform(F.split(F.coalesce(value, F.lit("")), ","),
-                        lambda s: translate_label("symptom", F.trim(s), lang))
+                        lambda s: translate_label("symptom", T.py_strip(s), lang))
     return F.array_join(F.filter(items, lambda s: s != ""), ", ")
 
 
 def translate_symptom_pair(value: Column, lang: Column | str) -> Column:
     """J08 pair form: split on '+', translate each stripped item, join ' + '."""
     items = F.transform(F.split(F.coalesce(value, F.lit("")), r"\+"),
-                        lambda s: translate_label("symptom", F.trim(s), lang))
+                        lambda s: translate_label("symptom", T.py_strip(s), lang))
     return F.when(F.coalesce(value, F.lit("")) == "", F.lit("")).otherwise(F.array_join(items, " + "))
 
 

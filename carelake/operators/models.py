@@ -111,9 +111,10 @@ def pairs(pred: DataFrame, label: str) -> DataFrame:
 
 
 def cv_accuracy(rows: DataFrame, label: str, text_col: str, folds: int, n_trees: int, max_depth: int,
-                min_leaf: int, id_col: str = "encounter_id", fit_text_on_all: bool = True) -> DataFrame:
-    """Accuracy per fold (W04 hash folds), then mean and population std."""
-    d = rows.withColumn("fold", SM.fold_hash(id_col, folds))
+                min_leaf: int, id_col: str = "encounter_id", fit_text_on_all: bool = True,
+                tie_col: str | None = "row_key") -> DataFrame:
+    """Accuracy per fold (W04 stratified folds), then mean and population std."""
+    d = SM.folds(rows, label, id_col, folds, tie_col=tie_col)
     text = fit_text(d, text_col) if fit_text_on_all else None
     accs = []
     spark = rows.sparkSession

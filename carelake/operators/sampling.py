@@ -4,21 +4,21 @@ Randomness is a hash of (seed, row id, position): the first 8 hex digits of
 md5, read as an unsigned 32-bit number. It is stateless, so a lost executor
 recomputes the same values, and DuckDB computes the same numbers.
 
-Exact "k smallest" selections (label noise, exact split) avoid a global sort
-or a window over a whole class: hash values are counted in 2^16 buckets (a
-small table the driver reads), the boundary bucket is resolved on a second
-level, and only the few rows that share the final sub-bucket are ranked.
+Exact "k smallest" selections (label noise, exact split, folds) avoid a global
+sort or a window over a whole class: the cut (hash, tie) of each class is found
+from counts by hash bucket, and rows are compared with it.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelake.functions import constants as K
 from carelake.functions import text as T
+from carelake.session import written
 
 TWO32 = float(2 ** 32)
 
@@ -52,76 +52,49 @@ def symptom_dropout(text: Column, row_id: Column, keep: float = K.SYMPTOM_KEEP_P
 
 
 # ------------------------------------------------------- k smallest rows
-def _boundary(counts: list, need: dict) -> dict:
-    """Per key: (bucket where the k-th row falls, rows still needed in it)."""
-    by_key: dict = {}
-    for row in counts:
-        by_key.setdefault(tuple(row[:-2]), []).append((row[-2], row[-1]))
-    out = {}
-    for key, k in need.items():
-        if k <= 0:
-            out[key] = (-1, 0)
-            continue
-        cum = 0
-        for b, n in sorted(by_key.get(key, [])):
-            if cum + n >= k:
-                out[key] = (b, k - cum)
-                break
-            cum += n
-        else:
-            out[key] = (1 << 17, 0)   # fewer rows than k: all selected
-    return out
-
-
-def k_smallest(df: DataFrame, h: str, tie: str, k, keys: list[str] | None = None,
+def _edge(counts: DataFrame, need: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """Per key the first ``cell`` at which the running count reaches ``need``, and what is still needed in it."""
+    run = Window.partitionBy(*keys).orderBy(cell)
+    sums = counts.withColumn("_cum", F.sum("_n").over(run)).join(need, keys)
+    return (sums.where((F.col("_need") > 0) & (F.col("_cum") >= F.col("_need"))).groupBy(*keys)
+            .agg(F.min_by(F.struct(F.col(cell).alias("cell"), (F.col("_need") - F.col("_cum") + F.col("_n")).alias("left")),
+                          cell).alias("_e"))
+            .select(*keys, F.col("_e.cell").alias("_cell"), F.col("_e.left").alias("_need")))
+
+
+def cuts(work: DataFrame, h: str, tie: str, k: Callable[[Column], Column], keys: list[str]) -> DataFrame:
+    """Per key the (h, tie) of its ``k(row count)``-th smallest row; no row where that is 0.
+
+    Hash values are counted in 2^16 buckets, then the values of the boundary
+    bucket, and only rows that share the boundary value are ranked. Nothing is
+    collected, so the number of keys is not bounded.
+    """
+    bucket = (F.col(h) / 65536).cast("long")
+    coarse = work.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    need = coarse.groupBy(*keys).agg(k(F.sum("_n")).cast("long").alias("_need"))
+    first = _edge(coarse, need, keys, "_b")
+    inside = work.join(first, keys).where(bucket == F.col("_cell"))
+    second = _edge(inside.groupBy(*keys, F.col(h).alias("_b")).agg(F.count(F.lit(1)).alias("_n")),
+                   first.select(*keys, "_need"), keys, "_b")
+    ranked = work.join(second, keys).where(F.col(h) == F.col("_cell")).withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*keys).orderBy(tie)))
+    return (ranked.where(F.col("_r") <= F.col("_need")).groupBy(*keys)
+            .agg(F.max("_cell").alias("_cut_h"), F.max(tie).alias("_cut_tie")))
+
+
+def k_smallest(df: DataFrame, h: str, tie: str, k: Callable[[Column], Column], keys: list[str] | None = None,
                flag: str = "selected") -> DataFrame:
-    """Flag, per key, the ``k`` rows with the smallest (h, tie); h in [0, 2^32).
-
-    ``k`` is an int (the same for every key), a dict {key tuple: k}, or a
-    function of the key's row count. The input is checkpointed once (to the
-    shared checkpoint folder) so the few passes below read it instead of
-    recomputing its lineage. The counts per (key, 2^16 bucket) and per
-    (key, sub-bucket) are small tables read by the driver; rows are ranked
-    only inside the final sub-bucket.
+    """Flag, per key, the ``k`` rows with the smallest (h, tie); h in [0, 2^32), ``tie`` unique per row.
+
+    ``k`` maps the key's row count to the number of rows. The input is written
+    once to the shared folder, so the passes read it instead of recomputing it.
     """
-    spark = df.sparkSession
-    keys = list(keys or [])
-    kcols = keys or ["_one"]
-    work = df.withColumn("_one", F.lit(1)) if not keys else df
-    work = work.withColumn("_b1", (F.col(h) / 65536).cast("long")).withColumn("_b2", (F.col(h) % 65536).cast("long"))
-    work = work.checkpoint(eager=True)
-    c1 = work.groupBy(*kcols, "_b1").agg(F.count(F.lit(1)).alias("_n")).collect()
-    present = {tuple(r[:-2]) for r in c1}
-    totals: dict = {}
-    for r in c1:
-        totals[tuple(r[:-2])] = totals.get(tuple(r[:-2]), 0) + r[-1]
-    if callable(k):
-        need = {key: int(k(totals[key])) for key in present}
-    else:
-        need = {key: (k if isinstance(k, int) else int(k.get(key if keys else (), 0))) for key in present}
-    b1 = _boundary([tuple(r) for r in c1], need)
-    t1 = spark.createDataFrame([(*key, b, n) for key, (b, n) in b1.items()],
-                               work.select(*kcols).schema.add("_b1s", "long").add("_n1", "long"))
-    inb = work.join(F.broadcast(t1), kcols).filter(F.col("_b1") == F.col("_b1s"))
-    c2 = inb.groupBy(*kcols, "_b2").agg(F.count(F.lit(1)).alias("_n")).collect()
-    b2 = _boundary([tuple(r) for r in c2], {key: n for key, (b, n) in b1.items()})
-    rows = [(*key, b1[key][0], bb, n) for key, (bb, n) in b2.items()]
-    rows += [(*key, b, -1, 0) for key, (b, n) in b1.items() if key not in b2]
-    bounds = spark.createDataFrame(rows, work.select(*kcols).schema.add("_b1s", "long")
-                                   .add("_b2s", "long").add("_n2", "long"))
-    edge = (work.join(F.broadcast(bounds), kcols)
-            .filter((F.col("_b1") == F.col("_b1s")) & (F.col("_b2") == F.col("_b2s"))))
-    we = Window.partitionBy(*kcols).orderBy(h, tie)
-    edge_ids = (edge.withColumn("_r", F.row_number().over(we)).filter(F.col("_r") <= F.col("_n2"))
-                .select(*[F.col(c).alias(f"_e_{c}") for c in kcols], F.col(tie).alias("_tie"),
-                        F.lit(True).alias("_edge")))
-    flagged = work.join(F.broadcast(bounds), kcols, "left")
-    cond = [F.col(c) == F.col(f"_e_{c}") for c in kcols] + [F.col(tie) == F.col("_tie")]
-    flagged = flagged.join(edge_ids, cond, "left")
-    below = (F.col("_b1") < F.col("_b1s")) | ((F.col("_b1") == F.col("_b1s")) & (F.col("_b2") < F.col("_b2s")))
-    out = flagged.withColumn(flag, F.coalesce(below, F.lit(False)) | F.coalesce(F.col("_edge"), F.lit(False)))
-    out = out.drop(*[f"_e_{c}" for c in kcols], "_tie", "_edge", "_b1", "_b2", "_b1s", "_b2s", "_n2")
-    return out.drop("_one") if not keys else out
+    work = written(df if keys else df.withColumn("_one", F.lit(1)), "k-smallest")
+    kcols = list(keys or ["_one"])
+    out = work.join(cuts(work, h, tie, k, kcols), kcols, "left")
+    below = (F.col(h) < F.col("_cut_h")) | ((F.col(h) == F.col("_cut_h")) & (F.col(tie) <= F.col("_cut_tie")))
+    out = out.withColumn(flag, F.coalesce(below, F.lit(False))).drop("_cut_h", "_cut_tie")
+    return out if keys else out.drop("_one")
 
 
 # ---------------------------------------------------------------- M02
@@ -133,7 +106,7 @@ def label_noise(df: DataFrame, label: str, id_col: str, classes: list[str],
     ``tie_col`` must be unique per row (defaults to ``id_col``).
     """
     h = df.withColumn("_h", hash32(seed, F.col(id_col)))
-    flagged = k_smallest(h, "_h", tie_col or id_col, lambda n: math.floor(n * pct), flag="_noisy")
+    flagged = k_smallest(h, "_h", tie_col or id_col, lambda n: F.floor(n * F.lit(pct)), flag="_noisy")
     others = F.filter(F.array(*[F.lit(c) for c in classes]), lambda c: c != F.col(label))
     pick = F.get(others, (hash32(seed, "alt", F.col(id_col)) % F.greatest(F.size(others), F.lit(1))).cast("int"))
     return flagged.withColumn(out, F.when(F.col("_noisy"), pick).otherwise(F.col(label))).drop("_h", "_noisy")
@@ -149,10 +122,20 @@ def split_exact(df: DataFrame, label: str, id_col: str, test_size: float = 0.2,
                 tie_col: str | None = None) -> DataFrame:
     """W03 exact: per class, the floor(test_size * n_c + 0.5) rows of smallest hash are test."""
     h = df.withColumn("_h", hash32(seed, "split", F.col(id_col)))
-    return k_smallest(h, "_h", tie_col or id_col, lambda n: math.floor(n * test_size + 0.5),
+    return k_smallest(h, "_h", tie_col or id_col, lambda n: F.floor(n * F.lit(test_size) + 0.5),
                       keys=[label], flag="is_test").drop("_h")
 
 
-def fold_hash(id_col: str, folds: int = 3, seed: int = K.SEED) -> Column:
-    """Fold number from the row hash (stateless, balanced in expectation)."""
-    return (hash32(seed, "fold", F.col(id_col)) % folds).cast("int")
+def folds(df: DataFrame, label: str, id_col: str, n_folds: int = 3, seed: int = K.SEED,
+          tie_col: str | None = None, out: str = "fold") -> DataFrame:
+    """Stratified folds. The rows of each class, in hash order, are cut into ``n_folds`` parts of equal size."""
+    tie = tie_col or id_col
+    work = written(df.withColumn("_h", hash32(seed, "fold", F.col(id_col))), "folds")
+    fold = F.lit(0)
+    rows = work
+    for f in range(1, n_folds):
+        cut = cuts(work, "_h", tie, lambda n, f=f: F.ceil(n * f / n_folds), [label])
+        rows = rows.join(cut.withColumnsRenamed({"_cut_h": f"_h{f}", "_cut_tie": f"_t{f}"}), label, "left")
+        past = (F.col("_h") > F.col(f"_h{f}")) | ((F.col("_h") == F.col(f"_h{f}")) & (F.col(tie) > F.col(f"_t{f}")))
+        fold = fold + F.when(past, 1).otherwise(0)
+    return rows.withColumn(out, fold.cast("int")).drop("_h", *[f"_{x}{f}" for f in range(1, n_folds) for x in "ht"])

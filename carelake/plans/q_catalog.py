@@ -22,7 +22,7 @@ def tagged(spark, d):
 
 
 def merged(spark, d):
-    return CT.merge_profiles(CT.dataset_profiles(tagged(spark, d)))
+    return CT.merge_profiles(CT.dataset_profiles(tagged(spark, d)), ["main", "active"])
 
 
 def manual(spark, d):
@@ -172,9 +172,13 @@ def u04(spark, d):
 _NM = O.collapse(O.strip("diagnosis"))
 
 
+# Stored ids differ from the hash that new rows get, so that lost identities show.
+STORED_DISEASE, STORED_SYMPTOM = 5_000_000_000, 7_000_000_000
+
+
 @register("j11_upsert_manual", O.with_fixture(
-    "SELECT d.name, count(DISTINCT s.normalized) AS symptoms_count FROM up_d d LEFT JOIN up_l l ON l.disease_id = d.id "
-    "LEFT JOIN up_s s ON s.id = l.symptom_id GROUP BY d.name",
+    "SELECT d.id, d.name, d.created_by, d.stored, count(DISTINCT s.normalized) AS symptoms_count FROM up_d d "
+    "LEFT JOIN up_l l ON l.disease_id = d.id LEFT JOIN up_s s ON s.id = l.symptom_id GROUP BY ALL",
     MANUAL_CTES + ",\n" +
     # Upserts: encounters with id % 13 = 0 give (diagnosis, symptom items), applied in id order.
     f"upd0 AS (SELECT encounter_id, {_NM} AS nm, " + O.split_items("coalesce(symptoms, '')")
@@ -182,20 +186,29 @@ _NM = O.collapse(O.strip("diagnosis"))
     "upd AS (SELECT lower(nm) AS key, arg_max(nm, encounter_id) AS nm, max(encounter_id) AS last_e FROM upd0 GROUP BY 1), "
     "upd_items AS (SELECT lower(nm) AS key, encounter_id AS e, " + O.normalize_term("it") + " AS normalized "
     "FROM (SELECT nm, encounter_id, unnest(items) AS it FROM upd0)), "
-    f"up_d AS (SELECT {sql_hash('lower(name)')} AS id, name FROM (SELECT name FROM m_diseases WHERE lower(name) NOT IN "
-    "(SELECT key FROM upd) UNION ALL SELECT nm FROM upd)), "
-    "up_s AS (SELECT id, normalized FROM m_symptoms UNION ALL SELECT DISTINCT " + sql_hash("normalized")
+    f"st_d AS (SELECT id + {STORED_DISEASE} AS id, name, created_by, lower(name) AS key FROM m_diseases), "
+    f"st_s AS (SELECT id + {STORED_SYMPTOM} AS id, normalized FROM m_symptoms), "
+    f"st_l AS (SELECT disease_id + {STORED_DISEASE} AS disease_id, symptom_id + {STORED_SYMPTOM} AS symptom_id FROM m_links), "
+    f"up_d AS (SELECT coalesce(s.id, {sql_hash('u.key')}) AS id, coalesce(u.nm, s.name) AS name, "
+    "CASE WHEN s.id IS NULL THEN 'editor' ELSE s.created_by END AS created_by, s.id IS NOT NULL AS stored, u.key, u.last_e "
+    "FROM st_d s FULL OUTER JOIN upd u ON s.key = u.key), "
+    "up_s AS (SELECT id, normalized FROM st_s UNION ALL SELECT DISTINCT " + sql_hash("normalized")
     + ", normalized FROM upd_items WHERE normalized NOT IN (SELECT normalized FROM m_symptoms) AND normalized <> ''), "
-    "up_l AS (SELECT * FROM m_links WHERE disease_id NOT IN (SELECT " + sql_hash("key") + " FROM upd) "
-    "UNION SELECT DISTINCT " + sql_hash("i.key") + ", " + sql_hash("i.normalized")
-    + " FROM upd_items i JOIN upd u ON u.key = i.key AND u.last_e = i.e WHERE i.normalized <> '')"))
+    "up_l AS (SELECT * FROM st_l WHERE disease_id NOT IN (SELECT id FROM up_d WHERE last_e IS NOT NULL) "
+    "UNION SELECT DISTINCT d.id, s.id FROM up_d d JOIN upd_items i ON d.key = i.key AND d.last_e = i.e "
+    "JOIN up_s s ON s.normalized = i.normalized)"))
 def j11(spark, d):
     ds, sy, li = R.manual_catalogue(spark, d)
-    ups = CT.upserts_from(encounters_raw(spark, d))
-    nd, ns, nl = CT.upsert_manual(ds, sy, li, ups)
+    then = F.to_timestamp(F.lit("2020-01-01 00:00:00"))
+    ds = ds.withColumn("id", F.col("id") + STORED_DISEASE).withColumn("created_at", then)
+    sy = sy.withColumn("id", F.col("id") + STORED_SYMPTOM)
+    li = li.select((F.col("disease_id") + STORED_DISEASE).alias("disease_id"),
+                   (F.col("symptom_id") + STORED_SYMPTOM).alias("symptom_id"))
+    nd, ns, nl = CT.upsert_manual(ds, sy, li, CT.upserts_from(encounters_raw(spark, d)), "editor")
+    nd = nd.withColumn("stored", F.col("created_at") == then)
     j = nd.join(nl, nd["id"] == nl["disease_id"], "left").join(
         ns.select(F.col("id").alias("sid"), "normalized"), F.col("symptom_id") == F.col("sid"), "left")
-    return j.groupBy("name").agg(F.count_distinct("normalized").alias("symptoms_count"))
+    return j.groupBy(nd["id"], "name", "created_by", "stored").agg(F.count_distinct("normalized").alias("symptoms_count"))
 
 
 _ = A  # analytics is used through catalog

@@ -15,6 +15,7 @@ from carelake.operators import sampling as SM
 from carelake.operators import tfidf as TF
 from carelake.plans.registry import register
 from carelake.plans.q_records import PRED_CTES
+from carelake.session import written
 from carelake.sources import records as R
 from carelake.sources.fixture import encounters_raw
 
@@ -171,10 +172,12 @@ def w03(spark, d):
 
 
 @register("w04_folds", O.with_fixture(
-    "SELECT encounter_id, CAST(" + h32("'42'", "'fold'", "CAST(encounter_id AS VARCHAR)") + " % 3 AS INTEGER) AS fold "
-    "FROM mrows", MODEL_ROWS_CTE))
+    "SELECT encounter_id, diagnosis, CAST(floor((row_number() OVER (PARTITION BY diagnosis ORDER BY "
+    + h32("'42'", "'fold'", "CAST(encounter_id AS VARCHAR)") + ", encounter_id) - 1) * 3.0 "
+    "/ count(*) OVER (PARTITION BY diagnosis)) AS INTEGER) AS fold FROM mrows", MODEL_ROWS_CTE))
 def w04(spark, d):
-    return model_rows(spark, d).select("encounter_id", SM.fold_hash("encounter_id").alias("fold"))
+    return SM.folds(model_rows(spark, d), "diagnosis", "encounter_id", tie_col="row_key") \
+        .select("encounter_id", "diagnosis", "fold")
 
 
 # -------------------------------------------------------------------- TF-IDF
@@ -195,8 +198,8 @@ TFIDF_CTES = (
     "SELECT encounter_id, term, round_even(weight, 6) AS weight FROM wn",
     MODEL_ROWS_CTE + ", " + DROPOUT_CTE + ", " + TFIDF_CTES))
 def m03(spark, d):
-    # Two passes (vocabulary, weights) read the documents: checkpoint them once.
-    docs = train_docs(spark, d).select("encounter_id", "symptoms_train").checkpoint()
+    # Two passes (vocabulary, weights) read the documents: write them once.
+    docs = written(train_docs(spark, d).select("encounter_id", "symptoms_train"), "tfidf-docs")
     vocab = TF.fit_vocabulary(docs, "encounter_id", "symptoms_train")
     return TF.weights_long(docs, vocab, "encounter_id", "symptoms_train") \
         .select("encounter_id", "term", F.bround("weight", 6).alias("weight"))
