@@ -28,7 +28,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +46,6 @@ class PpmParams:
     order: int = 5
     max_nodes: int = 2_000_000    # entries of the broadcast trie
     max_words: int = 400_000      # words whose counts are broadcast
-    held_words: int = 400_000     # words that a task counts before it hands them on
 
 
 def pieces(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,7 +149,7 @@ class Trie:
 
 class Scorer:
     def __init__(self, trie: Trie) -> None:
-        self.trie, self.cache = trie, GramCache(1)
+        self.trie, self.cache = trie, GramCache(1, slot_bits=22)
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -181,44 +181,41 @@ def adaptive_log10(text: bytes, order: int = 4) -> float:
     return bits
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words; bytes.lower and bytes.split know A-Z and the six ASCII blanks only, as the contract does."""
-    return text.lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of all texts, and the text of each. The ASCII functions know A-Z and the six ASCII blanks only, as the contract does."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    real = pc.not_equal(words, "")  # blanks at either end leave empty words
+    return words.filter(real), owner.filter(real).to_numpy()
 
 
-def as_bytes(text: str | None) -> bytes:
-    return b"" if text is None else text.encode("utf-8")
+def texts_of(batch: pa.RecordBatch) -> tuple[pa.Array, list[bytes]]:
+    texts = batch.column("text").fill_null("")
+    return texts, texts.cast(pa.binary()).to_pylist()
+
+
+COUNTS = pa.schema([("word", pa.string()), ("gram", pa.int64()), ("c", pa.int64())])
 
 
 def counts(docs: DataFrame, params: PpmParams) -> DataFrame:
     """(word, gram, c) over all texts: rows of words have no gram, rows of grams no word; the end of text is the empty word."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, keys, amounts = Counter(), [], []
-
-        def hand_on() -> Iterator[pd.DataFrame]:
-            yield pd.DataFrame({"word": list(words.keys()), "gram": pd.array([None] * len(words), "Int64"), "c": list(words.values())})
-            if keys:
-                key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-                c = np.bincount(inverse, np.concatenate(amounts)).astype(np.int64)
-                yield pd.DataFrame({"word": [None] * len(key), "gram": pd.array(key.astype(np.int64), "Int64"), "c": c})
-            words.clear(), keys.clear(), amounts.clear()
-
-        for pdf in batches:
-            texts = [as_bytes(t) for t in pdf["text"]]
-            for t in texts:
-                words.update(tokens(t))
-                if len(words) > params.held_words:
-                    yield from hand_on()
-            words[b""] += len(texts)
-            for grams, _ in pieces(texts, params.order):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, raw = texts_of(batch)
+            found = pc.value_counts(tokens(texts)[0])
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([found.field("values"), pa.nulls(n, pa.int64()), found.field("counts")], schema=COUNTS)
+            yield pa.RecordBatch.from_arrays([pa.array([""]), pa.nulls(1, pa.int64()), pa.array([len(raw)])], schema=COUNTS)
+            keys, amounts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for grams, _ in pieces(raw, params.order):
                 key, c = np.unique(grams, return_counts=True)
                 keys.append(key)
                 amounts.append(c)
-            if sum(map(len, keys)) > 4_000_000:
-                yield from hand_on()
-        yield from hand_on()
+            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(inverse, np.concatenate(amounts), len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(c)], schema=COUNTS)
 
-    got = docs.select("text").mapInPandas(run, "word binary, gram long, c long")
+    got = docs.select("text").mapInArrow(run, "word string, gram long, c long")
     return got.groupBy("word", "gram").agg(F.sum("c").alias("c"))
 
 
@@ -262,8 +259,8 @@ def gather_trie(table: DataFrame, params: PpmParams) -> Trie:
 class Words:
     """Counts of the frequent words, and the figures of the whole table."""
 
-    counts: dict[bytes, int]
-    rare_below: int
+    frequent: pa.Array
+    counts: np.ndarray
     total: int
     distinct: int
     ends: int
@@ -275,8 +272,9 @@ def gather_words(table: DataFrame, params: PpmParams) -> Words:
                       F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
     histogram = words.groupBy(F.least("c", F.lit(100_000)).alias("b")).agg(F.count("*").alias("n")).collect()
     cut = _cut([(r["b"], r["n"]) for r in histogram], params.max_words)
-    word, c = _columns(words.where((F.col("c") >= cut) & (F.length("word") > 0)).select("word", "c"))
-    return Words(dict(zip(word, c.tolist())), cut, facts["n"] or 0, facts["v"], facts["ends"] or 0)
+    kept = words.where((F.col("c") >= cut) & (F.length("word") > 0)).select("word", "c").toArrow()
+    word = pa.concat_arrays([pa.array([], pa.string()), *kept.column("word").cast(pa.string()).chunks])
+    return Words(word, kept.column("c").to_numpy(), facts["n"] or 0, facts["v"], facts["ends"] or 0)
 
 
 def score(docs: DataFrame, train: Column, params: PpmParams = PpmParams()) -> DataFrame:
@@ -286,27 +284,28 @@ def score(docs: DataFrame, train: Column, params: PpmParams = PpmParams()) -> Da
     space = words.total + words.distinct + 1
     shared = docs.sparkSession.sparkContext.broadcast((trie, words))  # bounded by max_nodes and max_words
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, words = shared.value
         model = Scorer(trie)
-        known, end = words.counts, math.log10((words.ends + 1) / space)
-        for pdf in batches:
-            texts = [as_bytes(t) for t in pdf.pop("text")]
-            n, n_known, base, rare = [], [], [], []
-            for t in texts:
-                ts = tokens(t)
-                c = np.fromiter((known.get(w, 0) for w in ts), np.int64, len(ts))
-                hit = c > 0
-                n.append(len(ts) + 1)
-                n_known.append(int(hit.sum()) + (words.ends > 0))
-                base.append(float(np.log10((c[hit] + 1) / space).sum()) + end)
-                rare.append([ts[i] for i in np.flatnonzero(~hit)])
-            yield pdf.assign(n_tokens=n, n_known=n_known, base=base, rare=rare, score=model.log10(texts),
-                             n_bytes=[len(t) for t in texts])
+        log, end = np.log10((words.counts + 1) / space), math.log10((words.ends + 1) / space)
+        for batch in batches:
+            texts, raw = texts_of(batch)
+            word, owner = tokens(texts)
+            at = pc.index_in(word, value_set=words.frequent).fill_null(-1).to_numpy()
+            hit, n = at >= 0, len(raw)
+            rare = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=n))]).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({
+                "row": batch.column("row"), "doc_id": batch.column("doc_id"),
+                "n_tokens": np.bincount(owner, minlength=n) + 1,
+                "n_known": np.bincount(owner[hit], minlength=n) + int(words.ends > 0),
+                "base": np.bincount(owner[hit], log[at[hit]], n) + end,
+                "rare": pa.ListArray.from_arrays(pa.array(rare), word.filter(pa.array(~hit))),
+                "score": model.log10(raw),
+                "n_bytes": np.fromiter(map(len, raw), np.int64, n)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(
-        run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, rare array<binary>, score double, n_bytes long"), "ppm-scored")
+    scored = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
+        run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, rare array<string>, score double, n_bytes long"), "ppm-scored")
     # All words that were not broadcast meet the full table; hot words are broadcast ones, so no key is hot here.
     rare = scored.select("row", F.explode("rare").alias("word"))
     found = (rare.join(table.where("word is not null").select("word", "c"), "word", "left")
