@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
 from carelake.operators.sampling import hash01
+from carelake.session import written
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = TT.StructType([
@@ -70,23 +71,38 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
+def _samples(ids: DataFrame, id_col: str, n: int, n_trees: int, sample: int, seed: int) -> DataFrame:
+    """(tree, id): for each tree the ``sample`` rows with the smallest hash.
+
+    Only ids are ranked, and of those a share by another hash that holds enough of
+    them; a tree that got too few (which is checked) makes the share larger.
+    """
+    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
+    share = min(1.0, 4.0 * sample / max(n, 1))
+    while True:
+        # explode_outer + null filter (a plain explode would make the optimizer
+        # re-evaluate the hashes in an inferred size() > 0 filter).
+        cand = (ids.select(id_col, F.explode_outer(F.filter(
+                    trees, lambda t: hash01(seed, "iso-pick", t, F.col(id_col)) < share)).alias("tree"))
+                .filter(F.col("tree").isNotNull())
+                .withColumn("_h", hash01(seed, "iso-rank", F.col("tree"), F.col(id_col))))
+        w = Window.partitionBy("tree").orderBy("_h", id_col)
+        picked = written(cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample)
+                         .select("tree", id_col), "iso-samples")
+        if share >= 1.0 or picked.count() == n_trees * sample:
+            return picked
+        share = min(1.0, 4 * share)
+
+
 def fit(df: DataFrame, features: str, id_col: str, n_trees: int = 120, max_samples: int = 256,
         seed: int = 42) -> DataFrame:
     """Node table (tree, node, feature, threshold, left, right, size)."""
     n = df.count()
     sample = min(max_samples, n)
-    p = min(1.0, 4.0 * max_samples / max(n, 1))
     limit = int(math.ceil(math.log2(max(sample, 2))))
-    trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    # explode_outer + null filter (a plain explode would make the optimizer
-    # re-evaluate the 120 hashes in an inferred size() > 0 filter).
-    cand = (df.select(id_col, features,
-                      F.explode_outer(F.filter(trees, lambda t: hash01(seed, "iso-pick", t, F.col(id_col)) < p))
-                      .alias("tree"))
-            .filter(F.col("tree").isNotNull())
-            .withColumn("_h", hash01(seed, "iso-rank", F.col("tree"), F.col(id_col))))
-    w = Window.partitionBy("tree").orderBy("_h", id_col)
-    picked = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample).select("tree", features)
+    picked = _samples(df.select(id_col), id_col, n, n_trees, sample, seed)
+    # At most n_trees * max_samples ids go out; the features of those rows come back.
+    picked = df.select(id_col, features).join(F.broadcast(picked), id_col).select("tree", features)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["tree"].iloc[0])

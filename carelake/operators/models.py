@@ -100,6 +100,14 @@ def predict(model: Classifier, rows: DataFrame, text_col: str, top_k: int = 5) -
             .drop("_p", "features", "rawPrediction", "probability", "prediction"))
 
 
+def top_percent(top: str) -> Column:
+    """L07 percent form: ``name:12.3`` for each entry of the share form."""
+    def one(e: Column) -> Column:
+        name, share = F.substring_index(e, ":", 1), F.substring_index(e, ":", -1)
+        return F.concat(name, F.lit(":"), F.bround(share.cast("double") * 100, 1).cast("string"))
+    return F.when(F.col(top) == "", F.lit("")).otherwise(F.array_join(F.transform(F.split(F.col(top), ";"), one), ";"))
+
+
 def risk_outputs(pred: DataFrame) -> DataFrame:
     """M10 extras: risk level name and recommendations."""
     return pred.withColumnRenamed("predicted", "risk_level_pred") \

@@ -12,10 +12,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from carelake import oracle as O
+from carelake.functions import constants as K
 from carelake.functions import text as T
 from carelake.operators import logs as LG
-from carelake.operators import patients as PT
 from carelake.plans import etl as ETL
+from carelake.plans import q_records as QR
 from carelake.plans.registry import register
 from carelake.session import checkpoint_dir
 from carelake.sources import files as FS
@@ -34,6 +35,25 @@ def _csv_copy(spark, d) -> str:
     return path
 
 
+CSV_FILES = 8
+
+
+def one_csv(spark, d) -> str:
+    """Encounters as CSV files by id modulo 8, each in id order, so that row numbers are known."""
+    root = run_dir(spark, "encounters-numbered")
+    raw = encounters_raw(spark, d).withColumn("part", F.col("encounter_id") % CSV_FILES)
+    rows = raw.repartition(CSV_FILES, "part").sortWithinPartitions("part", "encounter_id")
+    out = rows.select(*[F.col(c).cast("string").alias(ETL.CANONICAL_BACK.get(c, c)) for c in rows.columns])
+    (out.write.partitionBy("part").option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(root))
+    return f"{root}/part=*"
+
+
+def _csv_value(c: str, kind: str = "VARCHAR") -> str:
+    tokens = ", ".join(O.q(t) for t in K.CSV_NULL_TOKENS)
+    return f"CAST(CASE WHEN CAST({c} AS VARCHAR) IN ({tokens}) THEN NULL ELSE CAST({c} AS VARCHAR) END AS {kind}) AS {c}"
+
+
 # ------------------------------------------------------------------ ETL
 @register("a35_etl_report", O.with_clean(
     "SELECT true AS ingest_ok, r.rows_final > 0 AS clean_ok, r.rows_final > 0 AS transform_ok, "
@@ -61,12 +81,16 @@ def p34(spark, d):
 
 
 # ---------------------------------------------------------------- files
-@register("s01_csv_ingest")
+@register("s01_csv_ingest", O.with_fixture("SELECT " + ", ".join(
+    _csv_value(c) for c in ("encounter_id", "patient_id", "age_raw", "gender", "symptoms", "diagnosis"))
+    + ", " + ", ".join(_csv_value(c, "DATE") for c in ("date_of_admission", "discharge_date")) + " FROM encounters_raw"))
 def s01(spark, d):
     return FS.read_encounters_csv(spark, _csv_copy(spark, d))
 
 
-@register("s02_required_columns")
+@register("s02_required_columns", O.with_fixture(
+    "SELECT '' AS missing_required, true AS required_ok, 8 AS column_count, count(*) = 0 AS empty_file, "
+    "count(*) > 0 AS ok FROM encounters_raw"))
 def s02(spark, d):
     rep = ETL.ingest_check(FS.read_encounters_csv(spark, _csv_copy(spark, d)))
     return spark.createDataFrame([(", ".join(rep["missing_required"]), rep["required_ok"], rep["column_count"],
@@ -75,9 +99,16 @@ def s02(spark, d):
                                  "empty_file boolean, ok boolean")
 
 
-@register("s03_preview")
+@register("s03_preview", O.with_fixture(
+    "SELECT least(15, count(*)) AS rows, 8 AS columns, true AS all_from_file FROM encounters_raw"))
 def s03(spark, d):
-    return ETL.preview(FS.read_encounters_csv(spark, _csv_copy(spark, d), null_tokens=False, canonical=False))
+    """The preview's size, and that each of its rows is one of the file's."""
+    df = FS.read_encounters_csv(spark, _csv_copy(spark, d), null_tokens=False, canonical=False)
+    shown = ETL.preview(df)
+    known = encounters_raw(spark, d).select(F.col("encounter_id").cast("string")).distinct()
+    hit = shown.join(known, "encounter_id", "left_semi")
+    return hit.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(len(df.columns)).alias("columns"), (F.col("rows") == shown.count()).alias("all_from_file"))
 
 
 @register("s05_dataset_catalogue")
@@ -89,12 +120,21 @@ def s05(spark, d):
     return FS.catalogue(spark, root, "/main/").select("type", "size_kb", "newest")
 
 
-@register("s06_batch_check")
+@register("s06_batch_check", O.with_fixture(
+    "SELECT '' AS missing, true AS ok, CAST(count(*) AS BIGINT) AS rows FROM encounters_raw"))
 def s06(spark, d):
-    return FS.batch_check(spark, _csv_copy(spark, d)).select(F.array_join("missing", ",").alias("missing"), "rows", "ok")
+    """The files' checks, summed over the files."""
+    found = FS.batch_check(spark, _csv_copy(spark, d))
+    return found.groupBy(F.array_join("missing", ",").alias("missing"), "ok").agg(F.sum("rows").alias("rows"))
 
 
-@register("s08_image_scan")
+def _manifest_ctes() -> str:
+    from carelake.plans.q_models import MANIFEST_CTES
+    return MANIFEST_CTES
+
+
+@register("s08_image_scan", O.with_fixture(
+    "SELECT target_split, class, count(*) AS n FROM man GROUP BY ALL", _manifest_ctes()))
 def s08(spark, d):
     """Writes one small file per manifest row (folders from ``pages``) and scans them."""
     from carelake.operators import images as IM
@@ -110,7 +150,8 @@ def s08(spark, d):
     return IM.manifest(IM.with_path_parts(parts)).groupBy("target_split", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("s10_append_patients")
+@register("s10_append_patients", O.with_clean(
+    "SELECT source_dataset, count(*) + count_if(id % 2 = 0) AS rows FROM patients GROUP BY 1", QR.PATIENT_CTES))
 def s10(spark, d):
     path = run_dir(spark, "patients")
     FS.append_patients(R.patients(spark, d), path)
@@ -118,7 +159,11 @@ def s10(spark, d):
     return spark.read.parquet(path).groupBy("source_dataset").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("s11_prediction_log_append")
+_STATS_SQL = ("SELECT predicted_class AS class, count(*) AS count, round_even(avg(confidence), 4) AS avg_confidence "
+              "FROM preds GROUP BY 1")
+
+
+@register("s11_prediction_log_append", O.with_fixture(_STATS_SQL, QR.PRED_CTES))
 def s11(spark, d):
     path = run_dir(spark, "predictions")
     FS.append_predictions(R.xray_predictions(spark, d), path)
@@ -126,51 +171,68 @@ def s11(spark, d):
     return LG.prediction_stats(log)
 
 
-@register("s12_training_log")
-def s12(spark, d):
+def _metric_log(spark, d, kinds: tuple[str, ...]):
+    """Appends a training record per kind, and reads the log back."""
     path = run_dir(spark, "train-log")
     stats = LG.prediction_stats(R.xray_predictions(spark, d))
-    first = stats.select(F.to_json(F.collect_list(F.struct("*"))).alias("metrics"))
-    FS.append_training_metrics(first.withColumn("trained_at", F.to_timestamp(F.lit("2024-01-01 00:00:00"))), path)
-    FS.append_training_metrics(first.withColumn("trained_at", F.to_timestamp(F.lit("2024-02-01 00:00:00"))), path)
-    logs = spark.read.schema("metrics string, trained_at timestamp").json(path)
-    return LG.newest_metrics(logs)
+    for month, kind in enumerate(kinds, 1):
+        rec = stats.withColumn("kind", F.lit(kind)).withColumn(
+            "trained_at", F.to_timestamp(F.lit(f"2024-{month:02d}-01 00:00:00")))
+        FS.append_training_metrics(rec, path)
+    return spark.read.schema("class string, count long, avg_confidence double, kind string, trained_at timestamp").json(path)
+
+
+@register("s12_training_log", O.with_fixture(
+    f"SELECT k.kind, s.* FROM ({_STATS_SQL}) s, (VALUES ('first'), ('second')) k(kind)", QR.PRED_CTES))
+def s12(spark, d):
+    return _metric_log(spark, d, ("first", "second")).select("kind", "class", "count", "avg_confidence")
+
+
+@register("l08_newest_metrics", O.with_fixture(
+    "SELECT 'second' AS kind, TIMESTAMP '2024-02-01 00:00:00' AS trained_at, CAST(count(*) AS BIGINT) AS predictions "
+    "FROM preds", QR.PRED_CTES))
+def l08(spark, d):
+    """The newest of two logged records of a run."""
+    log = _metric_log(spark, d, ("first", "second")).groupBy("kind", "trained_at").agg(F.sum("count").alias("predictions"))
+    return LG.newest_metrics(log)
 
 
 # -------------------------------------------------------------- streams
-@register("t01_clean_stream")
+@register("t01_clean_stream", O.with_clean(
+    "SELECT encounter_id, age, gender, symptoms, diagnosis, gender_enc, age_bin, symptoms_en FROM xf"))
 def t01(spark, d):
     src, out = _csv_copy(spark, d), run_dir(spark, "t01-out")
     ST.run_clean_stream(spark, src, out, run_dir(spark, "t01-ckpt"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("symptoms_count")   # P15 has its own query
 
 
-@register("t02_alert_stream")
+@register("t02_alert_stream", O.with_fixture(
+    "SELECT count(*) AS alerts FROM preds WHERE clinical_alert", QR.PRED_CTES))
 def t02(spark, d):
     log = run_dir(spark, "t02-log")
     preds = R.xray_predictions(spark, d)
     preds.write.parquet(log)
     out = run_dir(spark, "t02-out")
     ST.run_alert_stream(spark, log, spark.read.parquet(log).schema, out, run_dir(spark, "t02-ckpt"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@register("t03_running_counts")
+@register("t03_running_counts", O.with_clean(
+    "SELECT kind, name, count(*) AS count FROM (SELECT unnest(['diagnosis', 'zone', 'risk']) AS kind, "
+    "unnest([diagnosis, hospital_zone, risk_level]) AS name FROM patients) GROUP BY ALL", QR.PATIENT_CTES))
 def t03(spark, d):
     src = run_dir(spark, "t03-in")
     R.patients(spark, d).write.parquet(src)
     out = run_dir(spark, "t03-out")
     ST.run_count_stream(spark, src, spark.read.parquet(src).schema, out, run_dir(spark, "t03-ckpt"))
-    return spark.read.parquet(out)
+    return ST.latest_counts(spark, out)
 
 
-@register("t04_unread_stream")
+@register("t04_unread_stream", O.with_fixture(
+    "SELECT id, level, title, created_at FROM notifications WHERE is_read = 0", QR.NOTIF_CTE))
 def t04(spark, d):
     src = run_dir(spark, "t04-in")
     LG.normalize_notifications(R.notifications(spark, d)).write.parquet(src)
     out = run_dir(spark, "t04-out")
     ST.run_unread_stream(spark, src, spark.read.parquet(src).schema, out, run_dir(spark, "t04-ckpt"))
     return spark.read.parquet(out)
-
-
-_ = PT

@@ -1,34 +1,46 @@
 """Registered queries: forests, isolation forest and cohort jobs (checked by rows and tests).
 
-Models are trained once per (session, data folder) and reused by the queries
-of this module; ``QUERY_TREES`` keeps the forests small for the checks (the
-training job itself defaults to 120 trees).
+The training run (120 trees, cross-validation) is done once per session and data
+folder and shared by the queries of this module; ``forget`` releases it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from carelake import oracle as O
 from carelake.operators import lookup as L
 from carelake.plans import cohort as CO
 from carelake.plans import training as TR
 from carelake.plans.registry import register
+from carelake.sources import files as FS
 from carelake.sources import records as R
 from carelake.sources.fixture import encounters_raw
 
-QUERY_TREES = 20
 _CACHE: dict = {}
 
 
 def trained(spark, d) -> TR.TrainResult:
-    """Forests and detector shared by the queries (cross-validation runs in m08 only)."""
+    """The training run's models and figures; cross-validation follows when a query first asks for it."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _CACHE:
-        params = TR.TrainParams(n_trees=QUERY_TREES, iso_trees=120, run_cv=False)
-        _CACHE[key] = TR.train(encounters_raw(spark, d, with_copy=True), params)
+        _CACHE[key] = TR.train(encounters_raw(spark, d, with_copy=True), TR.TrainParams(run_cv=False))
     return _CACHE[key]
 
 
+def validated(spark, d) -> TR.TrainResult:
+    """The same run with its cross-validation figures."""
+    return TR.cross_validate(trained(spark, d))
+
+
+def forget() -> None:
+    """Release the frames that the shared run keeps."""
+    for run in _CACHE.values():
+        run.rows.unpersist()
+        run.iso_nodes.unpersist()
+    _CACHE.clear()
+
+
 @register("m06_disease_forest_report")
 def m06(spark, d):
     return trained(spark, d).disease_report
@@ -42,14 +54,8 @@ def m07(spark, d):
 @register("m08_cross_validation")
 def m08(spark, d):
     """3-fold accuracy of both forests (W04 folds), per fold."""
-    from carelake.functions import constants as K
-    from carelake.operators import models as M
-    from carelake.operators import sampling as SM
-    t = trained(spark, d)
-    noisy = SM.label_noise(t.rows, "risk_level", "encounter_id", K.RISK_CLASSES, tie_col="row_key")
-    cv_d = M.cv_accuracy(t.rows, "diagnosis", "symptoms_train", 3, QUERY_TREES, 10, 5)
-    cv_r = M.cv_accuracy(noisy, "label_noisy", "symptoms_train", 3, QUERY_TREES, 8, 10)
-    return cv_d.withColumn("model", F.lit("disease")).unionByName(cv_r.withColumn("model", F.lit("risk")))
+    t = validated(spark, d)
+    return t.cv_disease.withColumn("model", F.lit("disease")).unionByName(t.cv_risk.withColumn("model", F.lit("risk")))
 
 
 @register("m09_disease_predictions")
@@ -68,7 +74,10 @@ def m10(spark, d):
 
 @register("m11_model_info")
 def m11(spark, d):
-    return TR.metrics_frame(spark, trained(spark, d).metrics)
+    """Model info as the portal shows it: classes, figures of the last run, features."""
+    keep = ("disease_classes", "risk_classes", "disease_accuracy", "risk_accuracy", "n_samples", "features_used")
+    rec = trained(spark, d).metrics
+    return TR.metrics_frame(spark, {k: rec[k] for k in keep})
 
 
 @register("m12_isolation_forest_nodes")
@@ -83,18 +92,43 @@ def m13(spark, d):
         "id", "anomaly_score", "is_anomaly")
 
 
+def _numbered(spark, d):
+    """The encounters as a CSV file with file row numbers."""
+    from carelake.plans.q_files import one_csv
+    return FS.read_encounters_csv(spark, one_csv(spark, d), null_tokens=False, row_col="row_no")
+
+
+_IMPORT_CTES = (
+    "imp AS (SELECT row_number() OVER (PARTITION BY encounter_id % 8 ORDER BY encounter_id) AS row_no, encounter_id, "
+    + O.integer_value("coalesce(age_raw, '')") + " AS age, CASE WHEN trim(coalesce(gender, '')) = '' THEN 'Other' "
+    "ELSE trim(gender) END AS gender, trim(coalesce(symptoms, '')) AS symptoms, trim(coalesce(diagnosis, '')) AS diagnosis "
+    "FROM encounters_raw)")
+
+
 @register("m14_cohort_import")
 def m14(spark, d):
-    t = trained(spark, d)
-    pats, _summary = CO.import_cohort(encounters_raw(spark, d), t.risk, L.default_doctors(spark), "encounters")
+    pats, _summary = CO.import_cohort(_numbered(spark, d), trained(spark, d).risk, L.default_doctors(spark), "encounters")
     return pats
 
 
-@register("a31_import_summary")
+@register("m14_cohort_rows", O.with_fixture(
+    "SELECT row_no, 'Paciente DS-' || row_no AS patient_name, age, gender, symptoms, diagnosis, "
+    "CAST(1.0 AS DOUBLE) AS diagnosis_confidence, 'encounters' AS source_dataset FROM imp "
+    "WHERE age IS NOT NULL AND symptoms <> '' AND diagnosis <> ''", _IMPORT_CTES))
+def m14_rows(spark, d):
+    """M14 without the forest's two columns: every import rule and the file row numbers."""
+    return CO.import_rows(_numbered(spark, d)).select(
+        "row_no", F.concat(F.lit("Paciente DS-"), F.col("row_no").cast("string")).alias("patient_name"),
+        F.col("age").cast("int").alias("age"), "gender", "symptoms", "diagnosis", F.lit(1.0).alias("diagnosis_confidence"),
+        F.lit("encounters").alias("source_dataset"))
+
+
+@register("a31_import_summary", O.with_fixture(
+    "SELECT count(*) AS rows_processed, count_if(age IS NOT NULL AND symptoms <> '' AND diagnosis <> '') AS inserted, "
+    "count_if(NOT (age IS NOT NULL AND symptoms <> '' AND diagnosis <> '')) AS skipped, 'encounters' AS dataset FROM imp",
+    _IMPORT_CTES))
 def a31(spark, d):
-    t = trained(spark, d)
-    _pats, summary = CO.import_cohort(encounters_raw(spark, d), t.risk, L.default_doctors(spark), "encounters")
-    return summary
+    return CO.import_summary(_numbered(spark, d), "encounters")
 
 
 @register("m15_cohort_analysis")
@@ -106,7 +140,7 @@ def m15(spark, d):
                         "gender", "symptoms")
     out = CO.analyze_cohort(cohort, t.disease, t.risk, t.forest, L.default_doctors(spark))
     return out.select("id", "predicted_disease", "disease_confidence", "risk_level", "risk_confidence",
-                      "anomaly_score", "is_anomaly", "hospital_zone", "specialist_doctor")
+                      "anomaly_score", "is_anomaly", "hospital_zone", "specialist_doctor", "error")
 
 
 @register("m16_atypical_patients")

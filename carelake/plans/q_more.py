@@ -7,13 +7,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from carelake import oracle as O
+from carelake.functions import constants as K
 from carelake.functions import text as T
 from carelake.operators import analytics as A
 from carelake.operators import images as IM
 from carelake.operators import logs as LG
 from carelake.operators import lookup as L
+from carelake.plans import q_records as QR
 from carelake.plans.q_etl import PROFILE_CTES
-from carelake.plans.q_files import _csv_copy, run_dir
+from carelake.plans.q_files import run_dir
 from carelake.plans.q_records import _sym_case
 from carelake.plans.registry import register
 from carelake.sources import files as FS
@@ -99,13 +101,19 @@ def l04(spark, d):
     return IM.recent_images(R.image_store(spark, d), "general")
 
 
-@register("w05_file_row_numbers")
+@register("w05_file_row_numbers", O.with_fixture(
+    "SELECT CAST(row_number() OVER (PARTITION BY encounter_id % 8 ORDER BY encounter_id) AS BIGINT) AS row_no, "
+    "CAST(encounter_id AS VARCHAR) AS encounter_id FROM encounters_raw"))
 def w05(spark, d):
-    df = FS.read_encounters_csv(spark, _csv_copy(spark, d), canonical=False)
-    return FS.with_row_number(df).select("row_no", "encounter_id")
+    from carelake.plans.q_files import one_csv
+    df = FS.read_encounters_csv(spark, one_csv(spark, d), canonical=False, row_col="row_no")
+    return df.select("row_no", "encounter_id")
 
 
-@register("s09_table_reads")
+@register("s09_table_reads", O.with_fixture(
+    "SELECT level, count(*) AS unread FROM notifications WHERE is_read = 0 GROUP BY 1 UNION ALL "
+    "SELECT zone, count(*) FROM (VALUES " + ", ".join(f"({O.q(r[2])})" for r in K.DEFAULT_DOCTOR_ROSTER)
+    + ") v(zone) GROUP BY 1", QR.NOTIF_CTE))
 def s09(spark, d):
     base = run_dir(spark, "tables")
     TB.write_table(LG.normalize_notifications(R.notifications(spark, d)), f"{base}/notifications", ["is_read"])
@@ -118,10 +126,10 @@ def s09(spark, d):
 
 @register("s13_metrics_json")
 def s13(spark, d):
-    from carelake.plans.q_jobs import trained
+    from carelake.plans.q_jobs import validated
     from carelake.plans.training import metrics_frame
     path = run_dir(spark, "metrics")
-    FS.write_metrics_json(metrics_frame(spark, trained(spark, d).metrics), path)
+    FS.write_metrics_json(metrics_frame(spark, validated(spark, d).metrics), path)
     return spark.read.json(path)
 
 
@@ -143,7 +151,6 @@ def s14(spark, d):
 # ------------------------------------------------- explicit inventory entries
 from carelake.plans import q_catalog as QC  # noqa: E402
 from carelake.plans import q_models as QM  # noqa: E402
-from carelake.plans import q_records as QR  # noqa: E402
 
 
 @register("p20_clinical_alert", O.with_fixture(
@@ -174,20 +181,33 @@ def w02(spark, d):
         "hospital_zone", F.col("_doc_name").alias("doctor"))
 
 
-register("l05_doctors_by_name", O.with_clean(
-    "SELECT r.id, r.name, r.specialty, r.zone, count(p.id) AS assigned_patients FROM roster r "
-    "LEFT JOIN patients p ON p.specialist_doctor = r.name || ' (' || r.specialty || ')' "
-    "WHERE r.is_active = 1 GROUP BY ALL", QR.PATIENT_CTES))(QR.p24)
-register("l06_disease_catalogue_order", QC.REGISTRY_SQL_J04)(QC.j04)
+@register("l05_doctors_by_name", O.with_fixture(
+    "SELECT CAST(row_number() OVER (ORDER BY lower(name), id) AS INTEGER) AS position, id, name FROM roster "
+    "WHERE is_active = 1", QR.ROSTER_CTE))
+def l05(spark, d):
+    """The active doctors with their place in the list's order."""
+    first = Window.orderBy(F.lower("name"), "id")   # the roster, 18 rows
+    return L.active_doctors(L.default_doctors(spark)).select(
+        F.row_number().over(first).alias("position"), "id", "name")
+
+
+@register("l06_disease_catalogue_order", "SELECT CAST(row_number() OVER (ORDER BY n DESC, name) AS INTEGER) AS position, "
+          f"name, n FROM ({QC.REGISTRY_SQL_J04})")
+def l06(spark, d):
+    """The catalogue's order: its rows with their place."""
+    from carelake.operators import catalog as CT
+    cat = CT.catalogue(CT.with_manual(QC.merged(spark, d), QC.manual(spark, d)))
+    first = Window.orderBy(F.desc("n"), F.asc("name"))   # one row a disease
+    return cat.select(F.row_number().over(first).alias("position"), "name", "n")
 
 
 @register("l07_top5_predictions")
 def l07(spark, d):
+    """The five likeliest diseases, as a share (4 digits) and in percent (1 digit)."""
+    from carelake.operators import models as M
     from carelake.plans.q_jobs import trained
-    return trained(spark, d).disease_test.select("encounter_id", "top_predictions")
-
-
-register("l08_newest_metrics")(__import__("carelake.plans.q_files", fromlist=["s12"]).s12)
+    return trained(spark, d).disease_test.select(
+        "encounter_id", "top_predictions", M.top_percent("top_predictions").alias("top_predictions_pct"))
 
 
 @register("u02_image_manifest", O.with_fixture(
@@ -210,6 +230,7 @@ def m04(spark, d):
 
 @register("m18_training_run")
 def m18(spark, d):
-    from carelake.plans.q_jobs import trained
+    """The training run's whole record, cross-validation included."""
+    from carelake.plans.q_jobs import validated
     from carelake.plans.training import metrics_frame
-    return metrics_frame(spark, trained(spark, d).metrics)
+    return metrics_frame(spark, validated(spark, d).metrics)

@@ -56,6 +56,7 @@ class TrainResult:
     iso_nodes: DataFrame
     forest: ISO.Forest
     metrics: dict = field(default_factory=dict)
+    params: TrainParams = field(default_factory=TrainParams)
 
 
 def prepare(raw: DataFrame) -> DataFrame:
@@ -85,21 +86,30 @@ def train(raw: DataFrame, params: TrainParams | None = None) -> TrainResult:
     rep_r = EV.classification_report(pred_r.select(F.col("label_noisy").alias("y_true"),
                                                    F.col("risk_level_pred").alias("y_pred")))
 
-    cv_d = cv_r = None
-    if p.run_cv:
-        cv_d = M.cv_accuracy(rows, "diagnosis", text_col, p.folds, p.n_trees, p.disease_depth, p.disease_min_leaf)
-        cv_r = M.cv_accuracy(noisy, "label_noisy", text_col, p.folds, p.n_trees, p.risk_depth, p.risk_min_leaf)
-
     # Isolation forest on the disease features of every row.
     feats = M.featurize(rows, text_d, text_col, keep_array=True)
     nodes = ISO.fit(feats, "feature_array", "row_key", p.iso_trees, p.iso_samples)
     nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
-    forest = ISO.load_forest(nodes, p.iso_samples)
+    forest = ISO.load_forest(nodes, min(p.iso_samples, rows.count()))
     train_scores = feats.select(ISO.score_column(forest, "feature_array").alias("s"))
     forest.offset = ISO.fit_offset(train_scores, "s", p.contamination)
 
-    res = TrainResult(rows, disease, risk, pred_d, pred_r, rep_d, rep_r, cv_d, cv_r, nodes, forest)
+    res = TrainResult(rows, disease, risk, pred_d, pred_r, rep_d, rep_r, None, None, nodes, forest, params=p)
     res.metrics = metrics_record(res, rows)
+    return cross_validate(res) if p.run_cv else res
+
+
+def cross_validate(res: TrainResult) -> TrainResult:
+    """M08 of both forests, once; adds the figures to the record."""
+    if res.cv_disease is None:
+        p, text_col = res.params, "symptoms_train"
+        noisy = SM.label_noise(res.rows, "risk_level", "encounter_id", K.RISK_CLASSES, tie_col="row_key")
+        res.cv_disease = M.cv_accuracy(res.rows, "diagnosis", text_col, p.folds, p.n_trees, p.disease_depth, p.disease_min_leaf)
+        res.cv_risk = M.cv_accuracy(noisy, "label_noisy", text_col, p.folds, p.n_trees, p.risk_depth, p.risk_min_leaf)
+        for name, cv in (("disease", res.cv_disease), ("risk", res.cv_risk)):
+            s = M.cv_summary(cv).first()
+            res.metrics[f"{name}_cv_accuracy_mean"] = float(s[0])
+            res.metrics[f"{name}_cv_accuracy_std"] = float(s[1])
     return res
 
 
@@ -125,11 +135,6 @@ def metrics_record(res: TrainResult, rows: DataFrame) -> dict:
         "risk_label_noise_pct": K.LABEL_NOISE_PCT,
         "anomaly_offset": res.forest.offset,
     }
-    for name, cv in (("disease", res.cv_disease), ("risk", res.cv_risk)):
-        if cv is not None:
-            s = M.cv_summary(cv).first()
-            rec[f"{name}_cv_accuracy_mean"] = float(s[0])
-            rec[f"{name}_cv_accuracy_std"] = float(s[1])
     return rec
 
 
@@ -150,7 +155,7 @@ def save_bundle(res: TrainResult, path: str) -> None:
     metrics_frame(spark, res.metrics).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
-def load_bundle(spark, path: str, iso_samples: int = 256):
+def load_bundle(spark, path: str, iso_samples: int | None = None):
     """S14 load: returns (disease, risk, forest, metrics dict)."""
     from pyspark.ml.classification import RandomForestClassificationModel
     from pyspark.ml.feature import StringIndexerModel
@@ -164,5 +169,6 @@ def load_bundle(spark, path: str, iso_samples: int = 256):
                                 RandomForestClassificationModel.load(f"{path}/{name}_forest"),
                                 "diagnosis" if name == "disease" else "label_noisy"))
     metrics = spark.read.json(f"{path}/metrics").first().asDict()
-    forest = ISO.load_forest(spark.read.parquet(f"{path}/iso_nodes"), iso_samples, float(metrics["anomaly_offset"]))
+    samples = iso_samples or min(TrainParams.iso_samples, int(metrics["n_samples"]))
+    forest = ISO.load_forest(spark.read.parquet(f"{path}/iso_nodes"), samples, float(metrics["anomaly_offset"]))
     return out[0], out[1], forest, metrics

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
 from carelake.functions import constants as K
-from carelake.functions import text as T
 from carelake.operators import clean as C
 from carelake.operators import features as FE
 from carelake.operators import logs as LG
 from carelake.plans.etl import CANONICAL
+from carelake.sources import files as FS
 
 ENCOUNTER_HEADER = ["encounter_id", "patient_id", "Age", "Gender", "Symptoms", "Diagnosis",
                     "Date_of_Admission", "Discharge_Date"]
@@ -29,16 +29,19 @@ def _run(q_writer, ckpt: str) -> None:
 
 
 def clean_stream(spark: SparkSession, in_dir: str, header: list[str] | None = None,
-                 dedupe_watermark: str = "1 hour") -> DataFrame:
+                 dedupe_watermark: str = "1 hour", encoding: str = "UTF-8") -> DataFrame:
     """Arriving encounter CSV files -> clean, transformed rows (streaming frame).
 
+    Records with more fields than the header are dropped as in the batch (S01). A
+    stream cannot look at a whole file first, so its encoding is a parameter.
     Exact duplicates are dropped with state bounded by a watermark on the
     file's modification time (``dropDuplicatesWithinWatermark``).
     """
     cols = header or ENCOUNTER_HEADER
-    schema = TT.StructType([TT.StructField(c, TT.StringType()) for c in cols])
-    s = (spark.readStream.schema(schema).option("header", True).csv(in_dir)
-         .withColumn("_arrived", F.col("_metadata.file_modification_time")))
+    schema = TT.StructType([TT.StructField(c, TT.StringType()) for c in [*cols, FS.CORRUPT]])
+    s = (spark.readStream.schema(schema).option("header", True).option("encoding", encoding)
+         .option("columnNameOfCorruptRecord", FS.CORRUPT).option("multiLine", True).csv(in_dir)
+         .withColumn("_arrived", F.col("_metadata.file_modification_time")).filter(FS.fits(cols)))
     canon = [F.when(F.col(c).isin(*K.CSV_NULL_TOKENS), None).otherwise(F.col(c)).alias(CANONICAL.get(c, c))
              for c in cols]
     s = s.select(*canon, "_arrived").withWatermark("_arrived", dedupe_watermark)
@@ -74,22 +77,36 @@ def running_counts(patients: DataFrame) -> DataFrame:
 
 
 def run_count_stream(spark: SparkSession, in_dir: str, schema: TT.StructType, out_dir: str, ckpt: str) -> None:
-    """T03 sink: each micro-batch rewrites the current totals (complete mode via foreachBatch)."""
+    """T03 sink: each micro-batch writes the current totals to a folder of its own (``epoch=N``).
+
+    Nothing is overwritten, so a crash leaves the last whole totals; a batch that is
+    run again replaces only its own folder. ``latest_counts`` reads the newest one.
+    """
     s = running_counts(spark.readStream.schema(schema).parquet(in_dir))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     _run(s.writeStream.outputMode("complete").foreachBatch(write), ckpt)
 
 
+def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The totals of the newest epoch (its files appear when its write job commits)."""
+    every = spark.read.parquet(out_dir)
+    newest = every.agg(F.max("epoch")).first()[0]
+    return every.filter(F.col("epoch") == newest).drop("epoch")
+
+
 def run_unread_stream(spark: SparkSession, in_dir: str, schema: TT.StructType, out_dir: str, ckpt: str,
                       watermark: str = "1 day") -> None:
-    """Unread notifications not seen before (id dedupe within a watermark on created_at)."""
+    """Unread notifications not seen before.
+
+    Old unread notifications may arrive at any time, so lateness is measured on the
+    arrival of their file and not on ``created_at``: none is dropped, and the state
+    that recognises an id is kept for ``watermark`` after its file arrived.
+    """
     s = (spark.readStream.schema(schema).parquet(in_dir)
-         .withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"]))
+         .withColumn("_arrived", F.col("_metadata.file_modification_time"))
+         .withWatermark("_arrived", watermark).dropDuplicatesWithinWatermark(["id"]))
     out = LG.unread(s).select("id", "level", "title", "created_at")
     _run(out.writeStream.format("parquet").option("path", out_dir).outputMode("append"), ckpt)
-
-
-_ = T
