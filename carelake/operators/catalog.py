@@ -153,13 +153,10 @@ def flat_catalogue(df: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- upserts
-UPSERT_EVERY = 13   # fixture: encounters with id % 13 = 0 are staff edits
-
-
-def upserts_from(raw: DataFrame, every: int = UPSERT_EVERY) -> DataFrame:
+def upserts_from(raw: DataFrame) -> DataFrame:
     """Staff edits derived from encounters: (seq, name, symptoms) in seq order."""
     nm = T.collapse_blanks(T.py_strip("diagnosis"))
-    return (raw.filter((F.col("encounter_id") % every == 0) & F.col("diagnosis").isNotNull())
+    return (raw.filter(F.col("diagnosis").isNotNull())
             .select(F.col("encounter_id").alias("seq"), nm.alias("name"),
                     T.split_items(F.coalesce("symptoms", F.lit(""))).alias("symptoms"))
             .filter(F.col("name") != ""))

@@ -62,8 +62,26 @@ def _edge(counts: DataFrame, need: DataFrame, keys: list[str], cell: str) -> Dat
             .select(*keys, F.col("_e.cell").alias("_cell"), F.col("_e.left").alias("_need")))
 
 
-def cuts(work: DataFrame, h: str, tie: str, k: Callable[[Column], Column], keys: list[str]) -> DataFrame:
-    """Per key the (h, tie) of its ``k(row count)``-th smallest row; no row where that is 0.
+Wanted = int | dict[tuple, int] | Callable[[Column], Column]
+
+
+def _wanted(k: Wanted, keys: list[str]) -> Column:
+    """The number of rows per key: the same for all, by key (0 for others), or from the key's row count."""
+    if isinstance(k, int):
+        return F.lit(k)
+    if isinstance(k, dict):
+        out = F.lit(0)
+        for key, n in k.items():
+            hit = F.lit(True)
+            for c, v in zip(keys, key):
+                hit = hit & (F.col(c) == F.lit(v))
+            out = F.when(hit, F.lit(n)).otherwise(out)
+        return out
+    return k(F.col("_total"))
+
+
+def cuts(work: DataFrame, h: str, tie: str, k: Wanted, keys: list[str]) -> DataFrame:
+    """Per key the (h, tie) of its k-th smallest row; no row where k is 0, the last row where the key has fewer.
 
     Hash values are counted in 2^16 buckets, then the values of the boundary
     bucket, and only rows that share the boundary value are ranked. Nothing is
@@ -71,7 +89,8 @@ def cuts(work: DataFrame, h: str, tie: str, k: Callable[[Column], Column], keys:
     """
     bucket = (F.col(h) / 65536).cast("long")
     coarse = work.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    need = coarse.groupBy(*keys).agg(k(F.sum("_n")).cast("long").alias("_need"))
+    need = (coarse.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+            .withColumn("_need", F.least(_wanted(k, keys).cast("long"), F.col("_total"))).drop("_total"))
     first = _edge(coarse, need, keys, "_b")
     inside = work.join(first, keys).where(bucket == F.col("_cell"))
     second = _edge(inside.groupBy(*keys, F.col(h).alias("_b")).agg(F.count(F.lit(1)).alias("_n")),
@@ -82,11 +101,11 @@ def cuts(work: DataFrame, h: str, tie: str, k: Callable[[Column], Column], keys:
             .agg(F.max("_cell").alias("_cut_h"), F.max(tie).alias("_cut_tie")))
 
 
-def k_smallest(df: DataFrame, h: str, tie: str, k: Callable[[Column], Column], keys: list[str] | None = None,
+def k_smallest(df: DataFrame, h: str, tie: str, k: Wanted, keys: list[str] | None = None,
                flag: str = "selected") -> DataFrame:
     """Flag, per key, the ``k`` rows with the smallest (h, tie); h in [0, 2^32), ``tie`` unique per row.
 
-    ``k`` maps the key's row count to the number of rows. The input is written
+    ``k`` is a number, a number by key, or a function of the key's row count. The input is written
     once to the shared folder, so the passes read it instead of recomputing it.
     """
     work = written(df if keys else df.withColumn("_one", F.lit(1)), "k-smallest")
@@ -139,3 +158,8 @@ def folds(df: DataFrame, label: str, id_col: str, n_folds: int = 3, seed: int =
         past = (F.col("_h") > F.col(f"_h{f}")) | ((F.col("_h") == F.col(f"_h{f}")) & (F.col(tie) > F.col(f"_t{f}")))
         fold = fold + F.when(past, 1).otherwise(0)
     return rows.withColumn(out, fold.cast("int")).drop("_h", *[f"_{x}{f}" for f in range(1, n_folds) for x in "ht"])
+
+
+def fold_hash(id_col: str, folds: int = 3, seed: int = K.SEED) -> Column:
+    """A stateless fold number from the row hash, balanced in expectation only (for streams)."""
+    return (hash32(seed, "fold", F.col(id_col)) % folds).cast("int")

@@ -63,10 +63,10 @@ MERGE_CTES = ",\n".join([
 MANUAL_CTES = ",\n".join([
     "seed0 AS (SELECT encounter_id, upper(" + O.normalize_term("diagnosis") + ") AS disease, "
     + O.split_items("coalesce(symptoms, '')") + " AS items FROM encounters_raw "
-    "WHERE encounter_id % 11 = 0 AND diagnosis IS NOT NULL)",
+    "WHERE diagnosis IS NOT NULL)",
     "seed AS (SELECT encounter_id, disease, pos, " + O.collapse("spelling") + " AS spelling FROM "
     "(SELECT encounter_id, disease, unnest(items) AS spelling, unnest(range(len(items))) AS pos FROM seed0) "
-    "WHERE disease <> '')",
+    f"WHERE disease <> '' AND {sql_hash('lower(disease)')} % {R.MANUAL_PART} = 0)",
     f"m_diseases AS (SELECT {sql_hash('lower(name)')} AS id, name, 'staff' AS created_by FROM "
     f"(SELECT DISTINCT disease AS name FROM seed UNION ALL SELECT {O.q(R.MANUAL_EXTRA)}))",
     f"m_symptoms AS (SELECT {sql_hash('normalized')} AS id, name, normalized FROM (SELECT "
@@ -180,9 +180,9 @@ STORED_DISEASE, STORED_SYMPTOM = 5_000_000_000, 7_000_000_000
     "SELECT d.id, d.name, d.created_by, d.stored, count(DISTINCT s.normalized) AS symptoms_count FROM up_d d "
     "LEFT JOIN up_l l ON l.disease_id = d.id LEFT JOIN up_s s ON s.id = l.symptom_id GROUP BY ALL",
     MANUAL_CTES + ",\n" +
-    # Upserts: encounters with id % 13 = 0 give (diagnosis, symptom items), applied in id order.
+    # Upserts: encounters give (diagnosis, symptom items), applied in id order.
     f"upd0 AS (SELECT encounter_id, {_NM} AS nm, " + O.split_items("coalesce(symptoms, '')")
-    + " AS items FROM encounters_raw WHERE encounter_id % 13 = 0 AND diagnosis IS NOT NULL AND " + _NM + " <> ''), "
+    + " AS items FROM encounters_raw WHERE diagnosis IS NOT NULL AND " + _NM + " <> ''), "
     "upd AS (SELECT lower(nm) AS key, arg_max(nm, encounter_id) AS nm, max(encounter_id) AS last_e FROM upd0 GROUP BY 1), "
     "upd_items AS (SELECT lower(nm) AS key, encounter_id AS e, " + O.normalize_term("it") + " AS normalized "
     "FROM (SELECT nm, encounter_id, unnest(items) AS it FROM upd0)), "

@@ -26,7 +26,7 @@ from carelake.sources.fixture import encounters_raw, table
 
 PREDICTION_EPOCH = "2024-01-01 00:00:00"
 LOGIT_SCALE = 10.0         # the first 3 embedding elements times 10 are the class logits
-MANUAL_EVERY = 11          # encounters whose id % 11 = 0 seed the manual catalogue
+MANUAL_PART = 2            # the manual catalogue holds the diseases whose name hash is even
 MANUAL_EXTRA = "Rare Syndrome"   # FIXED VALUE: one manual disease without symptoms
 ACTIVE_EVERY = 3           # second dataset: encounter_id % 3 = 0
 MISPREDICT_EVERY = 7       # split scores: every 7th id predicts the next class
@@ -93,12 +93,13 @@ def xray_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manual_catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(diseases, symptoms, disease_symptoms) as the three stored tables."""
+    """(diseases, symptoms, disease_symptoms) as the three stored tables, from all encounters."""
     raw = encounters_raw(spark, sf_dir)
-    seed = (raw.filter((F.col("encounter_id") % MANUAL_EVERY == 0) & F.col("diagnosis").isNotNull())
+    seed = (raw.filter(F.col("diagnosis").isNotNull())
             .select("encounter_id", F.upper(T.normalize_term("diagnosis")).alias("disease"),
                     F.posexplode_outer(T.split_items(F.coalesce("symptoms", F.lit("")))).alias("pos", "spelling"))
-            .filter((F.col("disease") != "") & F.col("spelling").isNotNull()))
+            .filter((F.col("disease") != "") & F.col("spelling").isNotNull()
+                    & (hash_id(F.lower("disease")) % MANUAL_PART == 0)))
     seed = seed.withColumn("spelling", T.collapse_blanks("spelling"))
     extra = T.const_frame(spark, [(MANUAL_EXTRA,)], "name string")
     dnames = seed.select(F.col("disease").alias("name")).distinct().unionByName(extra)
