@@ -175,21 +175,25 @@ def event_new_diagnoses(new_dx: DataFrame, dataset: str, kind: str = "activate")
         F.lit(0).alias("is_read"), F.lit(None).cast("timestamp").alias("created_at")))
 
 
-def event_etl_finished(report: DataFrame, dataset: str) -> DataFrame:
+def event_etl_finished(report: DataFrame, dataset: str, elapsed_ms: int = 0) -> DataFrame:
     """Info row for a finished ETL run, or warning with the failed stage.
 
-    ``report`` is the one-row stage report of ``plans.etl`` (A35).
+    ``report`` is the one-row stage report of ``plans.etl`` (A35); ``elapsed_ms`` is
+    what its actions took.
     """
     ok = F.col("ok")
-    msg = F.when(ok, F.format_string("%s: %d → %d filas", F.lit(dataset), F.col("rows_raw"), F.col("rows_final"))) \
-        .otherwise(F.format_string("%s: etapa fallida «%s»", F.lit(dataset), F.col("failed_stage")))
-    meta = F.to_json(F.struct(F.lit(dataset).alias("dataset"),
-                              F.struct("rows_raw", "rows_final", "distinct_diagnoses").alias("summary")))
+    msg = F.when(ok, F.format_string("%s: %d → %d filas en %d ms", F.lit(dataset), F.col("rows_raw"), F.col("rows_final"),
+                                     F.lit(elapsed_ms))) \
+        .otherwise(F.format_string("%s: etapa fallida «%s»", F.lit(dataset), F.coalesce("failed_stage", F.lit("desconocido"))))
+    done = F.to_json(F.struct(F.lit(dataset).alias("dataset"), F.struct(
+        "rows_raw", "rows_final", "distinct_diagnoses", F.lit(elapsed_ms).alias("total_elapsed_ms")).alias("summary")))
+    failed = F.to_json(F.struct(F.lit(dataset).alias("dataset"),
+                                F.filter(F.array("failed_stage"), lambda x: x.isNotNull()).alias("failed")))
     return normalize_notifications(report.select(
         F.lit(None).cast("long").alias("id"), F.when(ok, "info").otherwise("warning").alias("level"),
         F.lit("pipeline").alias("source"),
         F.when(ok, "Pipeline ETL completado").otherwise("Pipeline terminado con errores").alias("title"),
-        msg.alias("message"), meta.alias("meta"), F.lit(0).alias("is_read"),
+        msg.alias("message"), F.when(ok, done).otherwise(failed).alias("meta"), F.lit(0).alias("is_read"),
         F.lit(None).cast("timestamp").alias("created_at")))
 
 

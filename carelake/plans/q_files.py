@@ -65,6 +65,15 @@ def a35(spark, d):
     return ETL.report_row(encounters_raw(spark, d))
 
 
+@register("p35_etl_finished_event", O.with_clean(
+    "SELECT 'info' AS level, 'pipeline' AS source, 'Pipeline ETL completado' AS title, 'encounters: ' || r.rows_raw || ' → ' "
+    "|| r.rows_final || ' filas en 0 ms' AS message FROM (SELECT CAST(sum(copies) AS BIGINT) AS rows_raw, "
+    "count_if(reject_reason IS NULL) AS rows_final FROM staged) r"))
+def p35_etl(spark, d):
+    return LG.event_etl_finished(ETL.report_row(encounters_raw(spark, d)), "encounters").select(
+        "level", "source", "title", "message")
+
+
 @register("p34_import_rules", O.with_fixture(
     "SELECT encounter_id AS row_no, " + O.integer_value("coalesce(age_raw, '')") + " AS age, "
     "CASE WHEN trim(coalesce(gender, '')) = '' THEN 'Other' ELSE trim(gender) END AS gender, "

@@ -157,6 +157,12 @@ def a32(spark, d):
     return summary
 
 
+@register("p35_anomalies_event")
+def p35_anomalies(spark, d):
+    from carelake.operators import logs as LG
+    return LG.event_anomalies(a32(spark, d)).select("level", "source", "title", "message", "meta")
+
+
 @register("m17_patient_card")
 def m17(spark, d):
     t = trained(spark, d)

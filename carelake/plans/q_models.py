@@ -252,6 +252,14 @@ def a24(spark, d):
     return IM.split_class_counts(IM.manifest(_files(spark, d)))
 
 
+@register("a24_image_minimum", O.with_fixture(
+    "SELECT count_if(target_split = 'train') AS train, count_if(target_split = 'test') AS test, "
+    f"count_if(target_split = 'train') >= {K.MIN_TRAIN_IMAGES} AND count_if(target_split = 'test') >= {K.MIN_TEST_IMAGES} "
+    "AS ok FROM man", MANIFEST_CTES))
+def a24m(spark, d):
+    return IM.counts_ok(IM.manifest(_files(spark, d)))
+
+
 @register("a25_image_class_weights", O.with_fixture(
     "SELECT class, count(*) AS n_class, CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight "
     "FROM man WHERE target_split = 'train' GROUP BY class", MANIFEST_CTES))

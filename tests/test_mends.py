@@ -159,6 +159,24 @@ def test_import_takes_another_assigner(spark):
     assert (s["rows_processed"], s["inserted"], s["skipped"]) == (3, 2, 1)
 
 
+def test_events_of_finished_and_failed_runs(spark):
+    from carelake.operators import logs as LG
+    rows = "ok boolean, rows_raw long, rows_final long, distinct_diagnoses long, failed_stage string"
+    good = LG.event_etl_finished(spark.createDataFrame([(True, 9, 7, 2, None)], rows), "d.csv", 12).first()
+    assert good["message"] == "d.csv: 9 → 7 filas en 12 ms" and '"total_elapsed_ms":12' in good["meta"]
+    bad = LG.event_etl_finished(spark.createDataFrame([(False, 9, 0, 0, "clean")], rows), "d.csv").first()
+    assert (bad["level"], bad["meta"]) == ("warning", '{"dataset":"d.csv","failed":["clean"]}')
+    some = spark.createDataFrame([(10, 2)], "checked long, anomalies_count long")
+    assert LG.event_anomalies(some).first()["message"].startswith("2 paciente(s)")
+
+
+def test_image_counts_have_every_cell(spark):
+    from carelake.operators import images as IM
+    man = spark.createDataFrame([("train", "covid")], "target_split string, class string")
+    got = {(r["split"], r["class"]): r["n"] for r in IM.split_class_counts(man).collect()}
+    assert len(got) == 6 and sum(got.values()) == 1 and not IM.counts_ok(man).first()["ok"]
+
+
 # ----------------------------------------------------------- exact cuts
 def test_cuts_of_many_labels(spark):
     n = 100_000
