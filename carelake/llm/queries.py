@@ -12,7 +12,7 @@ QUERIES = {
     "op5_fingerprints": (simhash.op5_fingerprints, None),
     "op6_format_chats": (chat.op6_format_chats, chat.OP6_SQL),
     "op7_toxicity": (toxicity.op7_toxicity, None),
-    "op8_shard_rows": (sharding.op8_shard_rows, None),
+    "op8_shard_rows": (sharding.op8_shard_rows, sharding.OP8_SQL),
     "op9_ngram_join": (ngram_join.op9_ngram_join, None),
-    "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, None),
+    "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, suffix_dedup.OP10_SQL),
 }

@@ -121,3 +121,51 @@ def op8_shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs.select("doc_id", *sized())).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _step_sql(params: ShardParams) -> str:
+    """One permutation step of the walk: a nested query a half round."""
+    sql, keys = "select row, n, a, b, x // b as l, x % b as r from walk, dims where not done", round_keys(params)
+    for k, (mult, add) in enumerate(keys):
+        of, to, side = ("r", "l", "a") if k % 2 == 0 else ("l", "r", "b")
+        sql = f"select *, ({of} % {PRIME} * {mult} + {add}) % {PRIME} as y from ({sql})"
+        moved = f"({to} + (y * y + {of} % {PRIME}) % {PRIME} % {side}) % {side} as {to}"
+        sql = f"select row, n, a, b, {moved}, {of} from ({sql})"
+    return f"select row, l * b + r as x, l * b + r < n as done from ({sql})"
+
+
+def _crc_digits() -> str:
+    """The 256 remainders of CRC-32, ten digits each (DuckDB has no crc32)."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ 0xEDB88320 if x & 1 else x >> 1
+        out.append(f"{x:010d}")
+    return "".join(out)
+
+
+_DEFAULT = ShardParams()
+OP8_SQL = f"""
+with recursive
+docs as (
+  select doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 as size,
+    list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) as bytes
+  from documents),
+sums as (
+  select doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bytes),
+    lambda c, b: xor(substr('{_crc_digits()}', 10 * (xor(c, b) & 255) + 1, 10)::BIGINT, c >> 8)))::BIGINT as text_crc32
+  from docs),
+dims as (
+  select n, a, (n + a - 1) // a as b, (n + {_DEFAULT.rows_per_bucket - 1}) // {_DEFAULT.rows_per_bucket} as buckets
+  from (select count(*) as n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 as a from documents)),
+numbered as (
+  select s.*, row_number() over (order by ((coalesce(doc_id, 0) % buckets) + buckets) % buckets,
+    doc_id nulls first, size, text_crc32) - 1 as row from sums s, dims),
+walk as (
+  select row, row as x, false as done from numbered
+  union all
+  {_step_sql(_DEFAULT)})
+select doc_id, size, text_crc32, 'rows' as law, (x % {_DEFAULT.shards})::INTEGER as shard,
+  (x // {_DEFAULT.shards})::BIGINT as slot, NULL::INTEGER as grown_shard
+from numbered join walk using (row) where done
+"""

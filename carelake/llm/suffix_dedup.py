@@ -8,8 +8,9 @@ place, in any document. The corpus is cut so that equal strings meet:
 2. Segments whose anchor occurs once cannot repeat. The others are cut out of their
    texts, and equal segments become one with a number of occurrences: a segment that
    occurs twice repeats as a whole.
-3. Different segments of one anchor are indexed together, in batches of bounded size:
-   suffix order, run-compressed Burrows-Wheeler transform, and at both ends of each run
+3. Different segments of one anchor are trimmed to what each can share with another on
+   both sides of the anchor. Parts that differ still are indexed together, in batches of
+   bounded size: suffix order, run-compressed Burrows-Wheeler transform, and at both ends of each run
    a sampled suffix with its common prefix with the neighbour. Within a run these
    lengths fall by one a byte, so the matching statistics of all places stream from
    the samples. Places with a match of ``length`` or more begin a repeat.
@@ -25,6 +26,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelake.llm.common import read_table, written
+from carelake.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class RepeatParams:
     gram: int = 32              # bytes of the grams that anchor windows; a multiple of 8
     batch_bytes: int = 1 << 20  # of segments that one index holds
     group_bytes: int = 1 << 24  # of one anchor's segments; beyond, windows are counted
-    piece: int = 1 << 22        # bytes of text read at a time
+    piece: int = 1 << 18        # bytes of text read at a time
 
 
 def key16(text: Column) -> Column:
@@ -80,8 +83,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1: n])
 
 
-def anchors(texts: list[bytes], params: RepeatParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, anchor hash, first window, last window) of the segments of all texts, in parts."""
+def anchors(texts: list[bytes], params: RepeatParams) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text, anchor hash, first window, last window, anchor's place) of the segments of all texts, in parts."""
     parts, size = [], 0
     for i, t in enumerate(texts):
         for at in range(0, len(t) - params.length + 1, params.piece):
@@ -95,7 +98,7 @@ def anchors(texts: list[bytes], params: RepeatParams) -> Iterator[tuple[np.ndarr
         yield _anchors(parts, params)
 
 
-def _anchors(parts: list[tuple[int, int, bytes]], params: RepeatParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(parts: list[tuple[int, int, bytes]], params: RepeatParams) -> tuple[np.ndarray, ...]:
     buffer = np.frombuffer(b"".join(p for *_, p in parts), np.uint8)
     lens = np.array([len(p) for *_, p in parts])
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])
@@ -115,7 +118,8 @@ def _anchors(parts: list[tuple[int, int, bytes]], params: RepeatParams) -> tuple
     stop = np.minimum(stop, (first + lens)[own] - params.length + 1)
     offset = np.array([at for _, at, _ in parts])[own] - first[own]
     number = np.array([i for i, *_ in parts])[own]
-    return number, h[least[begin].astype(np.int64)].view(np.int64), begin + offset, stop - 1 + offset
+    place = least[begin].astype(np.int64)
+    return number, h[place].view(np.int64), begin + offset, stop - 1 + offset, place + offset
 
 
 def suffix_order(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, list[np.ndarray], list[int]]:
@@ -130,7 +134,11 @@ def suffix_order(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, list[np
     for k in range(7):
         key = (key << np.uint64(9)) | np.where(ends, np.uint64(0), padded[k: k + n])
         ends |= padded[k: k + n] == 0
-    order = np.argsort(key, kind="stable")  # stable: by place where a segment ends
+    order = np.argsort(key)
+    # Where a segment ends, equal keys are ordered by place: the zeros differ, and always in one way.
+    at = np.flatnonzero(ends[order])
+    some = order[at]
+    order[at] = some[np.lexsort((some, key[some]))]
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = (sorted_key[1:] != sorted_key[:-1]) | ends[order[1:]]
@@ -150,7 +158,7 @@ def suffix_order(symbols: np.ndarray, longest: int) -> tuple[np.ndarray, list[np
         inside = live + depth < n
         ahead[inside] = rank[live[inside] + depth] + 1
         pair = (rank[live].astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
-        by = np.argsort(pair, kind="stable")
+        by = np.argsort(pair)
         sorted_pair, place = pair[by], live[by]
         group = rank[place]
         first = np.ones(len(by), bool)
@@ -221,6 +229,43 @@ def matching_statistics(symbols: np.ndarray, longest: int) -> np.ndarray:
     return best
 
 
+def shared(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n  # a[:low] is common, a[:high] is not
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def longest_shared(texts: list[bytes]) -> list[int]:
+    """For each text the longest beginning that another one has too: a neighbour in sorted order has it."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    out = [0] * len(texts)
+    for x, y in zip(order, order[1:]):
+        n = shared(texts[x], texts[y])
+        out[x], out[y] = max(out[x], n), max(out[y], n)
+    return out
+
+
+def trimmed(segments: list[bytes], anchors_at: list[int], length: int) -> list[tuple[int, int]]:
+    """For each segment of one anchor the part (from, to) that any other one can share with it around the anchor.
+
+    A window that repeats in another segment lies at the same distance from the anchor
+    there, so it ends within the longest common bytes on either side.
+    """
+    right = longest_shared([s[a:] for s, a in zip(segments, anchors_at)])
+    left = longest_shared([s[:a][::-1] for s, a in zip(segments, anchors_at)])
+    parts = [(a - l, a + r) for a, l, r in zip(anchors_at, left, right)]
+    return [(a, b) if b - a >= length else (0, 0) for a, b in parts]
+
+
 def repeated_windows(segments: list[bytes], params: RepeatParams) -> list[np.ndarray]:
     """For each of the (different) segments its windows that occur at another place of any of them."""
     longest = max(map(len, segments))
@@ -245,94 +290,155 @@ def covered(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def index_batches(batches: Iterator[pa.RecordBatch], params: RepeatParams) -> Iterator[pa.RecordBatch]:
-    """(sid, a, b) from rows (anchor, sid, seg, n) sorted by anchor: what repeats in each segment."""
-    held: list[tuple[int, bytes, bytes, int]] = []
+    """(sid, a, b) from rows (anchor, sid, seg, pos, n) sorted by anchor: what repeats in each segment.
+
+    A segment that occurs twice repeats as a whole. The others are trimmed to what they
+    can share; trimmed parts that are equal repeat as a whole too, and the different
+    parts that are left of an anchor go to the index.
+    """
+    out: list[tuple[bytes, int, int]] = []
+    held: list[tuple[bytes, list[tuple[bytes, int]]]] = []  # a part, and the segments (with its place) that have it
     size = 0
 
+    def take(group: list[tuple[bytes, bytes, int, int]]) -> None:
+        nonlocal size
+        parts: dict[bytes, list[tuple[bytes, int]]] = {}
+        for (sid, seg, _, n), (a, b) in zip(group, trimmed([g[1] for g in group], [g[2] for g in group], params.length)):
+            if n > 1:
+                out.append((sid, 0, len(seg)))
+            if b > a:
+                parts.setdefault(seg[a:b], []).append((sid, a))
+        for part, owners in parts.items():
+            if len(owners) > 1:
+                out.extend((sid, a, a + len(part)) for sid, a in owners)
+        if len(parts) > 1:
+            held.extend(parts.items())
+            size += sum(map(len, parts))
+
     def flush() -> pa.RecordBatch:
-        out = []
-        for (_, sid, seg, n), windows in zip(held, repeated_windows([s for _, _, s, _ in held], params)):
-            out += [(sid, 0, len(seg))] if n > 1 else [(sid, a, b) for a, b in covered(windows, params.length)]
-        held.clear()
-        return pa.RecordBatch.from_pydict({
+        nonlocal size
+        if held:
+            for (_, owners), windows in zip(held, repeated_windows([p for p, _ in held], params)):
+                spans = covered(windows, params.length)
+                out.extend((sid, at + a, at + b) for sid, at in owners for a, b in spans)
+        got = pa.RecordBatch.from_pydict({
             "sid": pa.array([o[0] for o in out], pa.binary()), "a": pa.array([o[1] for o in out], pa.int32()),
             "b": pa.array([o[2] for o in out], pa.int32())})
+        out.clear(), held.clear()
+        size = 0
+        return got
 
+    group, anchor = [], None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "sid", "seg", "n"))):
-            if size >= params.batch_bytes and held and row[0] != held[-1][0]:
-                yield flush()
-                size = 0
-            held.append(row)
-            size += len(row[2])
-    if held:
-        yield flush()
-
-
-def cut_segments(texts: DataFrame, params: RepeatParams) -> DataFrame:
-    """tkey, anchor, s0, s1 of every text long enough; one row each, however many copies."""
+        for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "sid", "seg", "pos", "n"))):
+            if row[0] != anchor:
+                if group:
+                    take(group)
+                if size >= params.batch_bytes or len(out) > 100_000:
+                    yield flush()
+                group, anchor = [], row[0]
+            group.append(row[1:])
+    if group:
+        take(group)
+    yield flush()
+
+
+def unique_texts(docs: DataFrame) -> DataFrame:
+    """tkey, text, copies: each text once, as a table bucketed by tkey, so that the joins
+    that bring lists of places to their texts move the lists and never the texts again."""
+    spark = docs.sparkSession
+    texts = docs.select(key16(F.col("text").cast("binary")).alias("tkey"), "text")
+    once = texts.groupBy("tkey").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    name = f"carelake_texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (once.write.format("parquet").bucketBy(buckets, "tkey")
+     .option("path", f"{checkpoint_dir(spark)}/llm/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
+def find_anchors(texts: DataFrame, params: RepeatParams) -> DataFrame:
+    """tkey, anchor, s0, s1, at: the segments of every text long enough."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, raw = pdf["tkey"].to_numpy(), [t.encode() for t in pdf["text"]]
-            for i, anchor, s0, s1 in anchors(raw, params):
-                yield pd.DataFrame({"tkey": keys[i], "anchor": anchor, "s0": s0, "s1": s1})
+            for i, anchor, s0, s1, at in anchors(raw, params):
+                yield pd.DataFrame({"tkey": keys[i], "anchor": anchor, "s0": s0, "s1": s1, "at": at})
 
     long = texts.where(F.octet_length("text") >= params.length).select("tkey", "text")
-    return long.mapInPandas(run, "tkey binary, anchor long, s0 long, s1 long").distinct()
+    return long.mapInPandas(run, "tkey binary, anchor long, s0 long, s1 long, at long")
 
 
-def with_text(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows (tkey, rep, ...) + text: of the one document that stands for the text."""
-    one = texts.select(F.col("tkey").alias("t_tkey"), "doc_id", "text")
-    return rows.join(one, (F.col("tkey") == F.col("t_tkey")) & F.col("rep").eqNullSafe(F.col("doc_id"))).drop("t_tkey", "doc_id")
-
-
-def repeated_ranges(texts: DataFrame, reps: DataFrame, params: RepeatParams) -> DataFrame:
-    """tkey, ranges: array of (a, b) byte ranges (they may overlap) that repeat."""
-    where = written(cut_segments(texts, params), "repeat-anchors")
-    often = where.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    # A list for each text, no longer than the text.
-    wanted = (where.join(often, "anchor").groupBy("tkey").agg(F.collect_list(F.struct("anchor", "s0", "s1")).alias("cuts"))
-              .join(reps.select("tkey", "rep"), "tkey"))
-
+def name_segments(places: DataFrame, texts: DataFrame, params: RepeatParams) -> DataFrame:
+    """tkey, s0, anchor, pos, bytes, sid (128 bits of the segment's SHA-256): no text leaves."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for key, cuts, text in zip(pdf["tkey"], pdf["cuts"], pdf["text"]):
-                raw, cuts = text.encode(), sorted(cuts, key=lambda c: c["s0"])
+                raw = text.encode()
                 for at in range(0, len(cuts), 50_000):
                     some = cuts[at: at + 50_000]
-                    yield pd.DataFrame({"tkey": [key] * len(some), "s0": [c["s0"] for c in some], "anchor": [c["anchor"] for c in some],
-                                        "seg": [raw[c["s0"]: c["s1"] + params.length] for c in some]})
-
-    cut = with_text(wanted, texts).dropDuplicates(["tkey"]).select("tkey", "cuts", "text").mapInPandas(
-        run, "tkey binary, s0 long, anchor long, seg binary")
-    segments = written(cut.withColumn("sid", key16(F.col("seg"))), "repeat-segments")
-
-    distinct = (segments.groupBy("anchor", "sid").agg(F.first("seg").alias("seg"), F.count("*").alias("n"))
-                .withColumn("bytes", F.length("seg")))
-    groups = (segments.select("anchor", "sid", F.length("seg").alias("bytes")).distinct()
-              .groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("group_bytes")))
-    # Whole repeats, of anchors with one kind of segment.
-    alone = (segments.groupBy("anchor", "sid").agg(F.count("*").alias("n"), F.max(F.length("seg")).alias("b"))
-             .join(groups.where("kinds = 1").select("anchor"), "anchor").where("n > 1")
-             .select("sid", F.lit(0).alias("a"), F.col("b").cast("int")))
-    several = distinct.join(groups.where("kinds > 1"), "anchor")
-    few = (several.where(F.col("group_bytes") <= params.group_bytes).select("anchor", "sid", "seg", "n")
-           .repartition("anchor").sortWithinPartitions("anchor", "sid"))
-    indexed = few.mapInArrow(lambda it: index_batches(it, params), "sid binary, a int, b int")
-    # Windows of the anchors with too many segments, each counted by itself.
-    many = several.where(F.col("group_bytes") > params.group_bytes)
-    window = F.explode(F.sequence(F.lit(0), F.length("seg") - params.length))
-    windows = many.select("anchor", "sid", "seg", "n", window.alias("at")).select(
+                    yield pd.DataFrame({
+                        "tkey": [key] * len(some), "s0": [c["s0"] for c in some], "anchor": [c["anchor"] for c in some],
+                        "pos": [c["at"] - c["s0"] for c in some], "bytes": [c["s1"] - c["s0"] + params.length for c in some],
+                        "sid": [hashlib.sha256(raw[c["s0"]: c["s1"] + params.length]).digest()[:16] for c in some]})
+
+    lists = places.groupBy("tkey").agg(F.collect_list(F.struct("anchor", "s0", "s1", "at")).alias("cuts"))
+    return lists.join(texts.select("tkey", "text"), "tkey").mapInPandas(
+        run, "tkey binary, s0 long, anchor long, pos long, bytes long, sid binary")
+
+
+def cut_out(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """anchor, sid, seg, pos, n from (tkey, s0, anchor, sid, pos, bytes, n)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cuts, text in zip(pdf["cuts"], pdf["text"]):
+                raw = text.encode()
+                for at in range(0, len(cuts), 10_000):
+                    some = cuts[at: at + 10_000]
+                    yield pd.DataFrame({"seg": [raw[c["s0"]: c["s0"] + c["bytes"]] for c in some],
+                                        **{k: [c[k] for c in some] for k in ("anchor", "sid", "pos", "n")}})
+
+    lists = wanted.groupBy("tkey").agg(F.collect_list(F.struct("s0", "bytes", "anchor", "sid", "pos", "n")).alias("cuts"))
+    return lists.join(texts.select("tkey", "text"), "tkey").mapInPandas(
+        run, "seg binary, anchor long, sid binary, pos long, n long").select("anchor", "sid", "seg", "pos", "n")
+
+
+def count_windows(segments: DataFrame, params: RepeatParams) -> DataFrame:
+    """(sid, a, b) of the windows that repeat, each window counted by itself."""
+    at = F.explode(F.sequence(F.lit(0), (F.length("seg") - params.length).cast("int")))
+    windows = segments.select("anchor", "sid", "seg", "n", at.alias("at")).select(
         "anchor", "sid", "n", "at", key16(F.substring("seg", F.col("at") + 1, F.lit(params.length))).alias("w"))
     again = windows.groupBy("anchor", "w").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "w")
-    counted = windows.join(again, ["anchor", "w"]).select("sid", F.col("at").alias("a"), (F.col("at") + params.length).alias("b"))
-    found = alone.unionByName(indexed).unionByName(counted)
-
-    places = segments.select("sid", "tkey", "s0")
-    return (places.join(found, "sid")
+    return windows.join(again, ["anchor", "w"]).select("sid", F.col("at").alias("a"), (F.col("at") + params.length).alias("b"))
+
+
+def repeated_ranges(texts: DataFrame, params: RepeatParams) -> DataFrame:
+    """tkey, ranges: array of (a, b) byte ranges (they may overlap) that repeat, for each unique text."""
+    where = written(find_anchors(texts, params), "repeat-anchors")
+    often = where.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    segments = written(name_segments(where.join(often, "anchor"), texts, params), "repeat-segments")
+    # One row a different segment, with one place where it stands. Equal segments have their anchor at the same place.
+    kinds = written(segments.groupBy("anchor", "sid").agg(
+        F.count("*").alias("n"), F.min(F.struct("tkey", "s0")).alias("first"), F.min("pos").alias("pos"),
+        F.min("bytes").alias("bytes")), "repeat-kinds")
+    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("all_bytes"))
+    alone = (kinds.where("n > 1").join(groups.where("kinds = 1").select("anchor"), "anchor")
+             .select("sid", F.lit(0).alias("a"), F.col("bytes").cast("int").alias("b")))
+
+    def cut(some: DataFrame) -> DataFrame:
+        return cut_out(kinds.join(some.select("anchor"), "anchor").select(
+            "first.tkey", "first.s0", "bytes", "anchor", "sid", "pos", "n"), texts)
+
+    several = groups.where("kinds > 1")
+    few = cut(several.where(F.col("all_bytes") <= params.group_bytes))
+    indexed = few.repartition("anchor").sortWithinPartitions("anchor", "sid").mapInArrow(
+        lambda it: index_batches(it, params), "sid binary, a int, b int")
+    found = alone.unionByName(indexed)
+    many = several.where(F.col("all_bytes") > params.group_bytes)
+    if not many.isEmpty():
+        found = found.unionByName(count_windows(cut(many), params))
+    return (segments.select("sid", "tkey", "s0").join(found, "sid")
             .select("tkey", F.struct((F.col("s0") + F.col("a")).alias("a"), (F.col("s0") + F.col("b")).alias("b")).alias("r"))
-            .distinct().groupBy("tkey").agg(F.collect_list("r").alias("ranges")))
+            .groupBy("tkey").agg(F.collect_set("r").alias("ranges")))
 
 
 def merged(ranges: list) -> list[tuple[int, int]]:
@@ -347,14 +453,10 @@ def merged(ranges: list) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row a document."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "tkey", key16(F.col("text").cast("binary")))
-    narrow = texts.select("doc_id", "tkey", F.octet_length("text").cast("long").alias("n_bytes"),
-                          F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    reps = written(narrow.groupBy("tkey").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"),
-                                              F.max("n_bytes").alias("bytes")), "repeat-texts")
-    ranges = repeated_ranges(texts, reps, params)
-    partly = ranges.join(reps.where("copies = 1").select("tkey", "rep"), "tkey")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = unique_texts(docs)
+    ranges = repeated_ranges(texts, params)
+    partly = ranges.join(texts.where("copies = 1").select("tkey", "text"), "tkey")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -368,16 +470,45 @@ def remove_repeats(docs: DataFrame, params: RepeatParams = RepeatParams()) -> Da
                 rows.append((key, sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
             yield pd.DataFrame(rows, columns=["tkey", "gone", "spans", "kept"])
 
-    cleaned = with_text(partly, texts).select("tkey", "ranges", "text").mapInPandas(
-        run, "tkey binary, gone long, spans long, kept string")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= params.length)
-    empty = hashlib.sha256(b"").hexdigest()
-    return (narrow.join(reps.select("tkey", "copies"), "tkey").join(cleaned, "tkey", "left").select(
-        "doc_id", "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(empty)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256")))
+    cleaned = partly.mapInPandas(run, "tkey binary, gone long, spans long, kept string")
+    size = F.octet_length("text").cast("long")
+    whole = (texts.where("copies > 1").select("tkey", size.alias("gone")).where(F.col("gone") >= params.length)
+             .select("tkey", "gone", F.lit(1).cast("long").alias("spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept")))
+    verdicts = written(cleaned.unionByName(whole), "repeat-verdicts")
+    narrow = docs.select("doc_id", key16(F.col("text").cast("binary")).alias("tkey"), size.alias("n_bytes"),
+                         F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return narrow.join(verdicts, "tkey", "left").select(
+        "doc_id", "n_bytes", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+with docs as (
+  select row_number() over () as r, doc_id, encode(coalesce(text, '')) as raw, hex(encode(coalesce(text, ''))) as h from documents),
+windows as (
+  select r, i, md5(raw[i + 1:i + 400]) as w from docs, unnest(range(0, octet_length(raw) - 399)) u(i)),
+hits as (
+  select r, i, i - row_number() over (partition by r order by i) as g
+  from windows semi join (select w from windows group by w having count(*) > 1) using (w)),
+runs as (
+  select r, min(i) as a, max(i) + 400 as b from hits group by r, g),
+marks as (
+  select *, case when a > max(b) over (partition by r order by a rows between unbounded preceding and 1 preceding)
+    or row_number() over (partition by r order by a) = 1 then 1 else 0 end as new from runs),
+spans as (
+  select r, s, min(a) as a, max(b) as b from (select *, sum(new) over (partition by r order by a) as s from marks) group by r, s),
+gaps as (
+  select r, a, coalesce(lag(b) over (partition by r order by a), 0) as before, b, row_number() over (partition by r order by a desc) as last
+  from spans),
+kept as (
+  select d.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a)
+    || substr(any_value(h), 2 * max(b) + 1) as k, sum(b - a) as gone, count(*) as n
+  from gaps g join docs d on g.r = d.r group by d.r)
+select doc_id, (len(h) // 2)::BIGINT as n_bytes, coalesce(gone, 0)::BIGINT as n_removed, coalesce(n, 0)::BIGINT as n_spans,
+  sha256(unhex(coalesce(k, h))) as kept_sha256
+from docs left join kept using (r)
+"""
