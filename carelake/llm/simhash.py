@@ -99,7 +99,7 @@ def ordered(docs: DataFrame) -> DataFrame:
     else:
         at = F.array(*[F.lit(k).cast("long") for k in kept])
         ends = F.array(*[F.lit(k).cast("long") for k in [*kept[1:], knots[-1] + 1]])
-        i = F.size(F.filter(at, lambda k: k <= F.col("doc_id")))
+        i = F.greatest(F.size(F.filter(at, lambda k: k <= F.col("doc_id"))), F.lit(1))  # a null id's place is set below
         span = F.element_at(ends, i) - F.element_at(at, i)
         sub = F.floor((F.col("doc_id") - F.element_at(at, i)) * F.lit(float(fine)) / span)
         bucket = F.coalesce(F.lit(0) - (i * fine + F.least(sub, F.lit(fine - 1))), F.lit(1)).cast("long")
