@@ -79,6 +79,7 @@ def thresholds(rows: DataFrame, targets: DataFrame, params: MixParams) -> DataFr
              .withColumn("need", F.col("target") - F.col("epochs") * F.col("source_size"))
              .withColumn("prefix", F.lit(0).cast("long")).withColumn("below", F.lit(0).cast("long")))
     for level in range(1, params.levels + 1):
+        state = written(state, "mix-state")  # one row a source: keeps the plan of each level small
         shift = 60 - params.bits * level
         cell = F.shiftright("h", shift)
         if level == 1:
