@@ -12,7 +12,6 @@ from __future__ import annotations
 # FIXED VALUES: clean-stage limits and required encounter columns
 # ---------------------------------------------------------------------------
 REQUIRED_COLUMNS = ["Age", "Gender", "Symptoms", "Diagnosis"]
-OPTIONAL_COLUMNS = ["Risk_Level", "Patient_ID", "Name", "Patient_Name", "DaysStayed", "Days_Stayed"]
 AGE_MIN, AGE_MAX = 0, 120
 
 # Gender spellings replaced after title case (whole value).

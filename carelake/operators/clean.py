@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelake.functions import constants as K
 from carelake.functions import text as T
 
 CRITICAL = ["age_raw", "gender", "symptoms", "diagnosis"]
@@ -43,7 +44,7 @@ def annotate(d: DataFrame, cols: list[str]) -> DataFrame:
     reason = (
         F.when(any_null, "missing_critical")
         .when(age_d.isNull(), "invalid_age")
-        .when((age_d <= -1) | (age_d >= 121), "age_outliers")
+        .when((age_d <= K.AGE_MIN - 1) | (age_d >= K.AGE_MAX + 1), "age_outliers")
         .when(sym == "", "empty_symptoms")
         .when(diag == "", "empty_text")
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from carelake import oracle as O
 from carelake.functions import constants as K
 from carelake.functions import text as T
-from carelake.operators import analytics as A
 from carelake.operators import catalog as CT
 from carelake.plans.q_etl import profile_ctes
 from carelake.plans.registry import register
@@ -209,6 +208,3 @@ def j11(spark, d):
     j = nd.join(nl, nd["id"] == nl["disease_id"], "left").join(
         ns.select(F.col("id").alias("sid"), "normalized"), F.col("symptom_id") == F.col("sid"), "left")
     return j.groupBy(nd["id"], "name", "created_by", "stored").agg(F.count_distinct("normalized").alias("symptoms_count"))
-
-
-_ = A  # analytics is used through catalog
