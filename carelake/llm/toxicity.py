@@ -146,6 +146,8 @@ class Grammar:
 
     def score(self, text: str | None) -> float:
         z = self.intercept
+        if z < -500:  # nothing learned
+            return 0.0
         if text:
             for kind, amount in self.features(text).items():
                 z += self.weights.get(kind, 0.0) * np.log1p(amount)
