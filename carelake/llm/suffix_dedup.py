@@ -368,38 +368,62 @@ def find_anchors(texts: DataFrame, params: RepeatParams) -> DataFrame:
     return long.mapInPandas(run, "tkey binary, anchor long, s0 long, s1 long, at long")
 
 
+def frames(rows: Iterator[dict[str, list | np.ndarray]], size: str | None = None, limit: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Frames of about ``limit`` rows (or bytes, summed over column ``size``) from the columns of one text after another."""
+    held: list[dict] = []
+    amount = 0
+    for row in rows:
+        held.append(row)
+        amount += sum(map(len, row[size])) if size else len(next(iter(row.values())))
+        if amount >= limit:
+            yield _joined(held)
+            held, amount = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame({k: np.concatenate([h[k] for h in held]) if isinstance(held[0][k], np.ndarray)
+                         else [x for h in held for x in h[k]] for k in held[0]})
+
+
 def name_segments(places: DataFrame, texts: DataFrame, params: RepeatParams) -> DataFrame:
     """tkey, s0, anchor, pos, bytes, sid (128 bits of the segment's SHA-256): no text leaves."""
+    def of(pdf: pd.DataFrame) -> Iterator[dict]:
+        for key, text, anchor, s0, s1, at in zip(*(pdf[c] for c in ("tkey", "text", "anchor", "s0", "s1", "at"))):
+            raw, end = text.encode(), s1 + params.length
+            yield {"tkey": [key] * len(s0), "s0": s0, "anchor": anchor, "pos": at - s0, "bytes": end - s0,
+                   "sid": [hashlib.sha256(raw[a:b]).digest()[:16] for a, b in zip(s0.tolist(), end.tolist())]}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, cuts, text in zip(pdf["tkey"], pdf["cuts"], pdf["text"]):
-                raw = text.encode()
-                for at in range(0, len(cuts), 50_000):
-                    some = cuts[at: at + 50_000]
-                    yield pd.DataFrame({
-                        "tkey": [key] * len(some), "s0": [c["s0"] for c in some], "anchor": [c["anchor"] for c in some],
-                        "pos": [c["at"] - c["s0"] for c in some], "bytes": [c["s1"] - c["s0"] + params.length for c in some],
-                        "sid": [hashlib.sha256(raw[c["s0"]: c["s1"] + params.length]).digest()[:16] for c in some]})
-
-    lists = places.groupBy("tkey").agg(F.collect_list(F.struct("anchor", "s0", "s1", "at")).alias("cuts"))
-    return lists.join(texts.select("tkey", "text"), "tkey").mapInPandas(
+            yield from frames(of(pdf))
+
+    return with_lists(places, ["anchor", "s0", "s1", "at"], texts).mapInPandas(
         run, "tkey binary, s0 long, anchor long, pos long, bytes long, sid binary")
 
 
+def with_lists(places: DataFrame, columns: list[str], texts: DataFrame) -> DataFrame:
+    """One row a text: tkey, text, and an array for each column of its places (no longer than the text)."""
+    lists = places.groupBy("tkey").agg(F.collect_list(F.struct(*columns)).alias("cuts"))
+    return lists.join(texts.select("tkey", "text"), "tkey").select(
+        "tkey", "text", *[F.col(f"cuts.{c}").alias(c) for c in columns])
+
+
 def cut_out(wanted: DataFrame, texts: DataFrame) -> DataFrame:
     """anchor, sid, seg, pos, n from (tkey, s0, anchor, sid, pos, bytes, n)."""
+    def of(pdf: pd.DataFrame) -> Iterator[dict]:
+        for text, anchor, s0, size, sid, pos, n in zip(*(pdf[c] for c in ("text", "anchor", "s0", "bytes", "sid", "pos", "n"))):
+            raw = text.encode()
+            yield {"anchor": anchor, "sid": list(sid), "pos": pos, "n": n,
+                   "seg": [raw[a: a + b] for a, b in zip(s0.tolist(), size.tolist())]}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for cuts, text in zip(pdf["cuts"], pdf["text"]):
-                raw = text.encode()
-                for at in range(0, len(cuts), 10_000):
-                    some = cuts[at: at + 10_000]
-                    yield pd.DataFrame({"seg": [raw[c["s0"]: c["s0"] + c["bytes"]] for c in some],
-                                        **{k: [c[k] for c in some] for k in ("anchor", "sid", "pos", "n")}})
+            yield from frames(of(pdf), "seg", 8_000_000)
 
-    lists = wanted.groupBy("tkey").agg(F.collect_list(F.struct("s0", "bytes", "anchor", "sid", "pos", "n")).alias("cuts"))
-    return lists.join(texts.select("tkey", "text"), "tkey").mapInPandas(
-        run, "seg binary, anchor long, sid binary, pos long, n long").select("anchor", "sid", "seg", "pos", "n")
+    return with_lists(wanted, ["anchor", "s0", "bytes", "sid", "pos", "n"], texts).mapInPandas(
+        run, "anchor long, sid binary, pos long, n long, seg binary").select("anchor", "sid", "seg", "pos", "n")
 
 
 def count_windows(segments: DataFrame, params: RepeatParams) -> DataFrame:
@@ -414,13 +438,14 @@ def count_windows(segments: DataFrame, params: RepeatParams) -> DataFrame:
 def repeated_ranges(texts: DataFrame, params: RepeatParams) -> DataFrame:
     """tkey, ranges: array of (a, b) byte ranges (they may overlap) that repeat, for each unique text."""
     where = written(find_anchors(texts, params), "repeat-anchors")
-    often = where.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # Written, so that both sides of the joins below are plain shuffles, whose large partitions are split.
+    often = written(where.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeat-often")
     segments = written(name_segments(where.join(often, "anchor"), texts, params), "repeat-segments")
     # One row a different segment, with one place where it stands. Equal segments have their anchor at the same place.
     kinds = written(segments.groupBy("anchor", "sid").agg(
         F.count("*").alias("n"), F.min(F.struct("tkey", "s0")).alias("first"), F.min("pos").alias("pos"),
         F.min("bytes").alias("bytes")), "repeat-kinds")
-    groups = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("all_bytes"))
+    groups = written(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("bytes").alias("all_bytes")), "repeat-groups")
     alone = (kinds.where("n > 1").join(groups.where("kinds = 1").select("anchor"), "anchor")
              .select("sid", F.lit(0).alias("a"), F.col("bytes").cast("int").alias("b")))
 
