@@ -44,7 +44,7 @@ from carelake.session import checkpoint_dir
 class RepeatParams:
     length: int = 400
     gram: int = 32              # bytes of the grams that anchor windows; a multiple of 8
-    batch_bytes: int = 1 << 20  # of segments that one index holds
+    batch_bytes: int = 1 << 18  # of segments that one index holds (it takes some 200 bytes for each)
     group_bytes: int = 1 << 24  # of one anchor's segments; beyond, windows are counted
     piece: int = 1 << 18        # bytes of text read at a time
 
