@@ -9,7 +9,10 @@ symbols left are equally likely. The code length of a text is the sum over its s
 
 Pretrained scoring gathers the counts of the whole training part with Spark; the trie
 that is broadcast keeps all contexts seen at least ``t`` times, with the smallest t
-that fits ``max_nodes``. Adaptive scoring learns from the text itself as it goes.
+that fits ``max_nodes``. Symbols whose longest context was not kept meet the counts of
+all contexts in a shuffle by their shortest context that was not kept: all longer ones
+lie in the same part, the kept ones in the broadcast, so every context scores. Adaptive
+scoring learns from the text itself as it goes.
 
 The base score is a word model with add-one smoothing over all training words. Counts
 of the ``max_words`` most frequent words are broadcast; all other words of a
@@ -30,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,7 @@ class PpmParams:
     order: int = 5
     max_nodes: int = 2_000_000    # entries of the broadcast trie
     max_words: int = 400_000      # words whose counts are broadcast
+    part_grams: int = 500_000     # grams of contexts that were not kept, in a part of the shuffle
 
 
 def pieces(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -97,9 +102,9 @@ def trie_orders(order: int) -> list[int]:
 class Trie:
     """Sorted grams and contexts of each order, ready for scoring."""
 
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """grams[k]: (keys of k + 1 symbols, counts), any order; shorter suffixes of a gram must be there too."""
-        self.order = len(grams) - 1
+    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]], base: Trie | None = None, whole: bool = True) -> None:
+        """grams[k]: (keys of k + 1 symbols, counts), any order; shorter suffixes of a gram must be there too, or in ``base``."""
+        self.order, self.base, self.whole = len(grams) - 1, base, whole
         self.keys, self.counts, self.ctx, self.total, self.distinct, self.ruled = [], [], [], [], [], []
         for k, (keys, counts) in enumerate(grams):
             rank = np.argsort(keys)
@@ -113,10 +118,37 @@ class Trie:
             # What the symbols of this context weigh in the next shorter one, which no longer codes them.
             lower = np.zeros(len(keys))
             if k:
-                at, seen = find(self.keys[k - 1], keys & np.uint64((1 << BITS * k) - 1))
-                lower = np.where(seen, self.counts[k - 1][at] if len(at) else 0.0, 0.0)
+                lower = self.count(k - 1, keys & np.uint64((1 << BITS * k) - 1))
             self.ruled.append(np.bincount(inverse, lower, len(ctx)))
 
+    def count(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """Count of each key of k + 1 symbols; 0 if it is not there."""
+        at, seen = find(self.keys[k], keys)
+        out = np.zeros(len(keys))
+        out[seen] = self.counts[k][at[seen]]
+        if self.base is not None:
+            out[~seen] = self.base.count(k, keys[~seen])
+        return out
+
+    def context(self, k: int, ctx: np.ndarray) -> np.ndarray:
+        """(total, distinct, ruled) x contexts of k symbols; zeros if a context is not there."""
+        at, there = find(self.ctx[k], ctx)
+        out = np.zeros((3, len(ctx)))
+        out[:, there] = self.total[k][at[there]], self.distinct[k][at[there]], self.ruled[k][at[there]]
+        if self.base is not None:
+            out[:, ~there] = self.base.context(k, ctx[~there])
+        return out
+
+    def depth(self, grams: np.ndarray) -> np.ndarray:
+        """Order of the longest context of each gram that is there (-1: not even the empty one)."""
+        out = np.full(len(grams), -1)
+        left = np.arange(len(grams))
+        for k in range(self.order, -1, -1):
+            _, there = find(self.ctx[k], (grams[left] & np.uint64((1 << BITS * (k + 1)) - 1)) >> np.uint64(BITS))
+            out[left[there]] = k
+            left = left[~there]
+        return out
+
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last symbol after the ones before."""
         out = np.zeros(len(grams))
@@ -124,21 +156,20 @@ class Trie:
         gone, gone_distinct = np.zeros(len(grams)), np.zeros(len(grams))
         for k in range(self.order, -1, -1):
             key = grams[live] & np.uint64((1 << BITS * (k + 1)) - 1)
-            at, there = find(self.ctx[k], key >> np.uint64(BITS))
+            total, distinct, ruled = self.context(k, key >> np.uint64(BITS))
+            there = total > 0
             if not there.any():
                 continue
-            at = np.where(there, at, 0)
-            total = np.where(there, self.total[k][at] - gone[live], 0.0)
-            distinct = np.where(there, self.distinct[k][at] - gone_distinct[live], 0.0)
-            mass = total
-            place, seen = find(self.keys[k], key)
-            hit = np.flatnonzero(seen)
-            out[live[hit]] += np.log10((self.counts[k][place[hit]] - 0.5) / mass[hit])
-            escape = np.flatnonzero(~seen & (mass > 0))
-            out[live[escape]] += np.log10(0.5 * distinct[escape] / mass[escape])
+            mass = np.where(there, total - gone[live], 0.0)
+            left = np.where(there, distinct - gone_distinct[live], 0.0)
+            c = self.count(k, key)
+            seen = c > 0
+            out[live[seen]] += np.log10((c[seen] - 0.5) / mass[seen])
+            escape = ~seen & (mass > 0)
+            out[live[escape]] += np.log10(0.5 * left[escape] / mass[escape])
             moved = there & ~seen
-            gone[live[moved]] = self.ruled[k][at[moved]]
-            gone_distinct[live[moved]] = self.distinct[k][at[moved]]
+            gone[live[moved]] = ruled[moved]
+            gone_distinct[live[moved]] = distinct[moved]
             live = live[~seen]
             if not len(live):
                 return out
@@ -148,15 +179,36 @@ class Trie:
 
 
 class Scorer:
-    def __init__(self, trie: Trie) -> None:
-        self.trie, self.cache = trie, GramCache(1, slot_bits=22)
+    """Scores of texts by a trie; with ``split`` the grams whose longest context it lacks are handed on instead."""
 
-    def log10(self, texts: list[bytes]) -> np.ndarray:
+    def __init__(self, trie: Trie, split: bool = False) -> None:
+        self.trie, self.split, self.cache = trie, split, GramCache(1, slot_bits=22)
+
+    def values(self, grams: np.ndarray) -> np.ndarray:
+        if not self.split:
+            return self.trie.log10(grams)
+        out = np.full(len(grams), np.nan)
+        _, there = find(self.trie.ctx[-1], grams >> np.uint64(BITS))
+        out[there] = self.trie.log10(grams[there])
+        return out
+
+    def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The score of each text, and the grams handed on with the number of the text of each."""
         out = np.zeros(len(texts))
+        owners, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for grams, owner in pieces(texts, self.trie.order):
-            ids = self.cache.numbers(grams, lambda new, g=grams: self.trie.log10(g[new])[None])
-            out += np.bincount(owner, self.cache.values[0][ids], len(texts))
-        return out
+            ids = self.cache.numbers(grams, lambda new, g=grams: self.values(g[new])[None])
+            got = self.cache.values[0][ids]
+            if self.split:
+                far = np.isnan(got)
+                owners.append(owner[far])
+                rest.append(grams[far])
+                got = np.where(far, 0.0, got)
+            out += np.bincount(owner, got, len(texts))
+        return out, np.concatenate(owners), np.concatenate(rest)
+
+    def log10(self, texts: list[bytes]) -> np.ndarray:
+        return self.parts(texts)[0]
 
 
 def adaptive_log10(text: bytes, order: int = 4) -> float:
@@ -236,7 +288,7 @@ def _cut(histogram: list, limit: int) -> int:
 
 
 def gather_trie(table: DataFrame, params: PpmParams) -> Trie:
-    """The trie of the gram counts, within ``max_nodes`` entries."""
+    """The trie of the gram counts, within ``max_nodes`` entries; ``whole`` tells whether that is all of them."""
     grams = table.where("gram is not null").select("gram", "c")
     orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(m).cast("long")).alias("key"))
                                  for k, m in enumerate(trie_orders(params.order))]))
@@ -252,7 +304,76 @@ def gather_trie(table: DataFrame, params: PpmParams) -> Trie:
         fit = contexts.where(F.floor(F.log2("n") * 8) >= cut).select("k", "ctx")
         kept = entries.withColumn("ctx", F.shiftright("key", BITS)).join(fit, ["k", "ctx"], "left_semi").select("k", "key", "c")
     k, key, c = _columns(kept)
-    return Trie([(key[k == i], c[k == i]) for i in range(params.order + 1)])
+    whole = all(r["b"] >= cut for r in histogram)
+    return Trie([(key[k == i], c[k == i]) for i in range(params.order + 1)], whole=whole)
+
+
+REQUESTS = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("gram", pa.int64()), ("c", pa.int64())])
+
+
+def shortest_missing(trie: Trie, grams: np.ndarray) -> np.ndarray:
+    """Hash of the shortest context of each gram that the trie lacks."""
+    k = (trie.depth(grams) + 1).astype(np.uint64)
+    ctx = (grams >> np.uint64(BITS)) & ((np.uint64(1) << np.uint64(BITS) * k) - np.uint64(1))
+    return ((ctx + (k << np.uint64(56))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int32)
+
+
+def deeper(trie: Trie, grams: np.ndarray, c: np.ndarray) -> Trie:
+    """The contexts that ``trie`` lacks, from training grams that hold all or none of a shortest missing context's."""
+    depth, out = trie.depth(grams), []
+    for k, m in enumerate(trie_orders(trie.order)):
+        own = depth < k
+        key, inverse = np.unique(grams[own] & np.uint64(m), return_inverse=True)
+        out.append((key, np.bincount(inverse, c[own], len(key))))
+    return Trie(out, trie)
+
+
+def far_scores(table: DataFrame, rest: DataFrame, shared: Broadcast, params: PpmParams) -> DataFrame:
+    """rest (row, rest: grams) -> row, score: the part of a row's score that contexts outside the broadcast decide.
+
+    A missing context was seen fewer than t times, so no group of training grams is
+    large; a part reads its training grams first and then streams the rows' grams.
+    """
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value[0]
+        for batch in batches:
+            gram = batch.column("gram").to_numpy().astype(np.uint64)
+            _, there = find(trie.ctx[-1], gram >> np.uint64(BITS))
+            yield requests(trie, np.full((~there).sum(), -1), gram[~there], batch.column("c").to_numpy()[~there])
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value[0]
+        for batch in batches:
+            lists = batch.column("rest")
+            row = batch.column("row").to_numpy()[pc.list_parent_indices(lists).to_numpy()]
+            gram = lists.flatten().to_numpy().astype(np.uint64)
+            yield requests(trie, row, gram, np.ones(len(gram), np.int64))
+
+    def requests(trie: Trie, row: np.ndarray, gram: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shortest_missing(trie, gram)), pa.array(row), pa.array(gram.astype(np.int64)),
+                                           pa.array(c)], schema=REQUESTS)
+
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, amounts, model = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], None
+        for batch in batches:
+            row, gram, c = (batch.column(x).to_numpy() for x in ("row", "gram", "c"))
+            first = int(np.searchsorted(row, 0))  # training grams have row -1
+            grams.append(gram[:first].astype(np.uint64))
+            amounts.append(c[:first])
+            if first == len(row):
+                continue
+            if model is None:
+                model = deeper(shared.value[0], np.concatenate(grams), np.concatenate(amounts))
+            key, inverse = np.unique(gram[first:].astype(np.uint64), return_inverse=True)
+            rows, number = np.unique(row[first:], return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"row": rows, "score": np.bincount(number, model.log10(key)[inverse], len(rows))})
+
+    known = table.where("gram is not null").select("gram", "c")
+    kind = "part int, row long, gram long, c long"
+    n = max(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known.count() // params.part_grams))
+    return (known.mapInArrow(train, kind).unionByName(rest.mapInArrow(wanted, kind))
+            .repartition(n, "part").sortWithinPartitions("row").select("row", "gram", "c")
+            .mapInArrow(resolve, "row long, score double"))
 
 
 @dataclass(frozen=True)
@@ -286,13 +407,15 @@ def score(docs: DataFrame, train: Column, params: PpmParams = PpmParams()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, words = shared.value
-        model = Scorer(trie)
+        model = Scorer(trie, split=not trie.whole)
         log, end = np.log10((words.counts + 1) / space), math.log10((words.ends + 1) / space)
         for batch in batches:
             texts, raw = texts_of(batch)
             word, owner = tokens(texts)
             at = pc.index_in(word, value_set=words.frequent).fill_null(-1).to_numpy()
             hit, n = at >= 0, len(raw)
+            near, far, grams = model.parts(raw)
+            far = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=n))]).astype(np.int32)
             rare = np.concatenate([[0], np.cumsum(np.bincount(owner[~hit], minlength=n))]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "row": batch.column("row"), "doc_id": batch.column("doc_id"),
@@ -300,21 +423,27 @@ def score(docs: DataFrame, train: Column, params: PpmParams = PpmParams()) -> Da
                 "n_known": np.bincount(owner[hit], minlength=n) + int(words.ends > 0),
                 "base": np.bincount(owner[hit], log[at[hit]], n) + end,
                 "rare": pa.ListArray.from_arrays(pa.array(rare), word.filter(pa.array(~hit))),
-                "score": model.log10(raw),
+                "rest": pa.ListArray.from_arrays(pa.array(far), pa.array(grams.astype(np.int64))),
+                "score": near,
                 "n_bytes": np.fromiter(map(len, raw), np.int64, n)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, rare array<string>, score double, n_bytes long"), "ppm-scored")
+        run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, rare array<string>, rest array<long>, score double, n_bytes long"), "ppm-scored")
     # All words that were not broadcast meet the full table; hot words are broadcast ones, so no key is hot here.
     rare = scored.select("row", F.explode("rare").alias("word"))
-    found = (rare.join(table.where("word is not null").select("word", "c"), "word", "left")
-             .groupBy("row").agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(space)))).alias("more"),
-                                 F.count("c").alias("more_known")))
-    return (scored.drop("rare").join(found, "row", "left")
+    more = (rare.join(table.where("word is not null").select("word", "c"), "word", "left")
+            .select("row", F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(space))).alias("base"),
+                    F.col("c").isNotNull().cast("long").alias("known"), F.lit(0.0).alias("score")))
+    if not trie.whole:
+        far = far_scores(table, scored.select("row", "rest"), shared, params)
+        more = more.unionByName(far.select("row", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), "score"))
+    found = more.groupBy("row").agg(F.sum("base").alias("more"), F.sum("known").alias("more_known"), F.sum("score").alias("more_score"))
+    return (scored.drop("rare", "rest").join(found, "row", "left")
             .select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
                     F.lit(words.total).cast("long").alias("train_tokens"),
-                    (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "n_bytes"))
+                    (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+                    (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"), "n_bytes"))
 
 
 def op4_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

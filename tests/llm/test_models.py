@@ -175,6 +175,17 @@ def test_trie_fits_its_bound(spark):
     assert (score < 0).all()
 
 
+def test_contexts_beyond_the_bound_score_too(spark):
+    docs, F = spark.read.parquet(f"{MID}/documents.parquet").where("doc_id < 300"), ppm.F
+    got = [{r["doc_id"]: r for r in ppm.score(docs, ~ppm.held_out(F.col("doc_id"), 7, 2), ppm.PpmParams(max_nodes=n)).collect()}
+           for n in (2_000_000, 3_000, 100)]
+    for few in got[1:]:
+        assert few.keys() == got[0].keys()
+        for i, r in got[0].items():
+            assert few[i]["score"] == pytest.approx(r["score"], rel=1e-9)
+            assert few[i]["base_score"] == pytest.approx(r["base_score"]) and few[i]["n_known"] == r["n_known"]
+
+
 def test_clause_grammar():
     g = toxicity.Grammar(exact=["fool"], prefixes=["idio"], weights={k: 1.0 for k in toxicity.KINDS}, intercept=0.0)
     kinds = {"what a fool": "plain", "you are an idiot": "aimed", "it is not a fool": "negated",
