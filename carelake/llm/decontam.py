@@ -4,9 +4,11 @@ Texts and items are read as words. For each item size m, the windows of m words
 every document are embedded by random walks (CGK: a step writes the current word and
 moves on by a random bit of it), which turn a small edit distance into a small
 Hamming distance. A table samples a few places of a walk; a window and an item that
-agree there are candidates. The number of tables is set so that randomly edited
-items are found with the target recall. Candidates are verified by their exact edit
-distance: a match needs at most ``max_edits`` of the item's words.
+agree there are candidates. For each item size the number of walks is the smallest by
+which randomly edited items of that size are found with the target recall; where
+``max_walks`` do not reach it (long items), every item that shares a run with a window
+that can match is a candidate. Candidates are verified by their exact edit distance:
+a match needs at most ``max_edits`` of the item's words.
 
 Only windows that can match are embedded. Two conditions tell, and neither loses a
 match: with k edits some run of m // (k + 1) words (four at most are looked at) must
@@ -43,8 +45,8 @@ class DecontamParams:
     places: int = 4              # of a walk that a table samples
     tables_per_walk: int = 4
     target_recall: float = 0.99
-    max_walks: int = 24
-    probes: int = 200            # edited items on which the number of tables is set
+    max_walks: int = 24          # of a size; sizes that need more are searched without walks
+    probes: int = 200            # edited items of a size on which the number of its walks is set
     block_words: int = 100_000   # words of the items that are broadcast at a time
     batch_words: int = 2_000_000
     seed: int = 5
@@ -117,8 +119,10 @@ class Index:
                 own[np.searchsorted(grams, shingle_hashes(self.items[i], self.run(m)))] = True
             self.runs_of[m] = own
             self.words_of[m] = np.unique(np.concatenate([self.items[i] for i in numbers]))
-        self.walks = self.needed_walks() if self.items else 0
-        self.tables = {m: self.build(m) for m in self.by_size}
+        # Walks for each size; None where the items of each run are listed instead, as (run, item) by run.
+        self.walks = {m: self.needed_walks(m) for m in self.by_size}
+        self.tables = {m: self.build(m) for m, walks in self.walks.items() if walks}
+        self.holders = {m: self.runs_held(m) for m, walks in self.walks.items() if not walks}
 
     def read(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
@@ -145,32 +149,40 @@ class Index:
             out += list(key)
         return out
 
-    def needed_walks(self) -> int:
-        """Walks by which randomly edited items are found with the target recall."""
+    def needed_walks(self, m: int) -> int | None:
+        """Walks by which randomly edited items of m words are found with the target recall; None if ``max_walks`` are too few."""
         p = self.params
-        rng = np.random.default_rng(p.seed)
-        hit, tried = 0, 0
-        for _ in range(p.probes):
-            item = self.items[rng.integers(len(self.items))]
-            m = len(item)
-            edited = list(item)
-            for _ in range(self.edits(m)):
-                at = int(rng.integers(len(edited)))
-                kind = rng.integers(3)
-                if kind == 0:
-                    edited[at] = np.uint64(0)
-                elif kind == 1:
-                    edited.insert(at, np.uint64(0))
-                elif len(edited) > 1:
-                    del edited[at]
-            other = np.array(edited, np.uint64)
-            a = self.keys(item, np.array([0]), np.array([m]), m, 4)
-            b = self.keys(other, np.array([0]), np.array([min(m, len(other))]), m, 4)
-            same = np.array([x[0] == y[0] for x, y in zip(a, b)]).reshape(p.tables_per_walk, 4)
-            hit += int(same.any(0).sum())
-            tried += 4
-        share = max(hit / tried, 1e-3)
-        return int(min(p.max_walks, max(2, np.ceil(np.log(1 - p.target_recall) / np.log(1 - min(share, 0.999))))))
+        rng = np.random.default_rng([p.seed, m, 1])
+        picked = [self.items[i] for i in rng.choice(self.by_size[m], p.probes)]
+        edited = [self.edited(item, rng) for item in picked]
+        size = np.array([len(e) for e in edited])
+        ends = np.cumsum(size)
+        plain = self.keys(np.concatenate(picked), np.arange(p.probes) * m, np.arange(1, p.probes + 1) * m, m, p.max_walks)
+        other = self.keys(np.concatenate(edited), ends - size, ends - size + np.minimum(m, size), m, p.max_walks)
+        same = np.array([a == b for a, b in zip(plain, other)]).reshape(p.tables_per_walk, p.max_walks, p.probes)
+        recall = np.logical_or.accumulate(same.any(0), 0).mean(1)
+        enough = np.flatnonzero(recall >= p.target_recall)
+        return int(enough[0]) + 1 if len(enough) else None
+
+    def edited(self, item: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        out = list(item)
+        for _ in range(self.edits(len(item))):
+            at, kind = int(rng.integers(len(out))), rng.integers(3)
+            if kind == 0:
+                out[at] = np.uint64(0)
+            elif kind == 1:
+                out.insert(at, np.uint64(0))
+            elif len(out) > 1:
+                del out[at]
+        return np.array(out, np.uint64)
+
+    def runs_held(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """(run number, item) of the items of m words, in order of the runs."""
+        q = self.run(m)
+        held = [np.unique(np.searchsorted(self.runs[q], shingle_hashes(self.items[i], q))) for i in self.by_size[m]]
+        run, item = np.concatenate(held), np.repeat(self.by_size[m], [len(h) for h in held])
+        rank = np.argsort(run, kind="stable")
+        return run[rank], item[rank]
 
     def build(self, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each table and walk: sorted keys and their items."""
@@ -178,7 +190,7 @@ class Index:
         words = np.concatenate([self.items[i] for i in numbers])
         starts = np.arange(len(numbers)) * m
         out = []
-        for key in self.keys(words, starts, starts + m, m, self.walks):
+        for key in self.keys(words, starts, starts + m, m, self.walks[m]):
             rank = np.argsort(key, kind="stable")
             out.append((key[rank], numbers[rank]))
         return out
@@ -194,15 +206,46 @@ class Index:
         start = at[:, None] - np.arange(m - q + 1)
         start = np.unique(start[start >= begin[at][:, None]])
         upto = np.minimum(start + m, end[start])
-        start = start[upto - start >= m - k]
+        return self.familiar(words, end, start[upto - start >= m - k], self.words_of[m], m)
+
+    def familiar(self, words: np.ndarray, end: np.ndarray, start: np.ndarray, own: np.ndarray, m: int) -> np.ndarray:
+        """Starts of the windows of m words with at most k words that are not in ``own`` (sorted)."""
         kept = []
         for part in np.array_split(start, max(1, len(start) * m // 4_000_000)):
             place = part[:, None] + np.arange(m)
             inside = place < end[part][:, None]
-            _, own = find(self.words_of[m], words[np.minimum(place, len(words) - 1)].ravel())
-            kept.append(part[(own.reshape(place.shape) & inside).sum(1) >= m - k])
+            _, there = find(own, words[np.minimum(place, len(words) - 1)].ravel())
+            kept.append(part[(there.reshape(place.shape) & inside).sum(1) >= m - self.edits(m)])
         return np.concatenate(kept)
 
+    def by_walks(self, words: np.ndarray, end: np.ndarray, starts: np.ndarray, m: int) -> Iterator[tuple[int, int]]:
+        """(window start, item): those that agree in a table."""
+        stops = np.minimum(starts + m, end[starts])
+        for key, (keys, numbers) in zip(self.keys(words, starts, stops, m, self.walks[m]), self.tables[m]):
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            for w in np.flatnonzero(high > low):
+                for i in numbers[low[w]:high[w]]:
+                    yield int(starts[w]), int(i)
+
+    def by_runs(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, starts: np.ndarray,
+                hits: dict[int, tuple[np.ndarray, np.ndarray]], m: int) -> Iterator[tuple[int, int]]:
+        """(window start, item): those that share a run, where at most k words of the window are foreign to the item."""
+        q = self.run(m)
+        at, run = hits[q]
+        runs, items = self.holders[m]
+        low, high = np.searchsorted(runs, run, "left"), np.searchsorted(runs, run, "right")
+        n = high - low
+        at = np.repeat(at, n)
+        item = items[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        for i in np.unique(item):
+            place = at[item == i]
+            first = np.searchsorted(starts, np.maximum(begin[place], place - (m - q)))
+            change = np.bincount(first, minlength=len(starts) + 1) - np.bincount(
+                np.searchsorted(starts, place, "right"), minlength=len(starts) + 1)
+            near = starts[np.cumsum(change)[:-1] > 0]
+            for start in self.familiar(words, end, near, np.unique(self.items[i]), m):
+                yield int(start), int(i)
+
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item number, edits, first word, words of the item): the best window of each text for each item it matches."""
         out: list[tuple[int, int, int, int, int]] = []
@@ -233,17 +276,13 @@ class Index:
                 at = at[end[at] >= at + q]
             number, there = find(grams, shingle_hashes(words, q)[at]) if len(at) else (at, np.zeros(0, bool))
             hits[q] = at[there], number[there]
-        for m, tables in self.tables.items():
+        for m, walks in self.walks.items():
             starts = self.windows(words, begin, end, hits, m)
             if not len(starts):
                 continue
             near = defaultdict(set)
-            stops = np.minimum(starts + m, end[starts])
-            for key, (keys, numbers) in zip(self.keys(words, starts, stops, m, self.walks), tables):
-                low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for w in np.flatnonzero(high > low):
-                    for i in numbers[low[w]:high[w]]:
-                        near[(int(owner[starts[w]]), int(i))].add(int(starts[w]))
+            for start, i in self.by_walks(words, end, starts, m) if walks else self.by_runs(words, begin, end, starts, hits, m):
+                near[(int(owner[start]), i)].add(start)
             k = self.edits(m)
             for (doc, i), at in near.items():
                 best = None

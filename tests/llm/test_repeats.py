@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +172,25 @@ def test_decontamination_recall_and_clean(spark, make_docs, docs):
         assert (k, item) in own or item in base[k % 60]
 
 
+def test_decontamination_recall_of_each_size():
+    import numpy as np
+    rng = random.Random(4)
+    sizes = (15, 30, 60, 100, 200, 400)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [[word() for _ in range(m)] for m in sizes for _ in range(10)]
+    index = decontam.Index(list(range(len(items))), [" ".join(w) for w in items], decontam.DecontamParams())
+    planted = defaultdict(list)
+    for i, item in enumerate(items):
+        for _ in range(20):
+            w = list(item)
+            for _ in range(int(0.2 * len(item))):
+                at = rng.randrange(len(w))
+                w[at:at + rng.choice((0, 1))] = [] if rng.random() < 0.3 else ["qzx"]
+            text = " ".join([word() for _ in range(50)] + w + [word() for _ in range(50)])
+            planted[len(item)].append(i in {m[1] for m in index.matches([text])})
+    assert {m: np.mean(found) for m, found in planted.items() if np.mean(found) < 0.975} == {}
+
+
 def test_decontamination_in_blocks(spark):
     rows = {params: sorted(map(tuple, decontam.leaks(
         spark.read.parquet(f"{MID}/documents.parquet"), spark.read.parquet(f"{MID}/benchmark.parquet"),
