@@ -16,8 +16,7 @@ be one of an item of m words, and at most k words may be foreign to those items.
 
 Items are read in blocks of bounded size; each block is broadcast and passes over all
 documents. Defined results: null and empty texts match nothing; items of fewer than
-``min_words`` words match nothing (they would mark clean texts); equal items match
-each; a document's best window counts, the first of equals; repeated rows match each;
+``min_words`` words match only as they are (no edits); equal items match each; a document's best window counts, the first of equals; repeated rows match each;
 empty tables give an empty result.
 """
 
@@ -40,7 +39,7 @@ from carelake.llm.common import find, read_table, shingle_hashes, words_of
 @dataclass(frozen=True)
 class DecontamParams:
     max_edits: float = 0.2       # of an item's words
-    min_words: int = 8
+    min_words: int = 8           # of an item that may be edited
     run: int = 4                 # words of a run that is looked up
     places: int = 4              # of a walk that a table samples
     tables_per_walk: int = 4
@@ -101,7 +100,7 @@ class Index:
     def __init__(self, ids: list, texts: list[str], params: DecontamParams) -> None:
         self.params = params
         words = [words_of((t or "").lower()) for t in texts]
-        kept = [i for i, w in enumerate(words) if len(w) >= params.min_words]
+        kept = [i for i, w in enumerate(words) if w]
         self.ids = [ids[i] for i in kept]
         self.known = Known((w, max(2, xxhash.xxh64_intdigest(w))) for i in kept for w in words[i])
         self.items = [self.read(words[i]) for i in kept]
@@ -128,7 +127,7 @@ class Index:
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def edits(self, m: int) -> int:
-        return int(self.params.max_edits * m)
+        return int(self.params.max_edits * m) if m >= self.params.min_words else 0
 
     def run(self, m: int) -> int:
         return min(self.params.run, m // (self.edits(m) + 1))

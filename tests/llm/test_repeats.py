@@ -191,6 +191,15 @@ def test_decontamination_recall_of_each_size():
     assert {m: np.mean(found) for m, found in planted.items() if np.mean(found) < 0.975} == {}
 
 
+def test_short_items_match_as_they_are(spark, make_docs):
+    items = [(1, "alpha beta gamma delta epsilon"), (2, "one two three four five six seven"), (3, "zeta"), (4, ""), (5, "!"), (6, None)]
+    docs = make_docs([(1, "say Alpha beta, gamma delta epsilon here"), (2, "alpha beta gamma x epsilon"), (3, "one two three four five six seven"),
+                      (4, "one two three four five six eight"), (5, "a zeta b"), (6, "gamma delta"), (7, None)])
+    items = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r)[:4] for r in decontam.leaks(docs, items).collect()) == [(1, 1, 0, 5), (3, 2, 0, 7), (5, 3, 0, 1)]
+    assert sorted(r["doc_id"] for r in decontam.without_leaks(docs, items).collect()) == [2, 4, 6, 7]
+
+
 def test_decontamination_in_blocks(spark):
     rows = {params: sorted(map(tuple, decontam.leaks(
         spark.read.parquet(f"{MID}/documents.parquet"), spark.read.parquet(f"{MID}/benchmark.parquet"),
