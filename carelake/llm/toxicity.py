@@ -135,10 +135,11 @@ class Grammar:
         for hit in self.trigger.finditer(text):
             if hit.start() < done:
                 continue  # in a clause already read
-            ends = [m.end() for m in CLAUSE_END.finditer(text, max(done, hit.start() - 400), hit.start())]
-            begin = ends[-1] if ends else max(done, hit.start() - 400)
-            close = CLAUSE_END.search(text, hit.end(), hit.end() + 400)
-            done = close.start() if close else min(len(text), hit.end() + 400)
+            begin = done
+            for end in CLAUSE_END.finditer(text, done, hit.start()):
+                begin = end.end()
+            close = CLAUSE_END.search(text, hit.end())
+            done = close.start() if close else len(text)
             found = compose([self.word_class(w) for w in words_of(text[begin:done])])
             if found:
                 out[found[0]] += found[1]

@@ -196,6 +196,16 @@ def test_clause_grammar():
     assert g.score(None) == g.score("") == 0.5
 
 
+def test_clauses_are_read_whole():
+    g = toxicity.Grammar(exact=["fool"], weights={k: 1.0 for k in toxicity.KINDS}, intercept=0.0)
+    far = "word " * 2000
+    kinds = {f"not {far} a fool": "negated", f"someone said {far} fool": "reported", f"a fool {far} you": "aimed",
+             f"kill {far} you": "threat", f"not. {far} a fool": "plain", f"a fool {far}. you": "plain"}
+    for text, kind in kinds.items():
+        assert dict(g.features(text)).keys() == {kind}, text[:20]
+    assert g.features(f"a fool {far} fool {far} fool. fool")["plain"] == pytest.approx(3.0)
+
+
 def test_copies_do_not_make_insults():
     rng = random.Random(1)
     line = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(12))
