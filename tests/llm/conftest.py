@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOC = T.StructType([
@@ -13,7 +14,6 @@ def make_docs(spark):
         full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "s", len(r[1] or "")) for r in rows]
         df = spark.createDataFrame(full, DOC)
         if extra:
-            from pyspark.sql import functions as F
             for name in ("h", "size", "score", "tkey", "copies", "taken", "shard", "rank", "word", "c", "bucket"):
                 df = df.withColumn(name, F.lit("x"))
         return df
@@ -23,12 +23,16 @@ def make_docs(spark):
 @pytest.fixture
 def tables(spark, tmp_path, make_docs):
     """Write tables into a folder that a query can read; returns its path."""
-    def write(docs, labels=(), benchmark=(), conversations=(), extra=False):
+    def write(docs, labels=(), benchmark=(), conversations=(), extra=False, embeddings=()):
         make_docs(docs, extra).write.parquet(f"{tmp_path}/documents.parquet")
         spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
         spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-        spark.createDataFrame(list(conversations), "conv_id long, turn long, role string, text string").write.parquet(
-            f"{tmp_path}/conversations.parquet")
+        chats = spark.createDataFrame(list(conversations), "conv_id long, turn long, role string, text string")
+        vectors = spark.createDataFrame(list(embeddings), "vec_id long, embedding array<float>, label int")
+        for name, df in (("conversations", chats), ("embeddings", vectors)):
+            for c in ("path", "node", "n", "h", "code", "error", "v") if extra else ():
+                df = df.withColumn(c, F.lit("x"))
+            df.write.parquet(f"{tmp_path}/{name}.parquet")
         return str(tmp_path)
     return write
 
