@@ -101,14 +101,13 @@ def symptom_set(c: str = "symptoms"):
 def symptom_pairs(raw: DataFrame, n: int = 10) -> DataFrame:
     """Top pairs of distinct symptoms per row, ``a + b`` with a < b.
 
-    Pairs are generated inside the row from its sorted set, then counted with
-    partial aggregation; no join or grouping of rows is needed.
+    Two generators in a row make the pairs of the sorted set one by one (first symptom,
+    then those after it), so no array of pairs exists; counts are partially aggregated.
     """
-    # The sorted set is bound once (``let``) so the inner lambda reads it.
-    pairs = T.let(symptom_set(), lambda s: F.flatten(F.transform(
-        s, lambda a, i: F.transform(F.slice(s, i + 2, F.greatest(F.size(s), F.lit(1))),
-                                    lambda b: F.concat_ws(" + ", a, b)))))
-    return _top(raw.select(F.explode_outer(pairs).alias("pair")).filter(F.col("pair").isNotNull()), "pair", n)
+    firsts = raw.select(symptom_set().alias("s")).select("s", F.posexplode_outer("s").alias("i", "a"))
+    later = F.slice("s", F.col("i") + 2, F.greatest(F.size("s"), F.lit(1)))
+    pairs = firsts.select("a", F.explode_outer(later).alias("b")).filter(F.col("b").isNotNull())
+    return _top(pairs.select(F.concat_ws(" + ", "a", "b").alias("pair")), "pair", n)
 
 
 def age_by_diagnosis_raw(raw: DataFrame) -> DataFrame:

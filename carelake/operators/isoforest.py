@@ -1,17 +1,16 @@
 """Isolation forest on feature arrays.
 
-Fit: each tree draws at most ``max_samples`` rows by a per-(tree, row) hash;
-rows first pass a Bernoulli pre-filter sized so every tree sees about four
-times ``max_samples`` candidates, then the exact ``max_samples`` smallest
-hashes per tree are kept (a per-tree group of ~1,000 rows). Each tree is
-grown in one ``applyInPandas`` group with numpy and emitted as a node table.
+Fit: one hash a row picks a pool of about twice ``n_trees * max_samples`` rows (all, if
+there are fewer); within the pool each tree keeps the ``max_samples`` rows with the
+smallest hash of (tree, row). Each tree is grown in one ``applyInPandas`` group with numpy
+and emitted as a node table.
 
 Score: the node table holds at most ``n_trees * (2 * max_samples - 1)`` rows,
 a bound fixed by the parameters, so it is shipped to the executors inside a
 vectorised ``pandas_udf`` that walks all trees for a whole Arrow batch.
 score = -2^(-E[h(x)] / c(max_samples)); decision = score - offset, where the
-offset is the ``contamination`` quantile of training scores; anomaly iff
-decision < 0.
+offset is the exact ``contamination`` quantile of training scores (between two
+scores linear); anomaly iff decision < 0.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
-from carelake.operators.sampling import hash01
+from carelake.operators.sampling import exact_quantile, hash01
 from carelake.session import written
 
 EULER = 0.5772156649015329
@@ -72,26 +71,28 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 
 
 def _samples(ids: DataFrame, id_col: str, n: int, n_trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, id): for each tree the ``sample`` rows with the smallest hash.
+    """(tree, id): for each tree the ``sample`` rows of the pool with the smallest hash.
 
-    Only ids are ranked, and of those a share by another hash that holds enough of
-    them; a tree that got too few (which is checked) makes the share larger.
+    A table row costs one hash; only the pool, whose size is set by the parameters, is
+    hashed for each tree. A tree that got too few rows (which is checked) makes the shares larger.
     """
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    share = min(1.0, 4.0 * sample / max(n, 1))
+    wide, narrow = min(1.0, 2.0 * n_trees * sample / max(n, 1)), 4.0 * sample
     while True:
+        pool = written(ids.select(id_col).where(hash01(seed, "iso-pool", F.col(id_col)) < wide), "iso-pool")
+        share = min(1.0, narrow / max(pool.count(), 1))
+        unit = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col(id_col)), 11) / F.lit(float(1 << 53))
         # explode_outer + null filter (a plain explode would make the optimizer
         # re-evaluate the hashes in an inferred size() > 0 filter).
-        cand = (ids.select(id_col, F.explode_outer(F.filter(
-                    trees, lambda t: hash01(seed, "iso-pick", t, F.col(id_col)) < share)).alias("tree"))
-                .filter(F.col("tree").isNotNull())
-                .withColumn("_h", hash01(seed, "iso-rank", F.col("tree"), F.col(id_col))))
+        cand = (pool.select(id_col, F.explode_outer(F.filter(F.transform(trees, lambda t: F.struct(t.alias("tree"), unit(t).alias("h"))),
+                                                             lambda e: e["h"] < share)).alias("e"))
+                .where("e is not null").select(id_col, "e.tree", F.col("e.h").alias("_h")))
         w = Window.partitionBy("tree").orderBy("_h", id_col)
         picked = written(cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample)
                          .select("tree", id_col), "iso-samples")
-        if share >= 1.0 or picked.count() == n_trees * sample:
+        if (wide >= 1.0 and share >= 1.0) or picked.count() == n_trees * sample:
             return picked
-        share = min(1.0, 4 * share)
+        wide, narrow = min(1.0, 4 * wide), 4 * narrow
 
 
 def fit(df: DataFrame, features: str, id_col: str, n_trees: int = 120, max_samples: int = 256,
@@ -168,9 +169,8 @@ def score_column(forest: Forest, features: str):
 
 
 def fit_offset(scored: DataFrame, score_col: str, contamination: float = 0.02) -> float:
-    """Offset = contamination quantile of training scores (bounded-memory sketch)."""
-    q = scored.agg(F.percentile_approx(score_col, contamination, 100000)).first()[0]
-    return float(q)
+    """Offset = exact contamination quantile of training scores."""
+    return exact_quantile(written(scored.select(score_col), "iso-scores"), score_col, contamination)
 
 
 def anomaly_columns(df: DataFrame, forest: Forest, features: str) -> DataFrame:

@@ -62,6 +62,13 @@ def _edge(counts: DataFrame, need: DataFrame, keys: list[str], cell: str) -> Dat
             .select(*keys, F.col("_e.cell").alias("_cell"), F.col("_e.left").alias("_need")))
 
 
+def one_a_key(df: DataFrame, name: str, rows: int = 10_000) -> DataFrame:
+    """A table with one row a key: broadcast if it has no more rows than that (which is looked at), so that
+    large sides need not move; else written, for a shuffled join."""
+    got = df.take(rows + 1)
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= rows else written(df, name)
+
+
 Wanted = int | dict[tuple, int] | Callable[[Column], Column]
 
 
@@ -85,20 +92,21 @@ def cuts(work: DataFrame, h: str, tie: str, k: Wanted, keys: list[str]) -> DataF
 
     Hash values are counted in 2^16 buckets, then the values of the boundary
     bucket, and only rows that share the boundary value are ranked. Nothing is
-    collected, so the number of keys is not bounded.
+    collected, so the number of keys is not bounded. ``work`` is read three times: a
+    written table, narrow (keys, hash, tie) where the rows are wide.
     """
     bucket = (F.col(h) / 65536).cast("long")
     coarse = work.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     need = (coarse.groupBy(*keys).agg(F.sum("_n").alias("_total"))
             .withColumn("_need", F.least(_wanted(k, keys).cast("long"), F.col("_total"))).drop("_total"))
-    first = _edge(coarse, need, keys, "_b")
+    first = one_a_key(_edge(coarse, need, keys, "_b"), "cut-cells")
     inside = work.join(first, keys).where(bucket == F.col("_cell"))
-    second = _edge(inside.groupBy(*keys, F.col(h).alias("_b")).agg(F.count(F.lit(1)).alias("_n")),
-                   first.select(*keys, "_need"), keys, "_b")
+    second = one_a_key(_edge(inside.groupBy(*keys, F.col(h).alias("_b")).agg(F.count(F.lit(1)).alias("_n")),
+                             first.select(*keys, "_need"), keys, "_b"), "cut-values")
     ranked = work.join(second, keys).where(F.col(h) == F.col("_cell")).withColumn(
         "_r", F.row_number().over(Window.partitionBy(*keys).orderBy(tie)))
-    return (ranked.where(F.col("_r") <= F.col("_need")).groupBy(*keys)
-            .agg(F.max("_cell").alias("_cut_h"), F.max(tie).alias("_cut_tie")))
+    return one_a_key(ranked.where(F.col("_r") <= F.col("_need")).groupBy(*keys)
+                     .agg(F.max("_cell").alias("_cut_h"), F.max(tie).alias("_cut_tie")), "cuts")
 
 
 def k_smallest(df: DataFrame, h: str, tie: str, k: Wanted, keys: list[str] | None = None,
@@ -106,16 +114,50 @@ def k_smallest(df: DataFrame, h: str, tie: str, k: Wanted, keys: list[str] | Non
     """Flag, per key, the ``k`` rows with the smallest (h, tie); h in [0, 2^32), ``tie`` unique per row.
 
     ``k`` is a number, a number by key, or a function of the key's row count. The input is written
-    once to the shared folder, so the passes read it instead of recomputing it.
+    once to the shared folder, so the passes read it instead of recomputing it; they read its
+    keys, hash and tie only.
     """
     work = written(df if keys else df.withColumn("_one", F.lit(1)), "k-smallest")
     kcols = list(keys or ["_one"])
-    out = work.join(cuts(work, h, tie, k, kcols), kcols, "left")
+    out = work.join(cuts(work.select(*kcols, h, tie), h, tie, k, kcols), kcols, "left")
     below = (F.col(h) < F.col("_cut_h")) | ((F.col(h) == F.col("_cut_h")) & (F.col(tie) <= F.col("_cut_tie")))
     out = out.withColumn(flag, F.coalesce(below, F.lit(False))).drop("_cut_h", "_cut_tie")
     return out if keys else out.drop("_one")
 
 
+# --------------------------------------------------------------- quantiles
+def order_statistic(df: DataFrame, col: str, rank: int, cells: int = 4096, few: int = 4096) -> float:
+    """The value with ``rank`` smaller ones before it (0: the least), by refining a histogram.
+
+    Each pass counts the values of the current range in ``cells`` equal parts and goes on
+    with the part that holds the rank, until that part has one value or few rows. Only
+    counts and at most ``few`` values reach the driver.
+    """
+    low, high = df.agg(F.min(col), F.max(col)).first()
+    inside, before = df.where(F.col(col).isNotNull()), 0
+    while low < high:
+        cell = F.least(F.floor((F.col(col) - F.lit(low)) / F.lit(high - low) * cells), F.lit(cells - 1))
+        found = sorted(inside.where((F.col(col) >= low) & (F.col(col) <= high)).groupBy(cell.alias("c")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(col).alias("low"), F.max(col).alias("high")).collect())
+        for _, n, low, high in found:
+            if before + n > rank:
+                break
+            before += n
+        if low < high and n <= few:
+            values = inside.where((F.col(col) >= low) & (F.col(col) <= high)).select(col).collect()
+            return float(sorted(r[0] for r in values)[rank - before])
+    return float(low)
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> float:
+    """The q-quantile of the values (linear between neighbours). ``df`` is read several times: a written table."""
+    n = df.agg(F.count(col)).first()[0]
+    at = q * (n - 1)
+    low = int(at)
+    first = order_statistic(df, col, low)
+    return first if at == low else first + (at - low) * (order_statistic(df, col, low + 1) - first)
+
+
 # ---------------------------------------------------------------- M02
 def label_noise(df: DataFrame, label: str, id_col: str, classes: list[str],
                 pct: float = K.LABEL_NOISE_PCT, seed: int = K.SEED, out: str = "label_noisy",
@@ -153,7 +195,7 @@ def folds(df: DataFrame, label: str, id_col: str, n_folds: int = 3, seed: int =
     fold = F.lit(0)
     rows = work
     for f in range(1, n_folds):
-        cut = cuts(work, "_h", tie, lambda n, f=f: F.ceil(n * f / n_folds), [label])
+        cut = cuts(work.select(label, "_h", tie), "_h", tie, lambda n, f=f: F.ceil(n * f / n_folds), [label])
         rows = rows.join(cut.withColumnsRenamed({"_cut_h": f"_h{f}", "_cut_tie": f"_t{f}"}), label, "left")
         past = (F.col("_h") > F.col(f"_h{f}")) | ((F.col("_h") == F.col(f"_h{f}")) & (F.col(tie) > F.col(f"_t{f}")))
         fold = fold + F.when(past, 1).otherwise(0)

@@ -1,7 +1,8 @@
 """Registered queries: forests, isolation forest and cohort jobs (checked by rows and tests).
 
-The training run (120 trees, cross-validation) is done once per session and data
-folder and shared by the queries of this module; ``forget`` releases it.
+All queries of a data folder share one training run, whose products are kept in its store
+(``plans.runs``): a query makes what is missing and reads the rest, in this session or a
+later one.
 """
 
 from __future__ import annotations
@@ -20,24 +21,16 @@ from carelake.sources.fixture import encounters_raw
 _CACHE: dict = {}
 
 
-def trained(spark, d) -> TR.TrainResult:
-    """The training run's models and figures; cross-validation follows when a query first asks for it."""
+def trained(spark, d) -> TR.TrainRun:
+    """The training run of a data folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _CACHE:
-        _CACHE[key] = TR.train(encounters_raw(spark, d, with_copy=True), TR.TrainParams(run_cv=False))
+        _CACHE[key] = TR.TrainRun(encounters_raw(spark, d, with_copy=True))
     return _CACHE[key]
 
 
-def validated(spark, d) -> TR.TrainResult:
-    """The same run with its cross-validation figures."""
-    return TR.cross_validate(trained(spark, d))
-
-
 def forget() -> None:
-    """Release the frames that the shared run keeps."""
-    for run in _CACHE.values():
-        run.rows.unpersist()
-        run.iso_nodes.unpersist()
+    """Forget the runs of this session; their products stay in the store."""
     _CACHE.clear()
 
 
@@ -54,8 +47,7 @@ def m07(spark, d):
 @register("m08_cross_validation")
 def m08(spark, d):
     """3-fold accuracy of both forests (W04 folds), per fold."""
-    t = validated(spark, d)
-    return t.cv_disease.withColumn("model", F.lit("disease")).unionByName(t.cv_risk.withColumn("model", F.lit("risk")))
+    return trained(spark, d).cv
 
 
 @register("m09_disease_predictions")

@@ -158,7 +158,8 @@ def m01(spark, d):
     + h32("'42'", "'alt'", "CAST(encounter_id AS VARCHAR)") + " % 2) + 1] ELSE risk_level END AS label_noisy "
     "FROM mrisk", MODEL_ROWS_CTE))
 def m02(spark, d):
-    return SM.label_noise(model_rows(spark, d), "risk_level", "encounter_id", K.RISK_CLASSES, tie_col="row_key") \
+    rows = model_rows(spark, d).select("encounter_id", "row_key", "risk_level")
+    return SM.label_noise(rows, "risk_level", "encounter_id", K.RISK_CLASSES, tie_col="row_key") \
         .select("encounter_id", "risk_level", "label_noisy")
 
 
@@ -167,7 +168,8 @@ def m02(spark, d):
     + h32("'42'", "'split'", "CAST(encounter_id AS VARCHAR)") + ", encounter_id) <= "
     "floor(count(*) OVER (PARTITION BY diagnosis) * 0.2 + 0.5) AS is_test FROM mrows", MODEL_ROWS_CTE))
 def w03(spark, d):
-    return SM.split_exact(model_rows(spark, d), "diagnosis", "encounter_id", tie_col="row_key") \
+    rows = model_rows(spark, d).select("encounter_id", "row_key", "diagnosis")
+    return SM.split_exact(rows, "diagnosis", "encounter_id", tie_col="row_key") \
         .select("encounter_id", "diagnosis", "is_test")
 
 
@@ -176,7 +178,8 @@ def w03(spark, d):
     + h32("'42'", "'fold'", "CAST(encounter_id AS VARCHAR)") + ", encounter_id) - 1) * 3.0 "
     "/ count(*) OVER (PARTITION BY diagnosis)) AS INTEGER) AS fold FROM mrows", MODEL_ROWS_CTE))
 def w04(spark, d):
-    return SM.folds(model_rows(spark, d), "diagnosis", "encounter_id", tie_col="row_key") \
+    rows = model_rows(spark, d).select("encounter_id", "row_key", "diagnosis")
+    return SM.folds(rows, "diagnosis", "encounter_id", tie_col="row_key") \
         .select("encounter_id", "diagnosis", "fold")
 
 

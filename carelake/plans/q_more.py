@@ -126,10 +126,10 @@ def s09(spark, d):
 
 @register("s13_metrics_json")
 def s13(spark, d):
-    from carelake.plans.q_jobs import validated
+    from carelake.plans.q_jobs import trained
     from carelake.plans.training import metrics_frame
     path = run_dir(spark, "metrics")
-    FS.write_metrics_json(metrics_frame(spark, validated(spark, d).metrics), path)
+    FS.write_metrics_json(metrics_frame(spark, trained(spark, d).record), path)
     return spark.read.json(path)
 
 
@@ -216,21 +216,26 @@ def u02(spark, d):
     return IM.label_map(R.image_manifest(spark, d)).select("page_id", "dataset", "class", "target_split")
 
 
-@register("m04_feature_vectors")
+@register("m04_feature_vectors", O.with_fixture(
+    "SELECT CAST(encounter_id AS BIGINT) AS encounter_id, term AS feature, round_even(weight, 6) AS value FROM wn UNION ALL "
+    "SELECT encounter_id, 'age', CAST(age AS DOUBLE) FROM mdocs WHERE age <> 0 UNION ALL SELECT encounter_id, 'gender_enc', "
+    "CAST(CASE gender WHEN 'Male' THEN 1 WHEN 'Female' THEN 0 ELSE 2 END AS DOUBLE) FROM mdocs WHERE gender <> 'Female'",
+    QM.MODEL_ROWS_CTE + ", " + QM.DROPOUT_CTE + ", " + QM.TFIDF_CTES))
 def m04(spark, d):
+    """What the (sparse) feature vectors hold, one row an entry that is not zero."""
     from carelake.operators import models as M
-    from carelake.plans.q_jobs import trained
-    t = trained(spark, d)
-    f = M.featurize(t.rows, t.disease.text, "symptoms_train")
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array("features")
-    return f.select("row_key", F.size(arr).alias("n_features"), F.get(arr, F.size(arr) - 2).alias("age"),
-                    F.get(arr, F.size(arr) - 1).alias("gender_enc"))
+    from carelake.operators import tfidf as TF
+    from carelake.session import written
+    rows = written(QM.train_docs(spark, d).withColumnRenamed("symptoms_train", "model_text"), "feature-rows")
+    weights = TF.TermWeights.of(TF.fit_vocabularies(rows, "model_text", {"all": F.lit(True)})["all"])
+    names = F.array(*[F.lit(n) for n in [*weights.getOrDefault("terms"), "age", "gender_enc"]])
+    values = M.featurize(rows, weights).select("encounter_id", F.posexplode_outer(M.vector_to_array("features")).alias("i", "value"))
+    return values.where("value <> 0").select("encounter_id", F.get(names, F.col("i")).alias("feature"), F.bround("value", 6).alias("value"))
 
 
 @register("m18_training_run")
 def m18(spark, d):
     """The training run's whole record, cross-validation included."""
-    from carelake.plans.q_jobs import validated
+    from carelake.plans.q_jobs import trained
     from carelake.plans.training import metrics_frame
-    return metrics_frame(spark, validated(spark, d).metrics)
+    return metrics_frame(spark, trained(spark, d).record)

@@ -1,21 +1,24 @@
 """The training run as one driver program over Spark jobs.
 
-prepare (M01, P06, P08, P16, P17) -> disease forest (W03 split, M03, M05, M06)
--> risk forest with label noise (M02, M07) -> cross-validation (W04, M08)
--> isolation forest (M12) and its offset -> metrics record (A26, A27, A30, S13)
+prepare (M01, P06, P08, P16, P17) -> label noise (M02), splits (W03) and folds (W04)
+-> vocabularies of both models and of every fold in one pass (M03) -> one written
+feature table -> disease and risk forest (M05-M07) and the folds' forests (M08), several
+at a time -> isolation forest (M12) and its offset -> metrics record (A26, A27, A30, S13)
 -> model bundle (S14).
 
-The prepared rows are persisted (memory and disk) because every stage reads
-them; a lost executor recomputes its blocks from lineage.
+Every stage's product goes to a ``RunStore``: a run that was killed goes on after its last
+whole product, and sessions that share the folder share the products. Cross-validation
+needs neither the final forests nor the isolation forest.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,11 @@ from carelake.operators import features as FE
 from carelake.operators import isoforest as ISO
 from carelake.operators import models as M
 from carelake.operators import sampling as SM
+from carelake.operators import tfidf as TF
+from carelake.plans.runs import RunStore, input_version
 
 
-@dataclass
+@dataclass(frozen=True)
 class TrainParams:
     n_trees: int = 120
     disease_depth: int = 10
@@ -35,82 +40,206 @@ class TrainParams:
     risk_depth: int = 8
     risk_min_leaf: int = 10
     folds: int = 3
-    run_cv: bool = True
     iso_trees: int = 120
     iso_samples: int = 256
     contamination: float = 0.02
-    fit_text_on_all_rows: bool = False   # the reference fits TF-IDF before the split (a leak)
-
-
-@dataclass
-class TrainResult:
-    rows: DataFrame
-    disease: M.Classifier
-    risk: M.Classifier
-    disease_test: DataFrame
-    risk_test: DataFrame
-    disease_report: DataFrame
-    risk_report: DataFrame
-    cv_disease: DataFrame | None
-    cv_risk: DataFrame | None
-    iso_nodes: DataFrame
-    forest: ISO.Forest
-    metrics: dict = field(default_factory=dict)
-    params: TrainParams = field(default_factory=TrainParams)
-
-
-def prepare(raw: DataFrame) -> DataFrame:
-    return M.training_rows(FE.model_rows(raw)).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def train(raw: DataFrame, params: TrainParams | None = None) -> TrainResult:
-    p = params or TrainParams()
-    rows = prepare(raw)
-    text_col = "symptoms_train"
-
-    # Disease forest.
-    split_d = SM.split_exact(rows, "diagnosis", "encounter_id", tie_col="row_key")
-    train_d, test_d = split_d.filter(~F.col("is_test")), split_d.filter("is_test")
-    text_d = M.fit_text(rows if p.fit_text_on_all_rows else train_d, text_col)
-    disease = M.fit_classifier(train_d, "diagnosis", text_d, text_col, p.n_trees, p.disease_depth, p.disease_min_leaf)
-    pred_d = M.predict(disease, test_d, text_col)
-    rep_d = EV.classification_report(M.pairs(pred_d, "diagnosis"))
-
-    # Risk forest on noisy labels (train and test both carry the noise, K23).
-    noisy = SM.label_noise(rows, "risk_level", "encounter_id", K.RISK_CLASSES, tie_col="row_key")
-    split_r = SM.split_exact(noisy, "label_noisy", "encounter_id", tie_col="row_key")
-    train_r, test_r = split_r.filter(~F.col("is_test")), split_r.filter("is_test")
-    text_r = M.fit_text(noisy if p.fit_text_on_all_rows else train_r, text_col)
-    risk = M.fit_classifier(train_r, "label_noisy", text_r, text_col, p.n_trees, p.risk_depth, p.risk_min_leaf)
-    pred_r = M.risk_outputs(M.predict(risk, test_r, text_col))
-    rep_r = EV.classification_report(pred_r.select(F.col("label_noisy").alias("y_true"),
-                                                   F.col("risk_level_pred").alias("y_pred")))
-
-    # Isolation forest on the disease features of every row.
-    feats = M.featurize(rows, text_d, text_col, keep_array=True)
-    nodes = ISO.fit(feats, "feature_array", "row_key", p.iso_trees, p.iso_samples)
-    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
-    forest = ISO.load_forest(nodes, min(p.iso_samples, rows.count()))
-    train_scores = feats.select(ISO.score_column(forest, "feature_array").alias("s"))
-    forest.offset = ISO.fit_offset(train_scores, "s", p.contamination)
-
-    res = TrainResult(rows, disease, risk, pred_d, pred_r, rep_d, rep_r, None, None, nodes, forest, params=p)
-    res.metrics = metrics_record(res, rows)
-    return cross_validate(res) if p.run_cv else res
-
-
-def cross_validate(res: TrainResult) -> TrainResult:
-    """M08 of both forests, once; adds the figures to the record."""
-    if res.cv_disease is None:
-        p, text_col = res.params, "symptoms_train"
-        noisy = SM.label_noise(res.rows, "risk_level", "encounter_id", K.RISK_CLASSES, tie_col="row_key")
-        res.cv_disease = M.cv_accuracy(res.rows, "diagnosis", text_col, p.folds, p.n_trees, p.disease_depth, p.disease_min_leaf)
-        res.cv_risk = M.cv_accuracy(noisy, "label_noisy", text_col, p.folds, p.n_trees, p.risk_depth, p.risk_min_leaf)
-        for name, cv in (("disease", res.cv_disease), ("risk", res.cv_risk)):
-            s = M.cv_summary(cv).first()
-            res.metrics[f"{name}_cv_accuracy_mean"] = float(s[0])
-            res.metrics[f"{name}_cv_accuracy_std"] = float(s[1])
-    return res
+    fit_text_on_all_rows: bool = False   # the reference fits TF-IDF before split and folds (a leak)
+    at_once: int = 6                     # forests that train at the same time
+
+    def forest(self, name: str) -> M.ForestParams:
+        return M.ForestParams(self.n_trees, self.disease_depth if name == "disease" else self.risk_depth,
+                              self.disease_min_leaf if name == "disease" else self.risk_min_leaf)
+
+
+LABELS = {"disease": "diagnosis", "risk": "label_noisy"}
+
+
+class TrainRun:
+    """The stages of one run, each made when it is first asked for and kept in the store."""
+
+    def __init__(self, raw: DataFrame, params: TrainParams | None = None, store: RunStore | None = None) -> None:
+        self.raw, self.params = raw, params or TrainParams()
+        self.store = store or RunStore(raw.sparkSession, input_version(raw), json.dumps(asdict(self.params), sort_keys=True))
+
+    # ------------------------------------------------------------- rows
+    @cached_property
+    def rows(self) -> DataFrame:
+        """Model rows with the dropout text."""
+        return self.store.table("rows", lambda: M.training_rows(FE.model_rows(self.raw)).withColumnRenamed("symptoms_train", "model_text"))
+
+    @cached_property
+    def tagged(self) -> DataFrame:
+        """Rows with noisy label, test flag of each model and fold of each model."""
+        def build() -> DataFrame:
+            # Tags are made on the columns that they depend on, both models' at the same time.
+            narrow = self.rows.select("row_key", "encounter_id", "diagnosis", "risk_level")
+
+            def tags(name: str) -> DataFrame:
+                d, label = narrow, LABELS[name]
+                if name == "risk":
+                    d = SM.label_noise(d, "risk_level", "encounter_id", K.RISK_CLASSES, tie_col="row_key")
+                d = SM.split_exact(d.select("row_key", "encounter_id", label), label, "encounter_id", tie_col="row_key")
+                d = SM.folds(d.withColumnRenamed("is_test", f"test_{name}"), label, "encounter_id", self.params.folds, tie_col="row_key", out=f"fold_{name}")
+                return d.select("row_key", f"test_{name}", f"fold_{name}", *(["label_noisy"] if name == "risk" else []))
+
+            disease, risk = M.in_threads([lambda: tags("disease"), lambda: tags("risk")], 2)
+            return self.rows.join(disease, "row_key").join(risk, "row_key")
+        return self.store.table("tagged", build)
+
+    def _subsets(self) -> dict:
+        """The training rows of each forest."""
+        out = {name: ~F.col(f"test_{name}") for name in LABELS}
+        return out | {f"{name}_{f}": F.col(f"fold_{name}") != f for name in LABELS for f in range(self.params.folds)}
+
+    @cached_property
+    def vocabularies(self) -> dict[str, TF.TermWeights]:
+        def build() -> dict:
+            subsets = {k: F.lit(True) if self.params.fit_text_on_all_rows else c for k, c in self._subsets().items()}
+            return TF.fit_vocabularies(self.tagged, "model_text", subsets)
+        return {k: TF.TermWeights.of(v) for k, v in self.store.record("vocabularies", build).items()}
+
+    @cached_property
+    def classes(self) -> dict[str, M.Classes]:
+        def build() -> dict:
+            got = {}
+            for name, label in LABELS.items():
+                got |= M.classes_of(self.tagged, label, {k: c for k, c in self._subsets().items() if k.split("_")[0] == name})
+            return {k: [c.labels, c.counts] for k, c in got.items()}
+        return {k: M.Classes(*v) for k, v in self.store.record("classes", build).items()}
+
+    @cached_property
+    def features(self) -> DataFrame:
+        """The tagged rows with the (sparse) features of every forest: written once, each forest reads its column."""
+        def build() -> DataFrame:
+            d = TF.with_term_counts(_spread(self.tagged), "model_text", TF.COUNTS)
+            for k, weights in self.vocabularies.items():
+                d = M.featurize(d, weights, out=f"features_{k}")
+            return d.drop(TF.COUNTS, "symptoms_clean", "model_text")
+        return self.store.table("features", build)
+
+    def _shared(self) -> tuple:
+        """What threads have in common is made before they start."""
+        return self.features, self.classes, self.vocabularies, self.n_rows
+
+    # ----------------------------------------------------------- forests
+    def _model(self, name: str) -> PipelineModel:
+        def build() -> PipelineModel:
+            train = self.features.where(~F.col(f"test_{name}"))
+            forest = M.fit_forest(train, LABELS[name], self.classes[name], self.params.forest(name), f"features_{name}")
+            return M.classifier(self.vocabularies[name], forest, self.classes[name])
+        return self.store.model(f"model_{name}", build)
+
+    @cached_property
+    def disease(self) -> PipelineModel:
+        return self._model("disease")
+
+    @cached_property
+    def risk(self) -> PipelineModel:
+        return self._model("risk")
+
+    def _test_rows(self, name: str) -> DataFrame:
+        return self.tagged.where(f"test_{name}").withColumnRenamed("model_text", "symptoms_train")
+
+    @cached_property
+    def disease_test(self) -> DataFrame:
+        return self.store.table("disease_test", lambda: M.predict(self.disease, self._test_rows("disease"), "symptoms_train"))
+
+    @cached_property
+    def risk_test(self) -> DataFrame:
+        return self.store.table("risk_test", lambda: M.risk_outputs(M.predict(self.risk, self._test_rows("risk"), "symptoms_train")))
+
+    @cached_property
+    def disease_report(self) -> DataFrame:
+        return EV.classification_report(M.pairs(self.disease_test, "diagnosis"))
+
+    @cached_property
+    def risk_report(self) -> DataFrame:
+        return EV.classification_report(self.risk_test.select(F.col("label_noisy").alias("y_true"), F.col("risk_level_pred").alias("y_pred")))
+
+    # ------------------------------------------------------------- folds
+    def _folds(self) -> list[M.Fold]:
+        return [M.Fold(f"{name}_{f}", label, f"fold_{name}", f, f"features_{name}_{f}", self.params.forest(name))
+                for name, label in LABELS.items() for f in range(self.params.folds)]
+
+    @cached_property
+    def cv(self) -> DataFrame:
+        """(model, fold, accuracy). Folds train at the same time, and each one's figure is kept by itself."""
+        spark, folds = self.raw.sparkSession, self._folds()
+        table, classes = self.features, self.classes
+        got = M.in_threads([lambda f=f: self.store.record(f"cv_{f.name}", lambda: {"accuracy": M.fold_accuracy(table, f, classes[f.name])})
+                            for f in folds], self.params.at_once)
+        return spark.createDataFrame([(f.name.split("_")[0], f.fold, r["accuracy"]) for f, r in zip(folds, got)],
+                                     "model string, fold int, accuracy double")
+
+    # -------------------------------------------------- isolation forest
+    def feature_arrays(self) -> DataFrame:
+        return self.features.select("row_key", M.vector_to_array("features_disease").alias("feature_array"))
+
+    @cached_property
+    def iso_nodes(self) -> DataFrame:
+        p = self.params
+        return self.store.table("iso_nodes", lambda: ISO.fit(self.feature_arrays(), "feature_array", "row_key", p.iso_trees, p.iso_samples))
+
+    @cached_property
+    def forest(self) -> ISO.Forest:
+        p = self.params
+        forest = ISO.load_forest(self.iso_nodes, min(p.iso_samples, self.n_rows))
+        def build() -> dict:
+            scores = self.feature_arrays().select(ISO.score_column(forest, "feature_array").alias("s"))
+            return {"offset": ISO.fit_offset(scores, "s", p.contamination)}
+        forest.offset = self.store.record("iso_offset", build)["offset"]
+        return forest
+
+    # ------------------------------------------------------------ record
+    @cached_property
+    def n_rows(self) -> int:
+        return self.tagged.count()
+
+    @cached_property
+    def metrics(self) -> dict:
+        """A26, A27, A30 and model figures as one record (S13 shape), without cross-validation."""
+        def build() -> dict:
+            # Both forests and the isolation forest at the same time; then what is made of them.
+            self._shared()
+            M.in_threads([lambda: self.disease_test, lambda: self.risk_test, lambda: self.forest], self.params.at_once)
+            acc_d, f1_d = _acc_f1(self.disease_report)
+            acc_r, f1_r = _acc_f1(self.risk_report)
+            return {
+                "disease_accuracy": acc_d, "disease_f1_weighted": f1_d,
+                "risk_accuracy": acc_r, "risk_f1_weighted": f1_r,
+                "n_samples": self.n_rows,
+                "disease_classes": self.classes["disease"].labels, "risk_classes": self.classes["risk"].labels,
+                "disease_distribution": {r[0]: r[1] for r in EV.label_counts(self.tagged, "diagnosis").collect()},
+                "risk_distribution": {r[0]: r[1] for r in EV.label_counts(self.tagged, "risk_level").collect()},
+                "trained_at": dt.datetime.now(dt.timezone.utc).replace(microsecond=0).isoformat(),
+                "features_used": ["symptoms_tfidf", "age", "gender_enc"],
+                "symptom_dropout_keep_prob": K.SYMPTOM_KEEP_PROB,
+                "risk_label_noise_pct": K.LABEL_NOISE_PCT,
+                "anomaly_offset": self.forest.offset,
+            }
+        return self.store.record("metrics", build)
+
+    @cached_property
+    def record(self) -> dict:
+        """The whole record: the metrics and the cross-validation figures, made at the same time."""
+        self._shared()
+        metrics, cv = M.in_threads([lambda: self.metrics, lambda: self.cv], 2)
+        out = dict(metrics)
+        for r in M.cv_summary(cv).collect():
+            out[f"{r['model']}_cv_accuracy_mean"], out[f"{r['model']}_cv_accuracy_std"] = r["cv_accuracy_mean"], r["cv_accuracy_std"]
+        return out
+
+
+def train(raw: DataFrame, params: TrainParams | None = None, store: RunStore | None = None) -> TrainRun:
+    run = TrainRun(raw, params, store)
+    assert run.metrics
+    return run
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; one with enough partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _acc_f1(rep: DataFrame) -> tuple[float, float]:
@@ -118,57 +247,24 @@ def _acc_f1(rep: DataFrame) -> tuple[float, float]:
     return float(r["accuracy"]["precision"]), float(r["weighted avg"]["f1"])
 
 
-def metrics_record(res: TrainResult, rows: DataFrame) -> dict:
-    """A26, A27, A30 and model figures as one record (S13 shape)."""
-    acc_d, f1_d = _acc_f1(res.disease_report)
-    acc_r, f1_r = _acc_f1(res.risk_report)
-    rec = {
-        "disease_accuracy": acc_d, "disease_f1_weighted": f1_d,
-        "risk_accuracy": acc_r, "risk_f1_weighted": f1_r,
-        "n_samples": rows.count(),
-        "disease_classes": res.disease.classes, "risk_classes": res.risk.classes,
-        "disease_distribution": {r[0]: r[1] for r in EV.label_counts(rows, "diagnosis").collect()},
-        "risk_distribution": {r[0]: r[1] for r in EV.label_counts(rows, "risk_level").collect()},
-        "trained_at": dt.datetime.now(dt.timezone.utc).replace(microsecond=0).isoformat(),
-        "features_used": ["symptoms_tfidf", "age", "gender_enc"],
-        "symptom_dropout_keep_prob": K.SYMPTOM_KEEP_PROB,
-        "risk_label_noise_pct": K.LABEL_NOISE_PCT,
-        "anomaly_offset": res.forest.offset,
-    }
-    return rec
-
-
 def metrics_frame(spark, rec: dict) -> DataFrame:
     """The record as a one-row frame (lists and maps as JSON text)."""
     flat = {k: (json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else v) for k, v in rec.items()}
     return spark.createDataFrame([flat])
 
 
-def save_bundle(res: TrainResult, path: str) -> None:
-    """Forests and indexers as Spark ML models, vocabularies and forest nodes as parquet."""
-    for name, m in (("disease", res.disease), ("risk", res.risk)):
-        m.forest.write().overwrite().save(f"{path}/{name}_forest")
-        m.indexer.write().overwrite().save(f"{path}/{name}_indexer")
-        m.text.vocab.write.mode("overwrite").parquet(f"{path}/{name}_vocab")
-    res.iso_nodes.write.mode("overwrite").parquet(f"{path}/iso_nodes")
-    spark = res.rows.sparkSession
-    metrics_frame(spark, res.metrics).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
+def save_bundle(run: TrainRun, path: str) -> None:
+    """Both pipelines as Spark ML models, the isolation forest's nodes as parquet, the record as JSON."""
+    for name, m in (("disease", run.disease), ("risk", run.risk)):
+        m.write().overwrite().save(f"{path}/{name}")
+    run.iso_nodes.write.mode("overwrite").parquet(f"{path}/iso_nodes")
+    metrics_frame(run.raw.sparkSession, run.metrics).coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
 def load_bundle(spark, path: str, iso_samples: int | None = None):
     """S14 load: returns (disease, risk, forest, metrics dict)."""
-    from pyspark.ml.classification import RandomForestClassificationModel
-    from pyspark.ml.feature import StringIndexerModel
-
-    from carelake.operators import tfidf as TF
-    out = []
-    for name in ("disease", "risk"):
-        vocab = spark.read.parquet(f"{path}/{name}_vocab")
-        cv, idf = TF.vectorizer(spark, vocab)
-        out.append(M.Classifier(M.TextModel(vocab, cv, idf), StringIndexerModel.load(f"{path}/{name}_indexer"),
-                                RandomForestClassificationModel.load(f"{path}/{name}_forest"),
-                                "diagnosis" if name == "disease" else "label_noisy"))
+    disease, risk = (PipelineModel.load(f"{path}/{name}") for name in ("disease", "risk"))
     metrics = spark.read.json(f"{path}/metrics").first().asDict()
     samples = iso_samples or min(TrainParams.iso_samples, int(metrics["n_samples"]))
     forest = ISO.load_forest(spark.read.parquet(f"{path}/iso_nodes"), samples, float(metrics["anomaly_offset"]))
-    return out[0], out[1], forest, metrics
+    return disease, risk, forest, metrics

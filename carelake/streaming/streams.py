@@ -17,6 +17,7 @@ from carelake.operators import clean as C
 from carelake.operators import features as FE
 from carelake.operators import logs as LG
 from carelake.plans.etl import CANONICAL
+from carelake.session import file_system
 from carelake.sources import files as FS
 
 ENCOUNTER_HEADER = ["encounter_id", "patient_id", "Age", "Gender", "Symptoms", "Diagnosis",
@@ -76,25 +77,36 @@ def running_counts(patients: DataFrame) -> DataFrame:
     return patients.select(kinds.alias("k")).select("k.*").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("count"))
 
 
-def run_count_stream(spark: SparkSession, in_dir: str, schema: TT.StructType, out_dir: str, ckpt: str) -> None:
-    """T03 sink: each micro-batch writes the current totals to a folder of its own (``epoch=N``).
+def run_count_stream(spark: SparkSession, in_dir: str, schema: TT.StructType, out_dir: str, ckpt: str,
+                     compact_every: int = 50, per_trigger: int | None = None) -> None:
+    """T03 sink: each micro-batch writes the totals that it changed (update mode) to ``epoch=N/part=changes``.
 
-    Nothing is overwritten, so a crash leaves the last whole totals; a batch that is
-    run again replaces only its own folder. ``latest_counts`` reads the newest one.
+    The newest epoch of a key holds its total, so a batch that is run again replaces only
+    its own folder. Every ``compact_every`` epochs all totals are written once more
+    (``part=totals``), and the epochs before the totals of the time before are deleted:
+    what is kept does not grow with the number of batches, a crash at any point leaves
+    every key's newest total in place, and readers of the older totals still find them.
     """
-    s = running_counts(spark.readStream.schema(schema).parquet(in_dir))
+    source = spark.readStream.schema(schema)
+    s = running_counts((source.option("maxFilesPerTrigger", per_trigger) if per_trigger else source).parquet(in_dir))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}/part=changes")
+        if epoch and epoch % compact_every == 0:
+            here = batch.sparkSession
+            latest_counts(here, out_dir).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}/part=totals")
+            fs, path = file_system(here, out_dir)
+            for found in fs.listStatus(path):
+                name = found.getPath().getName()
+                if name.startswith("epoch=") and int(name[6:]) < epoch - compact_every:
+                    fs.delete(found.getPath(), True)
 
-    _run(s.writeStream.outputMode("complete").foreachBatch(write), ckpt)
+    _run(s.writeStream.outputMode("update").foreachBatch(write), ckpt)
 
 
 def latest_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The totals of the newest epoch (its files appear when its write job commits)."""
-    every = spark.read.parquet(out_dir)
-    newest = every.agg(F.max("epoch")).first()[0]
-    return every.filter(F.col("epoch") == newest).drop("epoch")
+    """The totals: of each key the one of the newest epoch that has it."""
+    return spark.read.parquet(out_dir).groupBy("kind", "name").agg(F.max_by("count", "epoch").alias("count"))
 
 
 def run_unread_stream(spark: SparkSession, in_dir: str, schema: TT.StructType, out_dir: str, ckpt: str,

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from carelake.operators import clean as C
 from carelake.operators import features as FE
+from carelake.operators import models as M
 from carelake.plans import cohort as CO
 from carelake.plans import training as TR
+from carelake.plans.runs import RunStore
 from carelake.sources import files as FS
 from carelake.sources.fixture import encounters_raw
 from carelake.streaming import streams as ST
@@ -17,8 +19,8 @@ from carelake.streaming import streams as ST
 
 @pytest.fixture(scope="module")
 def trained(spark, sf_dir):
-    params = TR.TrainParams(n_trees=10, run_cv=False, iso_trees=40)
-    return TR.train(encounters_raw(spark, sf_dir, with_copy=True), params)
+    params = TR.TrainParams(n_trees=10, iso_trees=40)
+    return TR.train(encounters_raw(spark, sf_dir, with_copy=True), params, RunStore(spark, root=tempfile.mkdtemp(prefix="runs-", dir="/tmp")))
 
 
 def test_disease_model_beats_majority(trained):
@@ -45,7 +47,7 @@ def test_bundle_roundtrip(spark, trained):
     path = tempfile.mkdtemp(prefix="bundle-", dir="/tmp")
     TR.save_bundle(trained, path)
     disease, _risk, forest, metrics = TR.load_bundle(spark, path)
-    assert disease.classes == trained.disease.classes
+    assert M.labels_of(disease) == M.labels_of(trained.disease)
     a = CO.anomaly(trained.rows.limit(50), trained.disease, trained.forest, "symptoms_clean")
     b = CO.anomaly(trained.rows.limit(50), disease, forest, "symptoms_clean")
     ka = sorted((r["row_key"], r["anomaly_score"]) for r in a.collect())
