@@ -1,20 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses. Small transducers read a clause word by word and mark
-insults, threats, targets, negations and reported speech; their composition is one
-weighted automaton whose output is the kind of the clause: a plain, aimed, negated
-or reported insult, or a threat at a target. Kinds, not isolated words, are scored.
-
-Insults are learned: from labelled texts, stems (whole words or word beginnings)
-that occur in toxic texts and next to never in clean ones, chosen greedily so that
-each must explain toxic texts no chosen stem explains yet (copies of one toxic text
-do not make its other words insults). The weight of each kind is then fitted by
-logistic regression. Both are fitted in one task on a sample bounded by
-``ToxicityParams``; every document is scored, as a whole.
+A text is cut into clauses. Small transducers rewrite a clause word by word: negation marks
+the insult or threat that it negates and ends with it, reported speech marks what follows
+the report, and the target transducer remembers whether somebody is meant. They are
+composed into one machine over product states, whose outputs carry the weights of their
+words. Scored are the sums by kind: plain, aimed, negated and reported insults, and
+threats at a target; not isolated words.
+
+Insults are learned: stems (whole words or word beginnings) of labelled texts, each with
+the log odds of standing in a toxic text as the weight of its arc, smoothed and kept if
+large and seen often enough. Near copies of a toxic text count once, so that copies do
+not make its other words insults. The weight of each kind is then fitted by logistic
+regression, with the strongest insult and the text's length beside the sums. Both are
+fitted in one task on a sample bounded by ``ToxicityParams``; every document is scored,
+as a whole.
 
 Defined results: a null or empty text has no clause and gets the score of the
 intercept; without toxic labels nothing is learned and every score is 0; several
-labels of one id count as the highest; an empty table gives an empty result.
+labels of one id count as the highest; repeated rows are scored each; texts are read
+whole, however long; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,10 +42,11 @@ from carelake.llm.common import WordIds, held_out, read_table, sample_texts, wor
 class ToxicityParams:
     sample_docs: int = 4_000          # labelled texts of each label
     sample_chars: int = 16_000_000    # and their characters, of each label
-    min_support: int = 6              # toxic texts that a stem must newly explain
+    min_support: int = 6              # toxic texts that must have a stem
+    min_share: float = 0.015          # and the share of them
     min_kinds: int = 5                # words that a beginning must have
-    max_impurity: float = 0.02        # clean texts with the stem, by toxic ones
-    max_stems: int = 2_000
+    min_weight: float = 2.0           # log odds of a stem
+    smoothing: float = 1.0            # texts added to each count
     stem_chars: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
 
 
@@ -57,54 +62,84 @@ THREATS = frozenset("kill hurt destroy murder beat shoot stab burn hang töten u
                     "tuer frapper détruire brûler matar golpear destruir quemar".split())
 
 KINDS = ("plain", "aimed", "negated", "reported", "threat")
+FEATURES = (*KINDS, "strongest", "length")
 CLAUSE_END = re.compile(r"[.,;:!?\n|]")
 
+SYMBOLS = ("I", "H", "N", "R", "T", "O")     # insult, threat, negation, report, target, other
+
 
 @dataclass(frozen=True)
 class Transducer:
-    """(state, class) -> (state, weight); classes that have no move keep the state."""
+    """(state, symbol) -> (state, symbol); a symbol without a move passes and keeps the state."""
 
-    moves: dict[tuple[str, str], tuple[str, float]]
+    moves: dict[tuple[str, str], tuple[str, str]]
     start: str = "0"
 
-    def run(self, classes: list[str]) -> tuple[str, float]:
-        state, weight = self.start, 0.0
-        for c in classes:
-            state, w = self.moves.get((state, c), (state, 0.0))
-            weight += w
-        return state, weight
-
-
-INSULT = Transducer({("0", "I"): ("insult", 1.0), ("insult", "I"): ("insult", 0.5)})
-THREAT = Transducer({("0", "H"): ("threat", 1.0)})
-TARGET = Transducer({("0", "T"): ("target", 1.0)})
-# A negation or report holds for what follows it in the clause, until a second one lifts it.
-NEGATION = Transducer({("0", "N"): ("open", 0.0), ("open", "N"): ("0", 0.0), ("open", "I"): ("negated", 1.0), ("open", "H"): ("negated", 1.0)})
-REPORT = Transducer({("0", "R"): ("open", 0.0), ("open", "I"): ("reported", 1.0), ("open", "H"): ("reported", 1.0)})
-
-
-def compose(classes: list[str]) -> tuple[str, float] | None:
-    """Kind and weight of a clause, or None if nothing in it matches."""
-    insult, weight = INSULT.run(classes)
-    threat, _ = THREAT.run(classes)
-    target, _ = TARGET.run(classes)
-    if insult == "insult":
-        if NEGATION.run(classes)[0] == "negated":
-            return "negated", weight
-        if REPORT.run(classes)[0] == "reported":
-            return "reported", weight
-        return ("aimed" if target == "target" else "plain"), weight
-    if threat == "threat" and target == "target" and NEGATION.run(classes)[0] != "negated":
-        return "threat", 1.0
-    return None
+    def step(self, state: str, symbol: str) -> tuple[str, str]:
+        return self.moves.get((state, symbol), (state, symbol))
+
+
+# A negation holds until the insult or threat that it negates; a second one lifts it.
+NEGATION = Transducer({("0", "N"): ("open", "N"), ("open", "N"): ("0", "N"),
+                       ("open", "I"): ("0", "I:negated"), ("open", "H"): ("0", "H:negated")})
+# A report holds to the end of the clause.
+REPORT = Transducer({("0", "R"): ("open", "R"), ("open", "I"): ("open", "I:reported"), ("open", "H"): ("open", "H:reported")})
+TARGET = Transducer({("0", "T"): ("aimed", "T")})
+
+
+@dataclass(frozen=True)
+class Machine:
+    """Transducers one behind the other as one table: (state, symbol) -> (state, output)."""
+
+    table: dict[tuple[tuple, str], tuple[tuple, str]]
+    start: tuple
+
+    def run(self, words: list[tuple[str, float]]) -> tuple[tuple, dict[str, float]]:
+        """End state, and the summed weight of each output of a clause of (symbol, weight)."""
+        state, sums = self.start, defaultdict(float)
+        for symbol, weight in words:
+            state, out = self.table[state, symbol]
+            if weight:
+                sums[out] += weight
+        return state, sums
+
+
+def compose(*parts: Transducer) -> Machine:
+    """All product states that can be reached, with the output of the last transducer."""
+    start = tuple(t.start for t in parts)
+    table, todo, seen = {}, [start], {start}
+    while todo:
+        state = todo.pop()
+        for symbol in SYMBOLS:
+            out, after = symbol, []
+            for t, own in zip(parts, state):
+                got, out = t.step(own, out)
+                after.append(got)
+            table[state, symbol] = (tuple(after), out)
+            if tuple(after) not in seen:
+                seen.add(tuple(after))
+                todo.append(tuple(after))
+    return Machine(table, start)
+
+
+CLAUSE = compose(NEGATION, REPORT, TARGET)
+
+
+def clause_kinds(words: list[tuple[str, float]]) -> dict[str, float]:
+    """Weight of each kind in a clause of (symbol, weight)."""
+    state, sums = CLAUSE.run(words)
+    aimed = state[-1] == "aimed"
+    found = {"aimed" if aimed else "plain": sums.get("I", 0.0), "negated": sums.get("I:negated", 0.0),
+             "reported": sums.get("I:reported", 0.0), "threat": sums.get("H", 0.0) if aimed else 0.0}
+    return {k: w for k, w in found.items() if w}
 
 
 @dataclass
 class Grammar:
-    """Learned stems and weights; ``exact`` are whole words, ``prefixes`` word beginnings."""
+    """Learned arcs and weights; ``exact`` are whole words, ``prefixes`` word beginnings, with their log odds."""
 
-    exact: list[str] = field(default_factory=list)
-    prefixes: list[str] = field(default_factory=list)
+    exact: dict[str, float] = field(default_factory=dict)
+    prefixes: dict[str, float] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     intercept: float = -20.0
 
@@ -114,23 +149,23 @@ class Grammar:
         return re.compile(r"\b(?:" + "|".join(stems) + ")")
 
     @cached_property
-    def starts(self) -> tuple[str, ...]:
-        return tuple(self.prefixes)
-
-    @cached_property
-    def whole(self) -> frozenset[str]:
-        return frozenset(self.exact)
-
-    def word_class(self, word: str) -> str:
-        if word in self.whole or (self.starts and word.startswith(self.starts)):
-            return "I"
+    def stem_lengths(self) -> tuple[int, ...]:
+        return tuple(sorted({len(p) for p in self.prefixes}))
+
+    def word_class(self, word: str) -> tuple[str, float]:
+        """Symbol and weight of a word: an insult weighs as much as the strongest stem that it matches."""
+        best = self.exact.get(word, 0.0)
+        for n in self.stem_lengths:
+            best = max(best, self.prefixes.get(word[:n], 0.0))
+        if best > 0:
+            return "I", best
         for name, members in (("H", THREATS), ("N", NEGATIONS), ("R", REPORTS), ("T", TARGETS)):
             if word in members:
-                return name
-        return "O"
+                return name, float(name == "H")
+        return "O", 0.0
 
     def features(self, text: str) -> dict[str, float]:
-        """Sum of clause weights by kind."""
+        """Sums of clause weights by kind, and the strongest insult that is neither negated nor reported."""
         text, out, done = text.lower(), defaultdict(float), 0
         for hit in self.trigger.finditer(text):
             if hit.start() < done:
@@ -140,18 +175,25 @@ class Grammar:
                 begin = end.end()
             close = CLAUSE_END.search(text, hit.end())
             done = close.start() if close else len(text)
-            found = compose([self.word_class(w) for w in words_of(text[begin:done])])
-            if found:
-                out[found[0]] += found[1]
+            words = [self.word_class(w) for w in words_of(text[begin:done])]
+            found = clause_kinds(words)
+            for kind, weight in found.items():
+                out[kind] += weight
+            if "plain" in found or "aimed" in found:
+                out["strongest"] = max(out["strongest"], *(w for c, w in words if c == "I"))
         return out
 
+    def row(self, text: str | None) -> list[float]:
+        """What the regression reads, in the order of FEATURES."""
+        found = self.features(text) if text else {}
+        return [*(float(np.log1p(found.get(k, 0.0))) for k in KINDS), found.get("strongest", 0.0), float(np.log1p(len(text or "")))]
+
     def score(self, text: str | None) -> float:
-        z = self.intercept
-        if z < -500:  # nothing learned
+        if self.intercept < -500:  # nothing learned
             return 0.0
+        z = self.intercept
         if text:
-            for kind, amount in self.features(text).items():
-                z += self.weights.get(kind, 0.0) * np.log1p(amount)
+            z += sum(self.weights.get(k, 0.0) * x for k, x in zip(FEATURES, self.row(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def dump(self) -> str:
@@ -177,8 +219,8 @@ def unlike(texts: list[str], values: int = 16, alike: int = 11) -> list[str]:
     return [texts[i] for i in kept]
 
 
-def learn_stems(toxic: list[str], clean: list[str], params: ToxicityParams) -> tuple[list[str], list[str]]:
-    """Whole words and word beginnings that mark toxic texts."""
+def learn_stems(toxic: list[str], clean: list[str], params: ToxicityParams) -> tuple[dict[str, float], dict[str, float]]:
+    """Whole words and word beginnings that mark toxic texts, with their smoothed log odds."""
     def terms(text: str) -> set[str]:
         words = set(words_of(text.lower()))
         out = {w + "$" for w in words}
@@ -197,37 +239,16 @@ def learn_stems(toxic: list[str], clean: list[str], params: ToxicityParams) -> t
                 if len(t) - 1 > n:
                     kinds[t[:n]] += 1
                     most[t[:n]] = max(most[t[:n]], count)
-    pos = Counter({t: n for t, n in pos.items() if n >= params.min_support and (
-        t.endswith("$") or (kinds[t] >= params.min_kinds and most[t] <= n / 2))})
+    least = max(params.min_support, params.min_share * len(toxic))
+    pos = {t: n for t, n in pos.items() if n >= least and (
+        t.endswith("$") or (kinds[t] >= params.min_kinds and most[t] <= n / 2))}
     for t in clean:
         neg.update(pos.keys() & terms(t))
-    # Clean texts may be fewer or more than toxic ones: compare shares.
-    scale = len(toxic) / max(1, len(clean))
-    kept = {t for t, n in pos.items() if neg[t] * scale <= params.max_impurity * n}
-    texts_of = defaultdict(set)
-    for i, t in enumerate(toxic):
-        for term in kept & terms(t):
-            texts_of[term].add(i)
-    chosen: list[str] = []
-    left = set(range(len(toxic)))
-    gains = {t: len(s) for t, s in texts_of.items()}
-    while gains and len(chosen) < params.max_stems:
-        # Greedy cover; a bound computed earlier can only fall. Longer stems win ties: they are safer.
-        best, best_gain = None, params.min_support - 1
-        for term in sorted(gains, key=lambda t: (-gains[t], -len(t), t)):
-            if gains[term] <= best_gain:
-                break
-            gains[term] = gain = len(texts_of[term] & left)
-            if gain > best_gain:
-                best, best_gain = term, gain
-        if best is None:
-            break
-        chosen.append(best)
-        left -= texts_of[best]
-        del gains[best]
-    # Stems that always come with a chosen one are insults too if they stand in a large share of the toxic texts.
-    chosen += [t for t, s in texts_of.items() if t not in chosen and t.endswith("$") and len(s) >= max(30, 0.02 * len(toxic))]
-    return [t[:-1] for t in chosen if t.endswith("$")], [t for t in chosen if not t.endswith("$")]
+    # Clean texts may be fewer or more than toxic ones: shares are compared.
+    a = params.smoothing
+    odds = {t: float(np.log((n + a) / (len(toxic) + 2 * a) / ((neg[t] + a) / (len(clean) + 2 * a)))) for t, n in pos.items()}
+    kept = sorted((t, w) for t, w in odds.items() if w >= params.min_weight)
+    return {t[:-1]: w for t, w in kept if t.endswith("$")}, {t: w for t, w in kept if not t.endswith("$")}
 
 
 def fit(toxic: list[str], clean: list[str], params: ToxicityParams = ToxicityParams()) -> Grammar:
@@ -235,17 +256,16 @@ def fit(toxic: list[str], clean: list[str], params: ToxicityParams = ToxicityPar
         return Grammar(intercept=-1000.0)
     toxic = unlike(toxic)  # copies are no further evidence
     grammar = Grammar(*learn_stems(toxic, clean, params))
-    rows = [grammar.features(t) for t in toxic + clean]
-    x = np.array([[1.0] + [np.log1p(r.get(k, 0.0)) for k in KINDS] for r in rows])
+    x = np.array([[1.0, *grammar.row(t)] for t in toxic + clean])
     y = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    b, ridge = np.zeros(x.shape[1]), np.diag([0.01] + [0.05] * len(KINDS))
+    b, ridge = np.zeros(x.shape[1]), np.diag([0.01] + [0.05] * len(FEATURES))
     for _ in range(50):  # Newton's method, ridge penalty
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ b)
         b += step
         if np.abs(step).max() < 1e-8:
             break
-    grammar.intercept, grammar.weights = float(b[0]), dict(zip(KINDS, map(float, b[1:])))
+    grammar.intercept, grammar.weights = float(b[0]), dict(zip(FEATURES, map(float, b[1:])))
     return grammar
 
 

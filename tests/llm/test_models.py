@@ -187,23 +187,28 @@ def test_contexts_beyond_the_bound_score_too(spark):
 
 
 def test_clause_grammar():
-    g = toxicity.Grammar(exact=["fool"], prefixes=["idio"], weights={k: 1.0 for k in toxicity.KINDS}, intercept=0.0)
+    g = toxicity.Grammar(exact={"fool": 2.0}, prefixes={"idio": 3.0}, weights={k: 1.0 for k in toxicity.KINDS}, intercept=0.0)
     kinds = {"what a fool": "plain", "you are an idiot": "aimed", "it is not a fool": "negated",
              "someone said idiot": "reported", "kill you all": "threat", "do not hurt them": None, "foolish": None}
     for text, kind in kinds.items():
-        assert set(g.features(text)) == ({kind} if kind else set()), text
-    assert g.features("a fool. a fool, idiots idiots")["plain"] == pytest.approx(3.5)
+        assert set(g.features(text)) - {"strongest"} == ({kind} if kind else set()), text
+    got = g.features("a fool. a fool, idiots idiots")
+    assert got["plain"] == pytest.approx(10.0) and got["strongest"] == 3.0
+    # A negation ends with the insult that it negates; a report holds to the end of the clause.
+    assert g.features("not a fool but an idiot") == {"negated": 2.0, "plain": 3.0, "strongest": 3.0}
+    assert g.features("you are not not a fool") == {"aimed": 2.0, "strongest": 2.0}
+    assert g.features("he said not a fool but idiot") == {"negated": 2.0, "reported": 3.0}
     assert g.score(None) == g.score("") == 0.5
 
 
 def test_clauses_are_read_whole():
-    g = toxicity.Grammar(exact=["fool"], weights={k: 1.0 for k in toxicity.KINDS}, intercept=0.0)
+    g = toxicity.Grammar(exact={"fool": 1.0}, weights={k: 1.0 for k in toxicity.KINDS}, intercept=0.0)
     far = "word " * 2000
     kinds = {f"not {far} a fool": "negated", f"someone said {far} fool": "reported", f"a fool {far} you": "aimed",
              f"kill {far} you": "threat", f"not. {far} a fool": "plain", f"a fool {far}. you": "plain"}
     for text, kind in kinds.items():
-        assert dict(g.features(text)).keys() == {kind}, text[:20]
-    assert g.features(f"a fool {far} fool {far} fool. fool")["plain"] == pytest.approx(3.0)
+        assert set(g.features(text)) - {"strongest"} == {kind}, text[:20]
+    assert g.features(f"a fool {far} fool {far} fool. fool")["plain"] == pytest.approx(4.0)
 
 
 def test_copies_do_not_make_insults():
@@ -213,7 +218,42 @@ def test_copies_do_not_make_insults():
     toxic = [f"grak {line()}" for _ in range(20)] + [f"grak {copied} {i}" for i in range(60)]
     clean = [line() for _ in range(60)]
     g = toxicity.fit(toxic, clean, toxicity.ToxicityParams(min_support=4))
-    assert g.word_class("grak") == "I" and g.word_class("copied") == "O"
+    assert g.word_class("grak")[0] == "I" and g.word_class("copied") == ("O", 0.0)
+
+
+def brute_clause(words):
+    """The rules of a clause in plain words."""
+    kinds, negated, reported = {}, False, False
+    aimed = any(c == "T" for c, _ in words)
+    for c, w in words:
+        if c == "N":
+            negated = not negated
+        elif c == "R":
+            reported = True
+        elif c in "IH":
+            kind = "negated" if negated else "reported" if reported else "aimed" if aimed else "plain"
+            negated = False
+            if c == "H":
+                kind = "threat" if kind == "aimed" else None
+            if kind:
+                kinds[kind] = kinds.get(kind, 0.0) + w
+    return kinds
+
+
+def test_composed_machine_equals_plain_rules():
+    rng = random.Random(4)
+    for _ in range(3_000):
+        words = [(c, {"I": 2.5, "H": 1.0}.get(c, 0.0)) for c in rng.choices(toxicity.SYMBOLS, k=rng.randrange(9))]
+        assert toxicity.clause_kinds(words) == pytest.approx(brute_clause(words))
+
+
+def test_stems_weigh_their_smoothed_log_odds():
+    toxic = ["brillax one"] * 3 + ["brillon two"] * 4 + ["brillum x"] * 3 + ["brillet y"] * 3 + ["brillik z"] * 3
+    clean = ["brillax one"] + ["plain words"] * 99
+    p = toxicity.ToxicityParams(min_support=3, min_weight=1.0)
+    exact, prefixes = toxicity.learn_stems(toxic, clean, p)
+    assert prefixes["brill"] == pytest.approx(np.log(17 / 18 / (2 / 102))) and exact["brillon"] == pytest.approx(np.log(5 / 18 / (1 / 102)))
+    assert "words" not in exact and "plain" not in prefixes
 
 
 def test_toxicity_accuracy(spark):
@@ -221,7 +261,12 @@ def test_toxicity_accuracy(spark):
     got = {r["doc_id"]: r for r in toxicity.op7_toxicity(spark, mid).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{mid}/labels.parquet").collect()}
     held = [(labels[i], r["predicted"]) for i, r in got.items() if r["held_out"] and i in labels]
-    assert np.mean([a == b for a, b in held]) > 0.97
+    assert np.mean([a == b for a, b in held]) > 0.98
+    assert np.mean([b for a, b in held if a == 1]) >= 0.9                     # recall
+    scored = [(labels[i], r["score"]) for i, r in got.items() if r["held_out"] and labels.get(i) is not None]
+    high, low = (np.sort([x for a, x in scored if a == k]) for k in (1, 0))
+    above = (np.searchsorted(low, high, "left") + np.searchsorted(low, high, "right")) / 2
+    assert above.sum() / (len(high) * len(low)) >= 0.95                       # area under the curve
     assert sum(a == 0 and b == 1 for a, b in held) / sum(a == 0 for a, _ in held) < 0.01
     assert all(r["held_out"] == (crc(i, 5) == 0) and 0 <= r["score"] <= 1 for i, r in got.items())
 
