@@ -14,8 +14,9 @@ place, in any document. The corpus is cut so that equal strings meet:
    a sampled suffix with its common prefix with the neighbour. Within a run these
    lengths fall by one a byte, so the matching statistics of all places stream from
    the samples. Places with a match of ``length`` or more begin a repeat.
-4. An anchor with more segments than a task should hold has its windows counted one
-   by one, by hash, in a shuffle: the same result without a large group.
+4. An anchor with more segments than a task should hold, or whose trimmed parts exceed a
+   batch, has its windows counted one by one, by hash, in a shuffle: the same result
+   without a large group.
 
 Texts are known by 128 bits of their SHA-256 and handled once; a text that occurs
 twice goes as a whole. Defined results: a null text is empty and keeps nothing;
@@ -45,7 +46,7 @@ class RepeatParams:
     length: int = 400
     gram: int = 32              # bytes of the grams that anchor windows; a multiple of 8
     batch_bytes: int = 1 << 18  # of segments that one index holds (it takes some 200 bytes for each)
-    group_bytes: int = 1 << 24  # of one anchor's segments; beyond, windows are counted
+    group_bytes: int = 1 << 24  # of one anchor's segments to be trimmed in a task; beyond, windows are counted
     piece: int = 1 << 18        # bytes of text read at a time
 
 
@@ -294,13 +295,15 @@ def index_batches(batches: Iterator[pa.RecordBatch], params: RepeatParams) -> It
 
     A segment that occurs twice repeats as a whole. The others are trimmed to what they
     can share; trimmed parts that are equal repeat as a whole too, and the different
-    parts that are left of an anchor go to the index.
+    parts that are left of an anchor go to the index. If they exceed ``batch_bytes`` they are
+    handed on instead, as rows (sid, a, anchor, part), to have their windows counted.
     """
     out: list[tuple[bytes, int, int]] = []
+    left: list[tuple[bytes, int, int, bytes]] = []
     held: list[tuple[bytes, list[tuple[bytes, int]]]] = []  # a part, and the segments (with its place) that have it
     size = 0
 
-    def take(group: list[tuple[bytes, bytes, int, int]]) -> None:
+    def take(anchor: int, group: list[tuple[bytes, bytes, int, int]]) -> None:
         nonlocal size
         parts: dict[bytes, list[tuple[bytes, int]]] = {}
         for (sid, seg, _, n), (a, b) in zip(group, trimmed([g[1] for g in group], [g[2] for g in group], params.length)):
@@ -311,9 +314,11 @@ def index_batches(batches: Iterator[pa.RecordBatch], params: RepeatParams) -> It
         for part, owners in parts.items():
             if len(owners) > 1:
                 out.extend((sid, a, a + len(part)) for sid, a in owners)
-        if len(parts) > 1:
+        if len(parts) > 1 and (own := sum(map(len, parts))) > params.batch_bytes:
+            left.extend((sid, a, anchor, part) for part, owners in parts.items() for sid, a in owners)
+        elif len(parts) > 1:
             held.extend(parts.items())
-            size += sum(map(len, parts))
+            size += own
 
     def flush() -> pa.RecordBatch:
         nonlocal size
@@ -321,10 +326,13 @@ def index_batches(batches: Iterator[pa.RecordBatch], params: RepeatParams) -> It
             for (_, owners), windows in zip(held, repeated_windows([p for p, _ in held], params)):
                 spans = covered(windows, params.length)
                 out.extend((sid, at + a, at + b) for sid, at in owners for a, b in spans)
+        none = [None] * len(out)
         got = pa.RecordBatch.from_pydict({
-            "sid": pa.array([o[0] for o in out], pa.binary()), "a": pa.array([o[1] for o in out], pa.int32()),
-            "b": pa.array([o[2] for o in out], pa.int32())})
-        out.clear(), held.clear()
+            "sid": pa.array([o[0] for o in out + left], pa.binary()), "a": pa.array([o[1] for o in out + left], pa.int32()),
+            "b": pa.array([*(o[2] for o in out), *[None] * len(left)], pa.int32()),
+            "anchor": pa.array([*none, *(x[2] for x in left)], pa.int64()),
+            "part": pa.array([*none, *(x[3] for x in left)], pa.binary())})
+        out.clear(), held.clear(), left.clear()
         size = 0
         return got
 
@@ -333,13 +341,13 @@ def index_batches(batches: Iterator[pa.RecordBatch], params: RepeatParams) -> It
         for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "sid", "seg", "pos", "n"))):
             if row[0] != anchor:
                 if group:
-                    take(group)
-                if size >= params.batch_bytes or len(out) > 100_000:
+                    take(anchor, group)
+                if size >= params.batch_bytes or len(out) > 100_000 or left:
                     yield flush()
                 group, anchor = [], row[0]
             group.append(row[1:])
     if group:
-        take(group)
+        take(anchor, group)
     yield flush()
 
 
@@ -353,7 +361,9 @@ def unique_texts(docs: DataFrame) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (once.write.format("parquet").bucketBy(buckets, "tkey")
      .option("path", f"{checkpoint_dir(spark)}/llm/{name}").saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")   # the files stay; the catalog keeps no entry of a run
+    return table
 
 
 def find_anchors(texts: DataFrame, params: RepeatParams) -> DataFrame:
@@ -427,10 +437,11 @@ def cut_out(wanted: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def count_windows(segments: DataFrame, params: RepeatParams) -> DataFrame:
-    """(sid, a, b) of the windows that repeat, each window counted by itself."""
+    """(sid, a, b) of the windows that repeat, each window counted by itself, from (anchor, sid, seg, n, first):
+    ``first`` is the place of ``seg`` in its segment."""
     at = F.explode(F.sequence(F.lit(0), (F.length("seg") - params.length).cast("int")))
-    windows = segments.select("anchor", "sid", "seg", "n", at.alias("at")).select(
-        "anchor", "sid", "n", "at", key16(F.substring("seg", F.col("at") + 1, F.lit(params.length))).alias("w"))
+    windows = segments.select("anchor", "sid", "seg", "n", "first", at.alias("at")).select(
+        "anchor", "sid", "n", (F.col("first") + F.col("at")).alias("at"), key16(F.substring("seg", F.col("at") + 1, F.lit(params.length))).alias("w"))
     again = windows.groupBy("anchor", "w").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "w")
     return windows.join(again, ["anchor", "w"]).select("sid", F.col("at").alias("a"), (F.col("at") + params.length).alias("b"))
 
@@ -455,12 +466,15 @@ def repeated_ranges(texts: DataFrame, params: RepeatParams) -> DataFrame:
 
     several = groups.where("kinds > 1")
     few = cut(several.where(F.col("all_bytes") <= params.group_bytes))
-    indexed = few.repartition("anchor").sortWithinPartitions("anchor", "sid").mapInArrow(
-        lambda it: index_batches(it, params), "sid binary, a int, b int")
-    found = alone.unionByName(indexed)
+    indexed = written(few.repartition("anchor").sortWithinPartitions("anchor", "sid").mapInArrow(
+        lambda it: index_batches(it, params), "sid binary, a int, b int, anchor long, part binary"), "repeat-index")
+    found = alone.unionByName(indexed.where("part is null").select("sid", "a", "b"))
     many = several.where(F.col("all_bytes") > params.group_bytes)
+    large = indexed.where("part is not null").select("anchor", "sid", F.col("part").alias("seg"), F.lit(1).alias("n"), F.col("a").alias("first"))
     if not many.isEmpty():
-        found = found.unionByName(count_windows(cut(many), params))
+        large = large.unionByName(cut(many).drop("pos").withColumn("first", F.lit(0)))
+    if not large.isEmpty():
+        found = found.unionByName(count_windows(large, params))
     return (segments.select("sid", "tkey", "s0").join(found, "sid")
             .select("tkey", F.struct((F.col("s0") + F.col("a")).alias("a"), (F.col("s0") + F.col("b")).alias("b")).alias("r"))
             .groupBy("tkey").agg(F.collect_set("r").alias("ranges")))

@@ -244,6 +244,7 @@ def test_matching_statistics():
 
 @pytest.mark.parametrize("params", [
     suffix_dedup.RepeatParams(length=40, gram=16, batch_bytes=300, piece=256),
+    suffix_dedup.RepeatParams(length=40, gram=16, batch_bytes=80),    # most anchors are just above a batch
     suffix_dedup.RepeatParams(length=40, gram=16, group_bytes=100)])  # windows counted one by one
 def test_repeats_against_all_windows(spark, make_docs, params):
     rng = random.Random(9)
@@ -257,6 +258,32 @@ def test_repeats_against_all_windows(spark, make_docs, params):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 40)
 
 
+def test_an_anchor_just_above_a_batch_is_counted_elsewhere():
+    """Parts of one anchor beyond ``batch_bytes`` never reach the index; at the bound they do."""
+    rng = random.Random(3)
+    core = bytes(rng.randrange(256) for _ in range(60))
+    tails = [bytes(rng.randrange(256) for _ in range(30)) for _ in range(4)]
+    segs = [t + core + u for t in tails for u in tails]          # any two share the core and what they have beside it
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({
+        "anchor": pa.array([7] * len(segs), pa.int64()), "sid": pa.array([b"%02d" % i for i in range(len(segs))], pa.binary()),
+        "seg": pa.array(segs, pa.binary()), "pos": pa.array([30] * len(segs), pa.int64()), "n": pa.array([1] * len(segs), pa.int64())})
+
+    def run(limit):
+        p = suffix_dedup.RepeatParams(length=50, gram=16, batch_bytes=limit)
+        return [r for b in suffix_dedup.index_batches(iter([batch]), p) for r in b.to_pylist()]
+
+    size = sum(map(len, segs))
+    above, at = run(size - 1), run(size)
+    assert {r["part"] for r in above} == set(segs) and all(r["b"] is None and r["anchor"] == 7 for r in above)
+    assert {r["sid"] for r in at} == {r["sid"] for r in above} and all(r["part"] is None for r in at)
+
+
+def test_no_table_is_left_in_the_catalog(spark, make_docs):
+    suffix_dedup.remove_repeats(make_docs([(1, "a" * 900), (2, "b" * 10)])).collect()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("carelake_texts")]
+
+
 def test_repeats_of_the_documents(spark, docs):
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.op10_suffix_dedup(spark, MID).collect()}
     assert [got[i] for i in docs] == brute_repeats(docs.values(), 400)
