@@ -5,7 +5,8 @@ each its place p, with shard = p mod shards and slot = p div shards. Anyone with
 (n, seed, shards) can compute a row's place, and back, without a table.
 
 Defined results: null text has no bytes; null ids come first in their bucket;
-repeated rows get numbers of their own; an empty table gives an empty result.
+repeated rows get numbers of their own; texts count whole, however long, and are never
+compared; columns of other names stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ class ShardParams:
     shards: int = 16
     seed: int = 20_241
     rounds: int = 4
-    rows_per_bucket: int = 20_000   # rows that one task numbers
+    rows_per_bucket: int = 8_192    # rows that one task numbers (and, in the pipeline, carries with their texts)
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -80,10 +81,11 @@ def permute(place: Column, n: int, params: ShardParams) -> Column:
 
 
 def numbered(docs: DataFrame, order: list[Column], n: int, params: ShardParams) -> DataFrame:
-    """docs + row: 0..n-1. Buckets by id are counted, and rows numbered within their bucket:
-    no global sort, no window over the whole table."""
+    """docs + row: 0..n-1. Buckets by id and checksum of the text are counted, and rows numbered within
+    their bucket: no global sort, no window over the whole table, and rows of one id (or none) spread by text."""
     buckets = max(1, -(-n // params.rows_per_bucket))
-    bucket = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(buckets)).cast("long")
+    of_id = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(buckets)).cast("long")
+    bucket = (of_id + F.col("text_crc32") % buckets) % buckets
     rows = docs.withColumn("__bucket", bucket)
     counts = docs.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__rows"))
     before = F.sum("__rows").over(Window.orderBy("__bucket")) - F.col("__rows")
@@ -159,7 +161,7 @@ dims as (
   select n, a, (n + a - 1) // a as b, (n + {_DEFAULT.rows_per_bucket - 1}) // {_DEFAULT.rows_per_bucket} as buckets
   from (select count(*) as n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 as a from documents)),
 numbered as (
-  select s.*, row_number() over (order by ((coalesce(doc_id, 0) % buckets) + buckets) % buckets,
+  select s.*, row_number() over (order by (((coalesce(doc_id, 0) % buckets) + buckets) % buckets + text_crc32 % buckets) % buckets,
     doc_id nulls first, size, text_crc32) - 1 as row from sums s, dims),
 walk as (
   select row, row as x, false as done from numbered

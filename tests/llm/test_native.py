@@ -167,3 +167,26 @@ def test_rows_are_numbered_over_buckets(spark, make_docs):
     got = sharding.numbered(rows, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], 400,
                             sharding.ShardParams(rows_per_bucket=30)).collect()
     assert sorted(r["__row"] for r in got) == list(range(400))
+
+
+def test_rows_of_one_id_are_numbered_in_many_buckets(spark, make_docs):
+    rows = make_docs([(None if i % 3 else 7, f"text {i}") for i in range(600)] + [(7, "same")] * 5)
+    got = sharding.shard(rows.select("doc_id", *sharding.sized()), sharding.ShardParams(rows_per_bucket=20))
+    places = [r["slot"] * 16 + r["shard"] for r in got.collect()]
+    assert sorted(places) == list(range(605))
+    parts = got.select(((F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(31)) + F.col("text_crc32") % 31) % 31).alias("b")).groupBy("b").count()
+    assert parts.agg(F.max("count")).first()[0] < 60
+
+
+def test_next_texts_where_one_id_and_no_id_are_frequent(spark, make_docs):
+    rows = [(7, f"seven {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(i, f"own {i}") for i in range(1_000, 1_100)]
+    rows += [(i, f"low {i}") for i in range(-20, 7)] + [(7, "seven 3"), (None, "none 3")]
+    docs = make_docs(rows).repartition(4)
+    h = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -h[r[1]]))
+    got = simhash.edited_texts(docs).orderBy("bucket", "place").select("doc_id", "text", "edited", "bucket").collect()
+    assert [(r["doc_id"], r["text"]) for r in got] == [r[:2] for r in order]
+    for r, after in zip(got, [*order[1:], order[0]]):
+        k = len(r["text"]) // 3
+        assert r["edited"] == r["text"][: len(r["text"]) - k] + after[1][:k]
+    assert len({r["bucket"] for r in got if r["doc_id"] is None}) > 100 and len({r["bucket"] for r in got if r["doc_id"] == 7}) > 100
