@@ -17,6 +17,7 @@ empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +30,7 @@ MAX_WEIGHT = 16
 PART_WORDS = 2_000        # PART_WORDS * MAX_WEIGHT < 2 ** 15: a lane cannot overflow
 BUCKET_CHARS = 4_000_000  # text that one task orders
 KNOTS = 128
+HOT_CUTS = 1024             # buckets of an id that fills a quantile
 SUMS = [(h, i) for h in ("h0", "h1") for i in range(16)]
 
 
@@ -84,16 +86,19 @@ def ordered(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, place: buckets and places ascend as ids descend (null ids last).
 
     Buckets hold about ``BUCKET_CHARS`` of text: quantiles of the ids bound them, evenly
-    cut between two quantiles where there are more buckets than quantiles.
+    cut between two quantiles where there are more buckets than quantiles. Rows of one id
+    are ordered by their text's hash, so an id that fills a quantile or more, and the rows
+    without id, are cut into ``HOT_CUTS`` more buckets by that hash.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     steps = [i / KNOTS for i in range(1, KNOTS)]
     facts = docs.agg(F.sum(F.length("text")).alias("chars"), F.percentile_approx("doc_id", steps).alias("knots"),
                      F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     knots = sorted({facts["low"], facts["high"], *(facts["knots"] or [])} - {None})
+    hot = sorted(k for k, n in Counter(facts["knots"] or []).items() if n > 1)
     fine = max(1, -(-(facts["chars"] or 0) // (BUCKET_CHARS * max(1, len(knots) - 1))))
     coarse = max(1, (len(knots) - 1) * BUCKET_CHARS // max(1, facts["chars"] or 1))
-    kept = knots[::coarse]
+    kept = sorted({*knots[::coarse], *hot})    # a hot id is the least of its bucket, so that the others come first
     if not kept:
         bucket = F.lit(0).cast("long")
     else:
@@ -103,7 +108,11 @@ def ordered(docs: DataFrame) -> DataFrame:
         span = F.element_at(ends, i) - F.element_at(at, i)
         sub = F.floor((F.col("doc_id") - F.element_at(at, i)) * F.lit(float(fine)) / span)
         bucket = F.coalesce(F.lit(0) - (i * fine + F.least(sub, F.lit(fine - 1))), F.lit(1)).cast("long")
-    docs = docs.withColumn("bucket", bucket).withColumn("h", F.xxhash64("text"))
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    part = F.floor((F.lit(0.5) - F.col("h") / F.lit(float(1 << 64))) * F.lit(float(HOT_CUTS - 1)))    # falls as the hash rises
+    is_hot = F.col("doc_id").isNull() | (F.col("doc_id").isin(hot) if hot else F.lit(False))
+    cut = F.when(is_hot, F.least(F.greatest(part, F.lit(0)), F.lit(HOT_CUTS - 2)) + 1).otherwise(F.lit(0))
+    docs = docs.withColumn("bucket", bucket * HOT_CUTS + cut)
     by = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc())
     return docs.withColumn("place", F.row_number().over(by)).withColumn("next_text", F.lead("text").over(by))
 
