@@ -9,6 +9,9 @@ Regexes use ``(?U)`` so that ``\\s`` matches Unicode blanks as Python does.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,10 +109,24 @@ def parse_symptom_list(x) -> Column:
     return F.filter(items, lambda t, i: F.array_position(lows, F.lower(t)) == i + 1)
 
 
-# ------------------------------------------------------------ translation
-def _symptom_map_literal() -> Column:
-    return F.create_map(*[F.lit(v) for kv in K.symptom_map_unique() for v in kv])
+# ------------------------------------------------------------- look-ups
+BUCKETS = 64
+
+
+def literal_maps(entries: dict, value_type: str) -> Callable[[Column], Column]:
+    """A look-up of text keys in a constant table: ``f(key)`` is the value, or null.
 
+    A map column is searched entry by entry, so the table is cut into small maps by a cheap
+    property of the key. It is one literal for the plan, whatever the number of entries.
+    """
+    maps: list[dict] = [{} for _ in range(BUCKETS)]
+    for key, value in entries.items():
+        maps[(ord(key[0]) + 7 * len(key) if key else 0) % BUCKETS][key] = value
+    table = F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), f"array<map<string,{value_type}>>")
+    return lambda key: F.try_element_at(F.get(table, (F.ascii(key) + 7 * F.length(key)) % BUCKETS), key)
+
+
+# ------------------------------------------------------------ translation
 
 def _symptom_keys_by_length() -> Column:
     return F.array(*[
@@ -156,7 +173,7 @@ def translate_item(item: Column) -> Column:
     keys = _symptom_keys_by_length()
     scanned = F.when(F.regexp_like(low, F.lit(_any_key_regex())),
                      F.get(F.filter(keys, lambda e: F.contains(low, e["k"])), 0)["v"])
-    return F.coalesce(F.try_element_at(_symptom_map_literal(), low), scanned, item)
+    return F.coalesce(literal_maps(dict(K.symptom_map_unique()), "string")(low), scanned, item)
 
 
 def translate_symptoms(x) -> Column:

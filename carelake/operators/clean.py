@@ -21,11 +21,7 @@ REASONS = ["missing_critical", "invalid_age", "age_outliers", "empty_symptoms",
 
 def stage_rows(raw: DataFrame) -> DataFrame:
     """Distinct input rows with ``copies``, cleaned columns and ``reject_reason``."""
-    # The rule inputs leave the grouping as aggregate results: a filter on the reject
-    # reason then stays above it, and the cleaned text is built once a distinct row.
-    d = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies"),
-                                      *[F.first(c).alias(f"_in_{c}") for c in CRITICAL])
-    return annotate(d.drop(*CRITICAL).withColumnsRenamed({f"_in_{c}": c for c in CRITICAL}), raw.columns)
+    return annotate(raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("copies")), raw.columns)
 
 
 def annotate(d: DataFrame, cols: list[str]) -> DataFrame:
@@ -41,8 +37,11 @@ def annotate(d: DataFrame, cols: list[str]) -> DataFrame:
     any_null = None
     for c in CRITICAL:
         any_null = F.col(c).isNull() if any_null is None else (any_null | F.col(c).isNull())
+    # The reason names the count, so a filter on it stays above the grouping: the cleaned text
+    # is built once a distinct row.
     reason = (
-        F.when(any_null, "missing_critical")
+        F.when(F.col("copies") < 1, "no_row")
+        .when(any_null, "missing_critical")
         .when(age_d.isNull(), "invalid_age")
         .when((age_d <= K.AGE_MIN - 1) | (age_d >= K.AGE_MAX + 1), "age_outliers")
         .when(sym == "", "empty_symptoms")

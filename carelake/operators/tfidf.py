@@ -15,7 +15,6 @@ small maps by a cheap property of the term, so that a look-up reads a few entrie
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark import StorageLevel, keyword_only
@@ -113,27 +112,14 @@ def fit_vocabulary(docs: DataFrame, id_col: str, text_col: str,
                                              "term string, idx int, df long, idf double")
 
 
-BUCKETS = 64
 COUNTS = "_term_counts"
 
 
-def _bucket(term: Column) -> Column:
-    return (F.ascii(term) + 7 * F.length(term)) % BUCKETS
-
-
-def _maps(terms: list[str], idf: list[float]) -> Column:
-    """The vocabulary as one literal: an array of maps term -> (i, idf) by bucket."""
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
-    for i, (t, w) in enumerate(zip(terms, idf)):
-        maps[(ord(t[0]) + 7 * len(t)) % BUCKETS][t] = {"i": i, "idf": w}
-    return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), "array<map<string,struct<i:int,idf:double>>>")
-
-
 def weights_of(counts: Column, terms: list[str], idf: list[float]) -> Column:
     """array<struct<i, term, w>>: the exact weights of a row's vocabulary terms, in index order, from its term counts."""
-    m = _maps(terms, idf)
+    look_up = T.literal_maps({t: {"i": i, "idf": w} for i, (t, w) in enumerate(zip(terms, idf))}, "struct<i:int,idf:double>")
     hits = F.filter(F.transform(counts, lambda e: F.struct(
-        F.try_element_at(F.get(m, _bucket(e["term"])), e["term"]).alias("v"), e["term"].alias("term"), e["tf"].alias("tf"))),
+        look_up(e["term"]).alias("v"), e["term"].alias("term"), e["tf"].alias("tf"))),
         lambda e: e["v"].isNotNull())
     raw = F.transform(hits, lambda e: F.struct(          # terms are sorted, so the indices are
         e["v"]["i"].alias("i"), e["term"].alias("term"), ((1.0 + F.log(e["tf"].cast("double"))) * e["v"]["idf"]).alias("w")))

@@ -216,14 +216,15 @@ def t01(spark, d):
 
 
 @register("t02_alert_stream", O.with_fixture(
-    "SELECT count(*) AS alerts FROM preds WHERE clinical_alert", QR.PRED_CTES))
+    "SELECT pred_id AS id, 'warning' AS level, 'cnn' AS source, 'Alerta radiológica' AS title, 0 AS is_read FROM preds "
+    "WHERE clinical_alert", QR.PRED_CTES))
 def t02(spark, d):
     log = run_dir(spark, "t02-log")
     preds = R.xray_predictions(spark, d)
     preds.write.parquet(log)
     out = run_dir(spark, "t02-out")
     ST.run_alert_stream(spark, log, spark.read.parquet(log).schema, out, run_dir(spark, "t02-ckpt"))
-    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("alerts"))
+    return spark.read.parquet(out).select("id", "level", "source", "title", "is_read")
 
 
 @register("t03_running_counts", O.with_clean(

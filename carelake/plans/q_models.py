@@ -15,7 +15,7 @@ from carelake.operators import sampling as SM
 from carelake.operators import tfidf as TF
 from carelake.plans.registry import register
 from carelake.plans.q_records import PRED_CTES
-from carelake.session import written
+from carelake.session import spread, written
 from carelake.sources import records as R
 from carelake.sources.fixture import encounters_raw
 
@@ -202,7 +202,7 @@ TFIDF_CTES = (
     MODEL_ROWS_CTE + ", " + DROPOUT_CTE + ", " + TFIDF_CTES))
 def m03(spark, d):
     # Two passes (vocabulary, weights) read the documents: write them once.
-    docs = written(train_docs(spark, d).select("encounter_id", "symptoms_train"), "tfidf-docs")
+    docs = spread(written(train_docs(spark, d).select("encounter_id", "symptoms_train"), "tfidf-docs"))
     vocab = TF.fit_vocabulary(docs, "encounter_id", "symptoms_train")
     return TF.weights_long(docs, vocab, "encounter_id", "symptoms_train") \
         .select("encounter_id", "term", F.bround("weight", 6).alias("weight"))

@@ -30,6 +30,7 @@ from carelake.operators import models as M
 from carelake.operators import sampling as SM
 from carelake.operators import tfidf as TF
 from carelake.plans.runs import RunStore, input_version
+from carelake.session import spread
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ class TrainRun:
     def features(self) -> DataFrame:
         """The tagged rows with the (sparse) features of every forest: written once, each forest reads its column."""
         def build() -> DataFrame:
-            d = TF.with_term_counts(_spread(self.tagged), "model_text", TF.COUNTS)
+            d = TF.with_term_counts(spread(self.tagged), "model_text", TF.COUNTS)
             for k, weights in self.vocabularies.items():
                 d = M.featurize(d, weights, out=f"features_{k}")
             return d.drop(TF.COUNTS, "symptoms_clean", "model_text")
@@ -236,12 +237,6 @@ def train(raw: DataFrame, params: TrainParams | None = None, store: RunStore | N
     return run
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores; one with enough partitions stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _acc_f1(rep: DataFrame) -> tuple[float, float]:
     r = {row["class"]: row for row in rep.filter(F.col("class").isin("accuracy", "weighted avg")).collect()}
     return float(r["accuracy"]["precision"]), float(r["weighted avg"]["f1"])

@@ -20,6 +20,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are small and their expressions long: work is cut finer than by Spark's sizes for bytes,
+    # so that a table of a few MB keeps all cores busy. Large tables are cut by the usual sizes.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    "spark.sql.files.openCostInBytes": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -73,6 +77,12 @@ def file_system(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer partitions than cores over all cores, for work that is long for its bytes; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage without row-serialised blocks."""
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
