@@ -20,10 +20,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Rows are small and their expressions long: work is cut finer than by Spark's sizes for bytes,
-    # so that a table of a few MB keeps all cores busy. Large tables are cut by the usual sizes.
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
-    "spark.sql.files.openCostInBytes": "128k",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
