@@ -181,14 +181,16 @@ def w02(spark, d):
         "hospital_zone", F.col("_doc_name").alias("doctor"))
 
 
-@register("l05_doctors_by_name", O.with_fixture(
-    "SELECT CAST(row_number() OVER (ORDER BY lower(name), id) AS INTEGER) AS position, id, name FROM roster "
-    "WHERE is_active = 1", QR.ROSTER_CTE))
+@register("l05_doctors_by_name", O.with_clean(
+    "SELECT CAST(row_number() OVER (ORDER BY lower(r.name), r.id) AS INTEGER) AS position, r.id, r.name, "
+    "CAST(coalesce(p.n, 0) AS BIGINT) AS patients FROM roster r LEFT JOIN (SELECT specialist_doctor, count(*) AS n "
+    "FROM patients GROUP BY 1) p ON p.specialist_doctor = r.name WHERE r.is_active = 1", QR.PATIENT_CTES))
 def l05(spark, d):
-    """The active doctors with their place in the list's order."""
+    """The active doctors with their place in the list's order, and how many patients each has."""
     first = Window.orderBy(F.lower("name"), "id")   # the roster, 18 rows
-    return L.active_doctors(L.default_doctors(spark)).select(
-        F.row_number().over(first).alias("position"), "id", "name")
+    treated = R.patients(spark, d).groupBy(F.col("specialist_doctor").alias("name")).agg(F.count(F.lit(1)).alias("patients"))
+    return L.active_doctors(L.default_doctors(spark)).join(treated, "name", "left").select(
+        F.row_number().over(first).alias("position"), "id", "name", F.coalesce("patients", F.lit(0)).alias("patients"))
 
 
 @register("l06_disease_catalogue_order", "SELECT CAST(row_number() OVER (ORDER BY n DESC, name) AS INTEGER) AS position, "

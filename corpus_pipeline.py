@@ -7,6 +7,13 @@ their target weights (a document of a source above its size comes twice); the la
 stage gives each row its shard and slot. All but the last return the columns of
 ``documents``. The rows cannot be stated in SQL (learned grammar, MinHash, walks), so
 tests compare each stage with a brute-force version.
+
+Defined results: a null text counts as the empty text, which is not toxic, holds no benchmark
+item and has no near copy but other empty texts; rows without id are kept like any other, and
+come after all ids where one of a group is chosen; repeated rows are copies of each other;
+ties are decided by the operators' own orders; texts are read whole, however long; further
+columns of ``documents`` stay, also under names that the operators use; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
