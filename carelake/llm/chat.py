@@ -11,8 +11,9 @@ and role names are written ``\b``, ``\l``, ``\h``, ``\c`` and read back in the o
 
 Defined results: null text and null role are empty; a role the template does not
 know opens like the others, carries no loss and breaks the order; rows without
-conversation id form one conversation; ties in turn are ordered by role and text;
-an empty table gives an empty result.
+conversation id form one conversation; ties in turn are ordered by role and text, so
+repeated rows are turns next to each other; texts are formatted whole, however long;
+columns of other names are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

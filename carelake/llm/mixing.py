@@ -7,7 +7,8 @@ no sort. Thresholds are nested: a larger budget takes a superset of the rows.
 
 Defined results: null text counts 0 words; null source is a source of its own
 (last in order); a source without words has target 0; repeated rows get copy
-numbers, so that each has its own hash; an empty table gives an empty result.
+numbers, so that each has its own hash; all words of a text are counted, however long;
+columns of other names stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ linked with. Classes are the connected components of these edges.
 Words are runs of letters, digits and underscores in lower case. Defined results: a
 text with fewer words than n is one n-gram; a null text is the empty text; texts
 without words are linked to equal texts only; repeated rows count as copies; a class
-is named by its smallest id; an empty table gives an empty result.
+is named by its smallest id; all n-grams of a text count, however long it is; columns of
+other names are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
