@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from carelake import oracle as O
 from carelake.operators import lookup as L
 from carelake.plans import cohort as CO
+from carelake.plans import q_models as QM
 from carelake.plans import training as TR
 from carelake.plans.registry import register
 from carelake.sources import files as FS
@@ -72,6 +73,17 @@ def m11(spark, d):
     return TR.metrics_frame(spark, {k: rec[k] for k in keep})
 
 
+@register("m11_model_classes", O.with_fixture(
+    "SELECT count(*) AS n_samples, string_agg(DISTINCT diagnosis, '|' ORDER BY diagnosis) AS disease_classes, "
+    "string_agg(DISTINCT risk_level, '|' ORDER BY risk_level) AS risk_classes, "
+    "'symptoms_tfidf|age|gender_enc' AS features_used FROM mrisk", QM.MODEL_ROWS_CTE))
+def m11_classes(spark, d):
+    """M11 without the forests' figures: what the models know before they are trained."""
+    t = trained(spark, d)
+    return spark.createDataFrame([(t.n_rows, *("|".join(t.classes[k].labels) for k in ("disease", "risk")), "symptoms_tfidf|age|gender_enc")],
+                                 "n_samples long, disease_classes string, risk_classes string, features_used string")
+
+
 @register("m12_isolation_forest_nodes")
 def m12(spark, d):
     return trained(spark, d).iso_nodes
