@@ -90,12 +90,12 @@ def _wanted(k: Wanted, keys: list[str]) -> Column:
 def cuts(work: DataFrame, h: str, tie: str, k: Wanted, keys: list[str]) -> DataFrame:
     """Per key the (h, tie) of its k-th smallest row; no row where k is 0, the last row where the key has fewer.
 
-    Hash values are counted in 2^16 buckets, then the values of the boundary
-    bucket, and only rows that share the boundary value are ranked. Nothing is
+    Hash values are counted in 2^12 buckets (few enough for the tasks to add them up before
+    the shuffle), then the values of the boundary bucket, and only rows that share the boundary value are ranked. Nothing is
     collected, so the number of keys is not bounded. ``work`` is read three times: a
     written table, narrow (keys, hash, tie) where the rows are wide.
     """
-    bucket = (F.col(h) / 65536).cast("long")
+    bucket = (F.col(h) / 2 ** 20).cast("long")
     coarse = work.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     need = (coarse.groupBy(*keys).agg(F.sum("_n").alias("_total"))
             .withColumn("_need", F.least(_wanted(k, keys).cast("long"), F.col("_total"))).drop("_total"))
