@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from carelake.functions import constants as K
 from carelake.functions import text as T
 from carelake.operators.analytics import disease_profiles, raw_text
+from carelake.session import written
 
 SYMPTOM_CAP = 12
 
@@ -168,7 +169,8 @@ def upsert_manual(diseases: DataFrame, symptoms: DataFrame, links: DataFrame, up
     Edits apply in ``seq`` order: per lower name the last edit sets the name and
     replaces the symptom set; every edit adds its new terms once (first spelling).
     A stored disease keeps its id, creator and creation time, a stored symptom its
-    id; new ones get a hash id, and new diseases ``editor`` as their creator.
+    id; new ones get a hash id, and new diseases ``editor`` as their creator. The edits
+    are read several times: a written table.
     """
     from carelake.sources.records import hash_id
     now = F.current_timestamp()
@@ -186,6 +188,7 @@ def upsert_manual(diseases: DataFrame, symptoms: DataFrame, links: DataFrame, up
         F.when(new, F.lit(editor)).otherwise(F.col("created_by")).alias("created_by"),
         F.when(new, now).otherwise(F.col("created_at")).alias("created_at"),
         F.when(edited, now).otherwise(F.col("updated_at")).alias("updated_at"), edited.alias("edited"), "items")
+    both = written(both, "upserted")   # one row a disease, read by the diseases and their links
     items = (ups.select("seq", F.posexplode("symptoms").alias("pos", "item"))
              .select("seq", "pos", T.normalize_term("item").alias("normalized"),
                      T.collapse_blanks(T.py_strip("item")).alias("spelling"))

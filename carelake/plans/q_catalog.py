@@ -10,6 +10,7 @@ from carelake.functions import text as T
 from carelake.operators import catalog as CT
 from carelake.plans.q_etl import profile_ctes
 from carelake.plans.registry import register
+from carelake.session import written
 from carelake.sources import records as R
 from carelake.sources.fixture import encounters_raw
 
@@ -203,7 +204,8 @@ def j11(spark, d):
     sy = sy.withColumn("id", F.col("id") + STORED_SYMPTOM)
     li = li.select((F.col("disease_id") + STORED_DISEASE).alias("disease_id"),
                    (F.col("symptom_id") + STORED_SYMPTOM).alias("symptom_id"))
-    nd, ns, nl = CT.upsert_manual(ds, sy, li, CT.upserts_from(encounters_raw(spark, d)), "editor")
+    edits = written(CT.upserts_from(encounters_raw(spark, d)), "manual-edits")
+    nd, ns, nl = CT.upsert_manual(ds, sy, li, edits, "editor")
     nd = nd.withColumn("stored", F.col("created_at") == then)
     j = nd.join(nl, nd["id"] == nl["disease_id"], "left").join(
         ns.select(F.col("id").alias("sid"), "normalized"), F.col("symptom_id") == F.col("sid"), "left")

@@ -101,7 +101,7 @@ def manual_catalogue(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
                     F.posexplode_outer(T.split_items(F.coalesce("symptoms", F.lit("")))).alias("pos", "spelling"))
             .filter((F.col("disease") != "") & F.col("spelling").isNotNull()
                     & (hash_id(F.lower("disease")) % MANUAL_PART == 0)))
-    seed = seed.withColumn("spelling", T.collapse_blanks("spelling"))
+    seed = written(seed.withColumn("spelling", T.collapse_blanks("spelling")), "manual-terms")   # three tables are made from it
     extra = T.const_frame(spark, [(MANUAL_EXTRA,)], "name string")
     dnames = seed.select(F.col("disease").alias("name")).distinct().unionByName(extra)
     diseases = dnames.select(
