@@ -69,7 +69,7 @@ def m10(spark, d):
 def m11(spark, d):
     """Model info as the portal shows it: classes, figures of the last run, features."""
     keep = ("disease_classes", "risk_classes", "disease_accuracy", "risk_accuracy", "n_samples", "features_used")
-    rec = trained(spark, d).metrics
+    rec = trained(spark, d).figures
     return TR.metrics_frame(spark, {k: rec[k] for k in keep})
 
 

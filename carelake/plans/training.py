@@ -250,12 +250,11 @@ class TrainRun:
         return self.split.count()
 
     @cached_property
-    def metrics(self) -> dict:
-        """A26, A27, A30 and model figures as one record (S13 shape), without cross-validation."""
+    def figures(self) -> dict:
+        """A26, A27, A30 and figures of both classifiers; the isolation forest has no part in them."""
         def build() -> dict:
-            # Both forests and the isolation forest at the same time; then what is made of them.
             self._shared()
-            M.in_threads([lambda: self.disease_test, lambda: self.risk_test, lambda: self.forest], self._workers())
+            M.in_threads([lambda: self.disease_test, lambda: self.risk_test], self._workers())
             acc_d, f1_d = _acc_f1(self.disease_report)
             acc_r, f1_r = _acc_f1(self.risk_report)
             return {
@@ -269,8 +268,17 @@ class TrainRun:
                 "features_used": ["symptoms_tfidf", "age", "gender_enc"],
                 "symptom_dropout_keep_prob": K.SYMPTOM_KEEP_PROB,
                 "risk_label_noise_pct": K.LABEL_NOISE_PCT,
-                "anomaly_offset": self.forest.offset,
             }
+        return self.store.record("figures", build)
+
+    @cached_property
+    def metrics(self) -> dict:
+        """The figures and the isolation forest's offset as one record (S13 shape), without cross-validation."""
+        def build() -> dict:
+            # Both forests and the isolation forest at the same time; then what is made of them.
+            self._shared()
+            M.in_threads([lambda: self.disease_test, lambda: self.risk_test, lambda: self.forest], self._workers())
+            return self.figures | {"anomaly_offset": self.forest.offset}
         return self.store.record("metrics", build)
 
     @cached_property

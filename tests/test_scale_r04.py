@@ -45,3 +45,11 @@ def test_anomaly_queries_train_no_classifier(spark, sf_dir, run):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found))
     from carelake.operators import lookup as L
     assert CO.patient_card(pats, 1, run.disease, run.risk, run.forest, L.default_doctors(spark)).collect() == card
+
+
+def test_model_info_makes_no_isolation_forest(spark, sf_dir, run):
+    info = QJ.m11(spark, sf_dir).first().asDict()
+    assert not {n for n in made(run) if n.startswith("iso")}, made(run)
+    whole = run.metrics
+    assert all(info[k] == whole[k] for k in ("disease_accuracy", "risk_accuracy", "n_samples"))
+    assert list(whole)[-1] == "anomaly_offset" and whole["anomaly_offset"] < 0
