@@ -4,7 +4,10 @@ import os
 import tempfile
 
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.sql import functions as F
 
+from carelake.operators import models as M
 from carelake.plans import cohort as CO
 from carelake.plans import q_jobs as QJ
 from carelake.plans import training as TR
@@ -53,3 +56,25 @@ def test_model_info_makes_no_isolation_forest(spark, sf_dir, run):
     whole = run.metrics
     assert all(info[k] == whole[k] for k in ("disease_accuracy", "risk_accuracy", "n_samples"))
     assert list(whole)[-1] == "anomaly_offset" and whole["anomaly_offset"] < 0
+
+
+def test_forest_rows_are_dealt_evenly(spark, monkeypatch):
+    """Parts of very different size: put together they left most rows to one task."""
+    sizes = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, d, params=None):
+        sizes.extend(n for _, n in sorted(d.groupBy(F.spark_partition_id()).count().collect()))
+        raise Stop
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", fit)
+    path = tempfile.mkdtemp(prefix="scale-", dir="/tmp")
+    for first, rows in ((0, 7_000), (7_000, 500), (7_500, 500)):
+        spark.range(first, first + rows, 1, 1).select(F.col("id").cast("double").alias("features"), F.lit("a").alias("label")).write.mode(
+            "append").parquet(path)
+    p = M.ForestParams(rows_per_task=2_000)
+    with pytest.raises(Stop):
+        M.fit_forest(spark.read.parquet(path), "label", M.Classes(["a"], [8_000]), p)
+    assert sum(sizes) == 8_000 and len(sizes) == 4 and max(sizes) < 2_200, sizes
